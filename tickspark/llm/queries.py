@@ -6,9 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_dedup
+from . import packing, pii_surrogates, simhash_dedup, toxicity
 from ._common import documents
 
+#: The secret of the surrogates; a user gives their own.
+KEY = "tickspark surrogates"
+
+
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.add_severity(docs.select("doc_id", "text"), model)
+    return scored.selectExpr("doc_id", "round(p_toxic, 6) p_toxic", "round(expected_severity, 6) expected_severity", "rejected")
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.pseudonymise(documents(spark, sf_dir, "doc_id", "text"), KEY, details=True)
+
+
+def op7_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(documents(spark, sf_dir), byte_bpe()))
+
 
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_dedup.near_duplicate_groups(documents(spark, sf_dir))
@@ -16,7 +40,7 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op10_simhash_golay]
+    found = [op3_ordinal_toxicity, op5_pii_surrogates, op7_swap_packing, op10_simhash_golay]
     return {f.__name__: f for f in found}
 
 

@@ -80,3 +80,13 @@ class TextEncoder:
                 ids = map(get, pieces)
             out.append(b"".join(ids))
         return out
+
+
+_ENCODERS: dict[str, TextEncoder] = {}
+
+
+def worker_encoder(path: str) -> TextEncoder:
+    """The worker's encoder for a file, loaded once."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TextEncoder(load_tokenizer(path))
+    return _ENCODERS[path]
