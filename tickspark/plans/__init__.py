@@ -1 +1,18 @@
+"""Registered queries over the given tables."""
 
+from __future__ import annotations
+
+from . import quality
+from .registry import ORACLE, QUERIES
+
+
+def all_queries() -> dict:
+    return dict(QUERIES)
+
+
+def all_sql() -> dict:
+    return dict(ORACLE)
+
+
+def flagship(spark, sf_dir: str):
+    return QUERIES["ag1_ticks_to_bars"](spark, sf_dir)
