@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import features, quality
 from .registry import ORACLE, QUERIES
 
 
