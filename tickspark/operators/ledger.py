@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fold import ordered_fold
 from ..functions.windows import micros, ratio
 
 MATCH_KEY = ["order_id", "symbol", "side", "venue"]
@@ -111,40 +112,28 @@ def order_state(events: DataFrame) -> DataFrame:
     return out.withColumn("status", status).drop("_last")
 
 
-def fold_position(quantity, price, side) -> list[tuple[float, float, float]]:
-    """(position, average cost, realised pnl) after each trade; a flip through zero restarts the cost at the trade's price."""
-    pos = cost = pnl = 0.0
-    out = []
-    for q, p, s in zip(quantity, price, side):
-        q = q if s == "buy" else -q
-        if pos == 0 or pos * q > 0:
-            cost = (abs(pos) * cost + abs(q) * p) / (abs(pos) + abs(q)) if pos + q else cost
-            pos += q
-        else:
-            closed = min(abs(q), abs(pos))
-            pnl += closed * (p - cost) * (1 if pos > 0 else -1)
-            left = pos + q
-            if left == 0:
-                cost = 0.0
-            elif left * pos < 0:
-                cost = p
-            pos = left
-        out.append((pos, cost, pnl))
-    return out
+def next_position(state: tuple[float, float, float], trade: tuple) -> tuple[tuple, tuple]:
+    """(position, average cost, realised pnl) after a trade (quantity, price, side); a flip through zero restarts the cost at its price."""
+    pos, cost, pnl = state
+    q, p, side = trade
+    q = q if side == "buy" else -q
+    if pos == 0 or pos * q > 0:
+        cost = (abs(pos) * cost + abs(q) * p) / (abs(pos) + abs(q)) if pos + q else cost
+        pos += q
+    else:
+        pnl += min(abs(q), abs(pos)) * (p - cost) * (1 if pos > 0 else -1)
+        left = pos + q
+        cost = 0.0 if left == 0 else p if left * pos < 0 else cost
+        pos = left
+    return (pos, cost, pnl), (pos, cost, pnl)
 
 
 def position_state(trades: DataFrame, by=("account", "symbol"), order=("ts", "fill_id")) -> DataFrame:
     """Per trade: position, average cost, realised pnl; an ordered fold for each (account, symbol)."""
     keep = trades.select(*by, *order, "side", "quantity", "price")
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(list(order))
-        t[["position", "avg_cost", "realized"]] = fold_position(t["quantity"], t["price"], t["side"]) if len(t) else None
-        return t[[*by, *order, "position", "avg_cost", "realized"]]
-
-    kinds = dict(keep.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*by, *order)) + ", position double, avg_cost double, realized double"
-    return keep.groupBy(*by).applyInPandas(run, schema)
+    fields = "position double, avg_cost double, realized double"
+    out = ordered_fold(keep, list(by), list(order), lambda: (0.0, 0.0, 0.0), next_position, ["quantity", "price", "side"], fields)
+    return out.drop("side", "quantity", "price")
 
 
 def exposure_summary(positions: DataFrame, equity: float, max_leverage: float = 2.0, max_share: float = 0.25, by: str = "account") -> DataFrame:

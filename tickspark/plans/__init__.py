@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import features, quality
+from . import analytics, features, quality
 from .registry import ORACLE, QUERIES
 
 
