@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, features, quality
+from . import analytics, features, quality, research
 from .registry import ORACLE, QUERIES
 
 
@@ -15,4 +15,4 @@ def all_sql() -> dict:
 
 
 def flagship(spark, sf_dir: str):
-    return QUERIES["ag1_ticks_to_bars"](spark, sf_dir)
+    return QUERIES["w1_research_table"](spark, sf_dir)
