@@ -34,3 +34,12 @@ def micros(ts: str | Column = "ts") -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is zero or null."""
     return a / F.when(b != 0, b)
+
+
+def correlation(a: str | Column, b: str | Column, over: WindowSpec | None = None) -> Column:
+    """Pearson correlation of the pairs without nulls; null where one of them does not vary."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    x, y = F.when(b.isNotNull(), a).cast("double"), F.when(a.isNotNull(), b).cast("double")
+    parts = F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)
+    cov, sx, sy = (p.over(over) for p in parts) if over is not None else parts
+    return cov / F.nullif(sx * sy, F.lit(0.0))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import ratio
+from ..functions.windows import correlation, ratio
 
 YEAR = 252
 
@@ -107,7 +107,7 @@ def _long(row: DataFrame, names: list[str], pairs: list[tuple[str, str]], value:
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """(feat_a, feat_b, corr) of all pairs a < b, from one pass."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    return _long(df.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs)), ["feat_a", "feat_b"], pairs, "corr")
+    return _long(df.agg(*(correlation(a, b).alias(f"{a}|{b}") for a, b in pairs)), ["feat_a", "feat_b"], pairs, "corr")
 
 
 def feature_graph(df: DataFrame, cols: list[str], threshold: float) -> DataFrame:
@@ -147,7 +147,7 @@ def vol_target(stats: DataFrame, target: float) -> DataFrame:
 
 def corr_distance(returns: DataFrame, least: int = 3) -> DataFrame:
     """sqrt((1 - corr) / 2) of each symbol pair."""
-    pairs = pair_panel(returns, least=least).groupBy("a", "b").agg(F.corr("x", "y").alias("_c"))
+    pairs = pair_panel(returns, least=least).groupBy("a", "b").agg(correlation("x", "y").alias("_c"))
     return pairs.select("a", "b", F.sqrt(F.greatest((1 - F.col("_c")) / 2, F.lit(0.0))).alias("distance"))
 
 
@@ -196,19 +196,19 @@ def lag_correlations(df: DataFrame, target: str, cols: list[str], max_lag: int,
     w = Window.partitionBy(by).orderBy(*order)
     lagged = df.select(target, *(F.lag(c, k).over(w).alias(f"{c}|{k}") for c in cols for k in range(1, max_lag + 1)))
     pairs = [(c, k) for c in cols for k in range(1, max_lag + 1)]
-    row = lagged.agg(*(F.abs(F.corr(f"`{c}|{k}`", target)).alias(f"{c}|{k}") for c, k in pairs))
+    row = lagged.agg(*(F.abs(correlation(f"`{c}|{k}`", target)).alias(f"{c}|{k}") for c, k in pairs))
     out = row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.lit(k).alias("lag"), F.col(f"`{c}|{k}`").alias("abs_corr")) for c, k in pairs))).alias("x")).select("x.*")
     best = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("abs_corr"), "lag")) == 1
     return out.withColumn("best", best)
 
 
 def interaction_strength(df: DataFrame, f1: str, f2: str, target: str) -> DataFrame:
-    a, b, c = F.abs(F.corr(f1, target)), F.abs(F.corr(f2, target)), F.abs(F.corr(F.col(f1) * F.col(f2), F.col(target)))
+    a, b, c = F.abs(correlation(f1, target)), F.abs(correlation(f2, target)), F.abs(correlation(F.col(f1) * F.col(f2), F.col(target)))
     return df.agg(F.greatest(F.lit(0.0), c - F.greatest(a, b)).alias("strength"))
 
 
 def find_confounders(df: DataFrame, treatment: str, outcome: str, cols: list[str], threshold: float = 0.3) -> DataFrame:
-    row = df.agg(*(F.corr(c, k).alias(f"{c}|{k}") for c in cols for k in (treatment, outcome)))
+    row = df.agg(*(correlation(c, k).alias(f"{c}|{k}") for c in cols for k in (treatment, outcome)))
     cells = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"{c}|{treatment}").alias("with_treatment"), F.col(f"{c}|{outcome}").alias("with_outcome")) for c in cols))
     out = row.select(F.explode(cells).alias("x")).select("x.*")
     return out.filter((F.abs("with_treatment") > threshold) & (F.abs("with_outcome") > threshold))

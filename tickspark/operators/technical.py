@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.windows import BY, full, micros, ordered, ratio, rows, running
+from ..functions.windows import BY, correlation, full, micros, ordered, ratio, rows, running
 
 DAY = ("ts",)
 
@@ -143,7 +143,7 @@ def regime_features(df: DataFrame, n: int = 20, ret: str = "ret", by=BY, order=D
     g1, g2 = c3 / F.pow(F.nullif(c2, F.lit(0.0)), F.lit(1.5)), c4 / F.nullif(c2 * c2, F.lit(0.0)) - 3
     out = {
         "roll_std": full_(F.stddev_samp("_x").over(w)), "roll_mean": full_(m), "roll_skew": full_(g1 * float(np.sqrt(n * (n - 1)) / (n - 2))),
-        "roll_kurt": full_(((n + 1) * g2 + 6) * ((n - 1) / ((n - 2) * (n - 3)))), "autocorr": full_(F.corr("_x", "_p").over(w)), "slope": full_(F.regr_slope("_x", "_t").over(w)),
+        "roll_kurt": full_(((n + 1) * g2 + 6) * ((n - 1) / ((n - 2) * (n - 3)))), "autocorr": full_(correlation("_x", "_p", w)), "slope": full_(F.regr_slope("_x", "_t").over(w)),
     }
     return df.withColumns(out).drop("_x", "_p", "_t", "_m", "_2", "_3", "_4")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, features, quality, research
+from . import analytics, features, quality, research, sources
 from .registry import ORACLE, QUERIES
 
 
