@@ -202,7 +202,7 @@ def count_ids(segments: DataFrame) -> DataFrame:
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, vocabulary: int = 1 << 17) -> None:
-    """Writes `path`/codes (id, bits) and `path`/segments (part, seg, doc_ids, payload)."""
+    """Writes `path`/codes (id, bits) and `path`/segments (part, seg, n_ids, doc_ids, payload)."""
     segments = materialise(id_segments(docs, tokenizer, end_id), "id-segments")
     counts = count_ids(segments).collect()  # as many as the vocabulary has at most
     table = np.zeros(max((r["id"] for r in counts), default=0) + 1, np.int64)
@@ -219,9 +219,10 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, vocab
         coder = Coder(lengths)
         for batch in batches:
             payload = [coder.encode(_ids(d, w), np.array(n, np.int64)) for d, w, n in zip(batch["ids"], batch["wide"], batch["lengths"])]
-            yield pd.DataFrame({"part": batch["part"], "seg": batch["seg"], "doc_ids": batch["doc_ids"], "payload": payload})
+            n_ids = [int(np.sum(n)) for n in batch["lengths"]]
+            yield pd.DataFrame({"part": batch["part"], "seg": batch["seg"], "n_ids": n_ids, "doc_ids": batch["doc_ids"], "payload": payload})
 
-    coded = segments.mapInPandas(run, "part int, seg int, doc_ids array<long>, payload binary")
+    coded = segments.mapInPandas(run, "part int, seg int, n_ids long, doc_ids array<long>, payload binary")
     coded.write.option("compression", "none").parquet(f"{path}/segments")
 
 
@@ -247,9 +248,8 @@ def read_ids(spark, path: str, texts: bool = False) -> DataFrame:
                     out["ids"] = [ids[e - k : e].tolist() for e, k in zip(ends.tolist(), n.tolist())]
                 yield out
 
-    rows = spark.read.parquet(f"{path}/segments").mapInPandas(run, schema)
-    sizes = spark.read.parquet(f"{path}/segments").select("part", "seg", "payload")
-    sizes = sizes.select("part", "seg", F.conv(F.hex(F.reverse(F.substring("payload", 13, 8))), 16, 10).cast("long").alias("n"))
+    rows = spark.read.parquet(f"{path}/segments").select("part", "seg", "doc_ids", "payload").mapInPandas(run, schema)
+    sizes = spark.read.parquet(f"{path}/segments").select("part", "seg", F.col("n_ids").alias("n"))
     by_part = sizes.groupBy("part").agg(F.sum("n").alias("n"))  # one row for each part file
     before_part = by_part.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
