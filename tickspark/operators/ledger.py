@@ -56,7 +56,8 @@ def match_fills(internal: DataFrame, exchange: DataFrame, price_tol: float = 0.0
         return pd.DataFrame(out, columns=["internal_id", "exchange_id", "result"])
 
     ours, theirs = a.join(many, MATCH_KEY, "left_semi"), b.join(many, MATCH_KEY, "left_semi")
-    slow = ours.groupBy(*MATCH_KEY).cogroup(theirs.groupBy(*MATCH_KEY)).applyInPandas(fold, "internal_id string, exchange_id string, result string")
+    theirs = theirs.withColumnsRenamed({k: f"_{k}" for k in MATCH_KEY})
+    slow = ours.groupBy(*MATCH_KEY).cogroup(theirs.groupBy(*(f"_{k}" for k in MATCH_KEY))).applyInPandas(fold, "internal_id string, exchange_id string, result string")
     return fast.unionByName(slow)
 
 
