@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, slices, whole_text
+from ._common import checkpoint, materialise, slices, whole_text
 from .components import connected_components
 from .golay import decode, indices
 from .shingle_hash import fingerprints
@@ -50,7 +50,7 @@ def add_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _keys(fp: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(key, fp) rows: a key holds its kind above bit 36."""
+    """(key, place of its fingerprint) rows: a key holds its kind above bit 36."""
     words = [((fp.view(np.uint64) >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in SEGMENTS]
     near = [decode(x) for x in words]
     sets = [indices(x) for x in words]
@@ -71,18 +71,21 @@ def _keys(fp: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
             ok = sets[p][:, i] >= 0
             keys.append((kind << 36) | (sets[p][ok, i] << 22) | words[q][ok])
             owners.append(every[ok])
-    return np.concatenate(keys), fp[np.concatenate(owners)]
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 def _key_rows(prints: DataFrame, probe: bool) -> DataFrame:
+    """(key, fp, root) rows of (fp, root)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False)
+            fp, root = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for at in range(0, len(fp), 2000):
-                key, own = _keys(fp[at : at + 2000], probe)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own)], names=["key", "fp"])
+                key, owner = _keys(fp[at : at + 2000], probe)
+                columns = (key, fp[at + owner], root[at + owner])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "fp", "root"])
 
-    return prints.select("fp").mapInArrow(run, "key long, fp long")
+    return prints.select("fp", "root").mapInArrow(run, "key long, fp long, root long")
 
 
 def _kind(x: str) -> str:
@@ -94,14 +97,39 @@ def _kind(x: str) -> str:
 
 
 def near_pairs(prints: DataFrame) -> DataFrame:
-    """(a, b): all pairs a < b of the distinct fingerprints `fp` that differ in at most four bits."""
+    """(a, b): all pairs a < b of the distinct fingerprints `fp` that differ in at most four bits, but for those with one `root`.
+
+    Without a column root, every fingerprint is its own.
+    """
+    if "root" not in prints.columns:
+        prints = prints.select("fp", F.col("fp").alias("root"))
     left = _key_rows(prints, probe=False).alias("l")
     right = _key_rows(prints, probe=True).alias("r")
     x = "(l.fp ^ r.fp)"
-    on = F.expr(f"l.key = r.key and l.fp <> r.fp and bit_count({x}) <= {MAX_BITS} and shiftright(l.key, 36) = {_kind(x)}")
+    on = F.expr(f"l.key = r.key and l.root <> r.root and bit_count({x}) <= {MAX_BITS} and shiftright(l.key, 36) = {_kind(x)}")
     return left.join(right, on).select(F.expr("least(l.fp, r.fp) a"), F.expr("greatest(l.fp, r.fp) b")).distinct()
 
 
+def star_links(prints: DataFrame) -> DataFrame:
+    """(a, b): verified links of fingerprints to the least fingerprint of each of their keys; as many as keys at most."""
+    own = prints.select("fp", F.col("fp").alias("root"))
+    least = _key_rows(own, probe=False).groupBy("key").agg(F.min("fp").alias("a"))
+    met = _key_rows(own, probe=True).join(least, "key").filter(f"a <> fp and bit_count(a ^ fp) <= {MAX_BITS}")
+    return met.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
+
+
+def component_roots(prints: DataFrame) -> DataFrame:
+    """(node, root) of the linked fingerprints.
+
+    Links to the least member of each key join the dense clouds first, so that the pairs which are then
+    looked for are only those between different parts: a cloud does not yield all its pairs.
+    """
+    stars = checkpoint(star_links(prints))
+    parts = connected_components(stars)
+    marked = prints.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return connected_components(stars.unionByName(near_pairs(marked)))
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """One row per row of `docs`: id, fp (long), component_id.
 
@@ -111,7 +139,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     marked = materialise(add_fingerprints(docs, id_col, text_col, words), "fingerprints")
     prints = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(near_pairs(prints))
+    roots = checkpoint(component_roots(prints.select("fp")))
     linked = roots.withColumnRenamed("node", "fp").join(prints, "fp")
     groups = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = roots.join(groups, "root").select(F.col("node").alias("fp"), "component_id")
