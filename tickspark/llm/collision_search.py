@@ -47,31 +47,50 @@ class Block:
         norms = np.sqrt((queries**2).sum(1))
         centres = self.lines[:, :-1] @ (queries * (largest / norms)[:, None]).T
         spread = float(np.mean(self.sorted[:, -1] - self.sorted[:, 0])) or 1.0
-        for q in range(len(queries)):
-            centre, radius = centres[:, q], width * spread
-            tested = np.zeros(n, bool)
-            scores = np.full(n, -np.inf)
-            while True:
-                low = [int(np.searchsorted(s, c - radius, "left")) for s, c in zip(self.sorted, centre)]
-                high = [int(np.searchsorted(s, c + radius, "right")) for s, c in zip(self.sorted, centre)]
-                hits = np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, low, high)]), minlength=n)
-                new = np.flatnonzero((hits >= need_hits) & ~tested)
-                scores[new] = (self.vectors[new] * queries[q]).sum(1)
-                tested[new] = True
-                if int(tested.sum()) >= min(n, k + extra) or all(a == 0 for a in low) and all(b == n for b in high):
-                    break
-                radius *= 1.4
-            best = np.flatnonzero(tested)
-            best = best[np.argsort(-scores[best], kind="stable")]
-            given, last = 0, None
-            for i in best:
-                if given >= k and scores[i] != last:
-                    break
-                for j in self.ids[i]:
-                    if j != query_ids[q]:
-                        yield int(query_ids[q]), int(j), float(scores[i])
-                        given += 1
-                last = scores[i]
+        for at in range(0, len(queries), 64):
+            part = range(at, min(at + 64, len(queries)))
+            scores = self._expand(queries[at : at + 64], centres[:, at : at + 64], width * spread, need_hits, min(n, k + extra))
+            for q, found in zip(part, scores):
+                yield from self._nearest(found, int(query_ids[q]), k)
+
+    def _expand(self, queries: np.ndarray, centres: np.ndarray, radius: float, need_hits: int, enough: int) -> np.ndarray:
+        """(query, vector) inner products of the verified vectors, -inf for the others.
+
+        Windows only ever grow, so each step counts what it adds on either side.
+        """
+        n, m = len(self.vectors), len(queries)
+        scores, hits = np.full((m, n), -np.inf), np.zeros((m, n), np.int64)
+        low = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centres)])
+        high, live = low.copy(), np.arange(m)
+        while len(live):
+            wide_low = np.array([np.searchsorted(s, c - radius, "left") for s, c in zip(self.sorted, centres[:, live])])
+            wide_high = np.array([np.searchsorted(s, c + radius, "right") for s, c in zip(self.sorted, centres[:, live])])
+            done = []
+            for i, q in enumerate(live.tolist()):
+                bounds = (wide_low[:, i].tolist(), low[:, q].tolist(), high[:, q].tolist(), wide_high[:, i].tolist())
+                rings = [o[a:b] for o, a, b in zip(self.order, *bounds[:2])] + [o[a:b] for o, a, b in zip(self.order, *bounds[2:])]
+                hits[q] += np.bincount(np.concatenate(rings), minlength=n)
+                new = np.flatnonzero((hits[q] >= need_hits) & np.isneginf(scores[q]))
+                scores[q, new] = (self.vectors[new] * queries[q]).sum(1)
+                whole = not wide_low[:, i].any() and bool((wide_high[:, i] == n).all())
+                done.append(whole or int((hits[q] >= need_hits).sum()) >= enough)
+            low[:, live], high[:, live] = wide_low, wide_high
+            live, radius = live[~np.array(done)], radius * 1.4
+        return scores
+
+    def _nearest(self, scores: np.ndarray, query_id: int, k: int) -> Iterator[tuple[int, int, float]]:
+        """The k best rows behind the verified vectors, and all that tie with the last; not the query's own row."""
+        best = np.flatnonzero(~np.isneginf(scores))
+        best = best[np.argsort(-scores[best], kind="stable")]
+        given, last = 0, None
+        for i in best:
+            if given >= k and scores[i] != last:
+                break
+            for j in self.ids[i]:
+                if j != query_id:
+                    yield query_id, int(j), float(scores[i])
+                    given += 1
+            last = scores[i]
 
 
 def nearest(
