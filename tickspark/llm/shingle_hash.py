@@ -65,14 +65,12 @@ def xxh64(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = 42)
         return h ^ (h >> np.uint64(32))
 
 
-def fingerprints(texts: list[str], words: int = 4) -> np.ndarray:
-    """One 64-bit SimHash for each text (a text without words has zero).
+def shingle_hashes(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each shingle, place of its text, number of shingles of each text); a text without words has none.
 
     A-Z are lowered, words are runs of anything but \\x20 and \\x09-\\x0D, shingles of so many
     words keep repeats and are joined by one space; a shorter text is one shingle.
     """
-    if not texts:
-        return np.zeros(0, np.uint64)
     raw = [x.encode("utf-8", "surrogatepass") for x in texts]
     # A text after another is parted from it by a space.
     data = _LOWER[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
@@ -92,11 +90,20 @@ def fingerprints(texts: list[str], words: int = 4) -> np.ndarray:
     n_shingles = np.where(n_words == 0, 0, np.maximum(n_words - words + 1, 1))
     owner = np.repeat(np.arange(len(texts)), n_shingles)
     if not len(owner):
-        return np.zeros(len(texts), np.uint64)
+        return np.zeros(0, np.uint64), owner, n_shingles
     base = np.cumsum(n_shingles) - n_shingles
     first = first_word[owner] + np.arange(len(owner)) - base[owner]
     last = np.minimum(first + words, last_word[owner]) - 1
-    h = xxh64(data, begin[first], end[last])
+    return xxh64(data, begin[first], end[last]), owner, n_shingles
+
+
+def fingerprints(texts: list[str], words: int = 4) -> np.ndarray:
+    """One 64-bit SimHash of the shingles for each text (a text without words has zero)."""
+    if not texts:
+        return np.zeros(0, np.uint64)
+    h, owner, n_shingles = shingle_hashes(texts, words)
+    if not len(owner):
+        return np.zeros(len(texts), np.uint64)
     parts = h.view(np.uint8).reshape(-1, 8)
     counts = np.empty((len(texts), 64))
     for at in range(0, len(texts), 256):
