@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import materialise
+
 
 def usable(vector: Column) -> Column:
     """Not null or empty, all components finite, not zero."""
@@ -105,12 +107,14 @@ def nearest(
     """
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), queries.alias("q"))
     base = base.filter(usable(F.col("v")) & F.col("id").isNotNull())
+    # repeated rows meet before blocks are made: they neither fill a block nor take the places of other ids
+    base = materialise(base.groupBy("id", "v").agg(F.max("q").alias("q")), "vectors")
     about = base.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.sum(F.col("q").cast("int")).alias("nq"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("top"))
     sizes = {r["dim"]: (max(1, -(-r["n"] // block_rows)), max(1, -(-(r["nq"] or 0) // query_rows)), r["top"]) for r in about.collect()}  # one row for each vector length
     if not sizes:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     pick = lambda k: F.element_at(F.create_map(*(x for d, s in sizes.items() for x in (F.lit(d), F.lit(s[k])))), F.size("v"))
-    rows = base.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("id"), pick(0))).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), pick(1)))
+    rows = base.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("id", "v"), pick(0))).withColumn("part", F.pmod(F.xxhash64("id", "v", F.lit(1)), pick(1)))
     data = rows.select("dim", "block", F.explode(F.sequence(F.lit(0).cast("long"), pick(1).cast("long") - 1)).alias("part"), "id", "v")
     asked = rows.filter("q").select("dim", F.explode(F.sequence(F.lit(0).cast("long"), pick(0).cast("long") - 1)).alias("block"), "part", "id", "v")
 
