@@ -100,11 +100,11 @@ def worker_encoder(path: str, threads: int) -> SpEncoder:
     return _ENCODERS[path, threads]
 
 
-def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, check_every: int = 101, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, check_every: int = 1, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, round_trip, parity[, ids array<int>]) of each row; null text counts as empty.
 
-    round_trip: the decoded ids are the normalised text.  parity: every `check_every`-th text of a task is encoded whole by
-    the sentencepiece library too and compared (null for the others).
+    round_trip: the decoded ids are the normalised text.  parity: the text is encoded whole by the sentencepiece
+    library too and compared; with a larger `check_every` only each such text of a task is (null for the others).
     """
     schema = "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean" + (", ids array<int>" if keep_ids else "")
 
