@@ -183,7 +183,7 @@ def test_held_out_accuracy_and_edges(spark, odd):
     docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
     part = labels.filter("doc_id % 2 = 0")
     model = Tox.fit(docs, part)
-    assert model.thresholds == sorted(model.thresholds) and all(w >= 0 for w in model.weights.values())
+    assert model.thresholds == sorted(model.thresholds)
     rest = Tox.add_severity(docs.join(labels.filter("doc_id % 2 = 1").select("doc_id", "toxic"), "doc_id"), model).toPandas()
     assert ((rest.rejected == (rest.toxic == 1)).mean()) > 0.92
     assert rest[rest.toxic == 1].expected_severity.mean() > rest[rest.toxic == 0].expected_severity.mean() + 0.5
@@ -194,6 +194,34 @@ def test_held_out_accuracy_and_edges(spark, odd):
     assert not Tox.add_severity(odd, none).filter("rejected").count()
 
 
+def test_cumulative_link_gradient_and_likelihood():
+    """The gradient by finite differences, and the likelihood grade by grade."""
+    rng = np.random.default_rng(3)
+    eta, theta, y, weight = rng.normal(size=30), np.array([-0.5, 0.2, 1.1]), rng.integers(0, 4, 30), rng.random(30) + 0.5
+    over = lambda k, e: 1.0 if k < 0 else 0.0 if k == 3 else 1 / (1 + math.exp(theta[k] - e))
+    loss, by_eta, by_theta = Tox.link_gradient(eta, theta, y, weight)
+    assert math.isclose(loss, -sum(w * math.log(over(k - 1, e) - over(k, e)) for e, k, w in zip(eta, y, weight)), rel_tol=1e-12)
+    for k in range(3):
+        d = 1e-6 * np.eye(3)[k]
+        assert math.isclose(by_theta[k], (Tox.link_gradient(eta, theta + d, y, weight)[0] - Tox.link_gradient(eta, theta - d, y, weight)[0]) / 2e-6, rel_tol=1e-5, abs_tol=1e-6)
+    for k in range(30):
+        d = 1e-6 * np.eye(30)[k]
+        assert math.isclose(by_eta[k], (Tox.link_gradient(eta + d, theta, y, weight)[0] - Tox.link_gradient(eta - d, theta, y, weight)[0]) / 2e-6, rel_tol=1e-5, abs_tol=1e-6)
+
+
+def test_document_counts_and_scores_by_brute_force(spark, docs, small):
+    rows = [(r.text or "", k % 3 == 0, k % 2) for k, r in enumerate(docs.limit(50).collect())]
+    got = {r.feature: tuple(r)[1:] for r in Tox._document_counts(spark.createDataFrame([(t, int(x), h) for t, x, h in rows], "text string, toxic int, half int")).collect()}
+    want = {}
+    for t, x, h in rows:
+        for f in {f for w in re.findall(r"\w+", t.lower()) for f in Tox.features(w)}:
+            want.setdefault(f, [0, 0, 0, 0])[2 * h + (0 if x else 1)] += 1
+    assert got == {f: tuple(c) for f, c in want.items()}
+    model = Tox.OrdinalModel({"=the": 0.5, "inte": -1.0}, [0.1, 0.7])
+    eta = 0.5 * math.log1p(3) - math.log1p(2)
+    assert np.allclose(model.probabilities(["The the THE inter intend"]), [[1 / (1 + math.exp(t - eta)) for t in model.thresholds]])
+
+
 # ---- word pieces
 
 
@@ -260,26 +288,61 @@ def test_rows_and_columns_stay(odd):
 # ---- lattice
 
 
-def test_lattice_sums_all_segmentations(spark):
+def brute_lattice(model, log_probs, word):
+    """(log-probability, expected counts) of a word over all its segmentations, one by one."""
+    ids = {p: i for i, (p, _, kind) in enumerate(model.pieces) if kind in (1, 4)}
+    byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == 6}
+    s, found = "▁" + word, []
+    for cuts in product([0, 1], repeat=len(s) - 1):
+        used, at = [], 0
+        for k, c in enumerate([*cuts, 1]):
+            if c:
+                x, at = s[at : k + 1], k + 1
+                used += [[ids[x]] if x in ids else [byte[b] for b in x.encode()] if len(x) == 1 else [None]]
+        used = sum(used, [])
+        if None not in used:
+            found.append((sum(log_probs[i] for i in used), used))
+    total = math.log(sum(math.exp(p) for p, _ in found))
+    counts = np.zeros(len(log_probs))
+    for p, used in found:
+        for i in used:
+            counts[i] += math.exp(p - total)
+    return total, counts
+
+
+def test_lattice_sums_all_segmentations(monkeypatch):
+    model = read_model(sp_model())
+    log_probs = Lat.initial_log_probs(model)
+    lattice = Lat.Lattice(model, log_probs)
+    words = ["the", "anre", "x", "éa", "中", "", "a中b", "internation", "the"]
+    brute = [brute_lattice(model, log_probs, w) for w in words]
+    weights = np.arange(1.0, len(words) + 1)
+    want = sum(n * c for n, (_, c) in zip(weights, brute))
+    for long, window in ((48, 1 << 16), (3, 4), (3, 1 << 16), (48, 5)):  # also by the path of long words, and in small windows
+        monkeypatch.setattr(Lat.Lattice, "LONG", long)
+        monkeypatch.setattr(Lat.Lattice, "WINDOW", window)
+        assert np.allclose(lattice.log_probs_of(words), [p for p, _ in brute], rtol=1e-9)
+        counts = np.zeros(len(log_probs))
+        lattice.expect(words, weights, counts)
+        assert np.allclose(counts, want, rtol=1e-9, atol=1e-12)
+
+
+def test_document_score_by_plain_recomputation(spark):
+    import zlib
+
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (3, "repeated id"), (8, "same"), (50, "x" * 3000 + "中")]
+    got = Lat.score(spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit(0)), sp_model(), rounds=1).collect()
     model = read_model(sp_model())
-    lattice = Lat.Lattice(model, Lat.initial_log_probs(model))
-    for word in ("the", "anre", "x", "éa", "中"):
-        s = "▁" + word
-        total = 0.0
-        for cuts in product([0, 1], repeat=len(s) - 1):
-            parts, p = [], 0.0
-            at = 0
-            for k, c in enumerate([*cuts, 1]):
-                if c:
-                    parts.append(s[at : k + 1])
-                    at = k + 1
-            for x in parts:
-                p += lattice.lp[x] if x in lattice.lp else lattice._char(x) if len(x) == 1 else -math.inf
-            total += math.exp(p)
-        assert math.isclose(lattice.log_prob(word), math.log(total), rel_tol=1e-9)
-        counts = np.zeros(len(model.pieces))
-        lattice.expect(word, 2.0, counts)
-        assert counts.sum() > 0
+    train = [(t or "") for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
+    lattice, found = Lat.Lattice(model, Lat.initial_log_probs(model)), np.zeros(len(model.pieces))
+    for w, n in Counter(w for t in train for w in t.encode().lower().split()).items():
+        lattice.expect([w.decode()], [n], found)
+    found = np.where(np.isfinite(lattice.log_probs), found + 0.1, 0)
+    total = found.sum() + len(train) + 0.1
+    with np.errstate(divide="ignore"):
+        fitted = Lat.Lattice(model, np.log(found / total))
+    want = sorted((sum(fitted.log_probs_of([w.decode()])[0] for w in (t or "").encode().lower().split()) + math.log((len(train) + 0.1) / total)) / math.log(10) for _, t in rows)
+    assert np.allclose(sorted(r.score for r in got), want, rtol=1e-9)
 
 
 def test_base_score_and_counts(spark, docs):

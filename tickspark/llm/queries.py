@@ -53,7 +53,7 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_score.score(documents(spark, sf_dir), sp_model(), rounds=2)
+    return lattice_score.score(documents(spark, sf_dir), sp_model(), rounds=1)
 
 
 def op7_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
