@@ -68,6 +68,46 @@ def test_search_recall_and_exact_scores(spark, small):
     assert C.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_repeated_rows_and_ties_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    few = rng.integers(-3, 4, (30, 6)).astype(float).tolist()  # ties and equal vectors
+    rows = [(i, few[i % 30] if any(few[i % 30]) else [1.0] * 6) for i in range(200)]
+    rows += [rows[0]] * 50 + [rows[21]] * 3 + [(40, rows[3][1])]
+    got = {}
+    for r in C.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, 20, share=1.0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    once = sorted({(i, tuple(v)) for i, v in rows})
+    for q, near in got.items():
+        own = [np.array(v) for i, v in once if i == q]
+        best = {}
+        for i, v in once:
+            if i != q:
+                best[i] = max([best.get(i, -math.inf), *(float(v @ a) for a in own)])
+        if len(own) == 1:
+            assert [(i, s) for _, i, s in sorted(near)] == sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
+    assert len(got) == 10
+
+
+def test_recall_on_fifty_thousand_vectors_with_few_verified():
+    """Uniform directions, the hardest case: seven blocks as the query makes them."""
+    rng = np.random.default_rng(2)
+    vectors = rng.standard_normal((50_000, 64))
+    vectors /= np.sqrt((vectors**2).sum(1))[:, None]
+    asked, verified, found = rng.choice(50_000, 32, replace=False), 0, [[] for _ in range(32)]
+    for ids in np.array_split(rng.permutation(50_000), 7):
+        block = C.Block(ids, vectors[ids], 1.0, 160, 11, 20)
+        scores = block.expand(vectors[asked], block.lines[:, :-1] @ vectors[asked].T, 0.6, 128, 160 + math.ceil(0.01 * len(ids)))
+        verified += int((~np.isneginf(scores)).sum())
+        for q, row in enumerate(scores):
+            found[q] += list(block._nearest(row, int(asked[q]), 20))
+    assert verified < 0.05 * 32 * 50_000
+    hits = 0
+    for q, i in enumerate(asked):
+        want = np.argsort(-(vectors @ vectors[i]))[1:21]
+        hits += len(set(want) & {j for _, j, _ in sorted(found[q], key=lambda x: -x[2])[:20]})
+    assert hits >= 0.9 * 32 * 20
+
+
 # ---- images
 
 

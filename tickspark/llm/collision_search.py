@@ -5,6 +5,10 @@ the largest one.  Rows are dealt into blocks by hash; in a block each random pro
 sorted array.  A query looks at windows centred on its own projections that grow by virtual
 rehashing; vectors in at least a threshold of the windows are verified with their exact inner
 product, until enough are verified at a radius.  Blocks' results merge into the nearest of all.
+
+The first windows hold more than half of a block, so their collisions are counted from the entries outside; later ones
+count only what they add.  The query set meets all rows in blocks: on vectors without clusters a window that
+keeps nine in ten of the nearest also holds most others, so that the windows' entries as joined rows would outnumber the pairs.
 """
 
 from __future__ import annotations
@@ -42,42 +46,50 @@ class Block:
         self.order = np.argsort(placed, axis=1, kind="stable")
         self.sorted = np.take_along_axis(placed, self.order, axis=1)
 
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, largest: float, k: int, width: float, threshold: float, extra: int) -> Iterator[tuple[int, int, float]]:
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, largest: float, k: int, width: float, threshold: float, share: float) -> Iterator[tuple[int, int, float]]:
         n = len(self.vectors)
         need_hits = max(1, math.ceil(threshold * len(self.lines)))
         # a query is scaled to the largest norm, which leaves its order of inner products alone
         norms = np.sqrt((queries**2).sum(1))
         centres = self.lines[:, :-1] @ (queries * (largest / norms)[:, None]).T
-        spread = float(np.mean(self.sorted[:, -1] - self.sorted[:, 0])) or 1.0
+        enough = min(n, 8 * k + math.ceil(share * n))
         for at in range(0, len(queries), 64):
             part = range(at, min(at + 64, len(queries)))
-            scores = self._expand(queries[at : at + 64], centres[:, at : at + 64], width * spread, need_hits, min(n, k + extra))
+            scores = self.expand(queries[at : at + 64], centres[:, at : at + 64], width, need_hits, enough)
             for q, found in zip(part, scores):
                 yield from self._nearest(found, int(query_ids[q]), k)
 
-    def _expand(self, queries: np.ndarray, centres: np.ndarray, radius: float, need_hits: int, enough: int) -> np.ndarray:
+    def expand(self, queries: np.ndarray, centres: np.ndarray, width: float, need_hits: int, enough: int) -> np.ndarray:
         """(query, vector) inner products of the verified vectors, -inf for the others.
 
-        Windows only ever grow, so each step counts what it adds on either side.
+        The first radius is that of windows which hold about a share `width` of the entries.
         """
-        n, m = len(self.vectors), len(queries)
+        n, m, lines = len(self.vectors), len(queries), len(self.lines)
         scores, hits = np.full((m, n), -np.inf), np.zeros((m, n), np.int64)
-        low = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centres)])
-        high, live = low.copy(), np.arange(m)
+        pick = self.sorted[:, :: max(1, n // 64)]
+        radius = np.quantile(np.abs(pick[:, :, None] - centres[:, None, :]), width, axis=(0, 1)) + 1e-9
+        low, room = np.zeros((lines, m), np.int64), np.empty(lines * n, np.int64)
+        high, live, first = low.copy(), np.arange(m), True
         while len(live):
-            wide_low = np.array([np.searchsorted(s, c - radius, "left") for s, c in zip(self.sorted, centres[:, live])])
-            wide_high = np.array([np.searchsorted(s, c + radius, "right") for s, c in zip(self.sorted, centres[:, live])])
+            wide_low = np.array([np.searchsorted(s, c - radius[live], "left") for s, c in zip(self.sorted, centres[:, live])])
+            wide_high = np.array([np.searchsorted(s, c + radius[live], "right") for s, c in zip(self.sorted, centres[:, live])])
             done = []
             for i, q in enumerate(live.tolist()):
-                bounds = (wide_low[:, i].tolist(), low[:, q].tolist(), high[:, q].tolist(), wide_high[:, i].tolist())
-                rings = [o[a:b] for o, a, b in zip(self.order, *bounds[:2])] + [o[a:b] for o, a, b in zip(self.order, *bounds[2:])]
-                hits[q] += np.bincount(np.concatenate(rings), minlength=n)
-                new = np.flatnonzero((hits[q] >= need_hits) & np.isneginf(scores[q]))
+                if first:
+                    out = [o[:a] for o, a in zip(self.order, wide_low[:, i].tolist())] + [o[b:] for o, b in zip(self.order, wide_high[:, i].tolist())]
+                    hits[q] = lines - np.bincount(np.concatenate(out, out=room[: sum(map(len, out))]), minlength=n)
+                else:
+                    bounds = (wide_low[:, i].tolist(), low[:, q].tolist(), high[:, q].tolist(), wide_high[:, i].tolist())
+                    rings = [o[a:b] for o, a, b in zip(self.order, *bounds[:2])] + [o[a:b] for o, a, b in zip(self.order, *bounds[2:])]
+                    hits[q] += np.bincount(np.concatenate(rings, out=room[: sum(map(len, rings))]), minlength=n)
+                met = np.flatnonzero(hits[q] >= need_hits)
+                new = met[np.isneginf(scores[q, met])]
                 scores[q, new] = (self.vectors[new] * queries[q]).sum(1)
                 whole = not wide_low[:, i].any() and bool((wide_high[:, i] == n).all())
-                done.append(whole or int((hits[q] >= need_hits).sum()) >= enough)
-            low[:, live], high[:, live] = wide_low, wide_high
-            live, radius = live[~np.array(done)], radius * 1.4
+                done.append(whole or len(met) >= enough)
+            low[:, live], high[:, live], first = wide_low, wide_high, False
+            radius[live] *= 1.04
+            live = live[~np.array(done)]
         return scores
 
     def _nearest(self, scores: np.ndarray, query_id: int, k: int) -> Iterator[tuple[int, int, float]]:
@@ -97,13 +109,13 @@ class Block:
 
 def nearest(
     vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 8192, query_rows: int = 1024,
-    projections: int = 64, threshold: float = 0.6, width: float = 0.08, extra: int = 600, seed: int = 11,
+    projections: int = 160, threshold: float = 0.8, width: float = 0.6, share: float = 0.01, seed: int = 11,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which `queries` holds, by inner product.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null
-    id; vectors meet only vectors of the same length.  Ties go to the smaller id.  Rows that repeat an id
-    count once for each different vector.
+    id; vectors meet only vectors of the same length.  Ties go to the smaller id.  Exact repeats of a row count once, rows that
+    repeat an id once for each different vector.  Other columns are left out; an empty table gives an empty one.
     """
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), queries.alias("q"))
     base = base.filter(usable(F.col("v")) & F.col("id").isNotNull())
@@ -123,7 +135,7 @@ def nearest(
         if len(own) and len(looking):
             top = sizes[key[0]][2]
             block = Block(own["id"].to_numpy(), np.stack(own["v"].to_numpy()), top, projections, seed, k)
-            found = list(block.search(np.stack(looking["v"].to_numpy()), looking["id"].to_numpy(), top, k, width, threshold, extra))
+            found = list(block.search(np.stack(looking["v"].to_numpy()), looking["id"].to_numpy(), top, k, width, threshold, share))
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     hits = data.groupBy("dim", "block", "part").cogroup(asked.groupBy("dim", "block", "part")).applyInPandas(run, "query_id long, vec_id long, score double")
