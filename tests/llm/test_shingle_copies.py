@@ -63,3 +63,15 @@ def test_pipeline_stage_drops_copies_over_four_bits_apart(spark, small):
     kept = C.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), small)
     assert {r.doc_id for r in kept.collect()} == want
     assert near_copy_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pipeline_stage_decides_by_row(spark, small):
+    """Repeated rows, ids under different texts, null ids, empty and long texts, columns that clash with names used inside."""
+    a, b, c, long = ("a b c d e f g", "h i j k l m n", "o p q r s t u", "w " * 200_000)
+    rows = [(1, a), (1, a), (2, b), (3, b), (3, c), (None, b), (None, "only here now"), (None, "only here now"), (8, None), (7, " "), (9, ""), (11, long), (10, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as num", "2 as node", "3 as `row`", "4 as `a.b`", "5 as id", "6 as keys")
+    kept = C.drop_near_duplicates(spark, docs, small)
+    assert kept.columns == docs.columns
+    want = [(1, a), (2, b), (3, c), (None, "only here now"), (7, " "), (10, long)]
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted((d or 0, t) for d, t in want)
+    assert C.drop_near_duplicates(spark, docs.limit(0), small).count() == 0

@@ -61,6 +61,18 @@ def tasks_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def join_hot(rows: DataFrame, named: DataFrame, key: str, rows_of: str, most: int = 1000) -> DataFrame:
+    """rows joined with `named` (one row for each key; column `rows_of` counts the key's rows) on the key.
+
+    Keys with more than 1/most of all rows, of which there are fewer than `most`, are sent to every task, so that no
+    task gets all rows of one key; the others meet in a shuffle.  Both tables are read twice and should be stored.
+    """
+    total = named.agg(F.coalesce(F.sum(rows_of), F.lit(0)).alias("n")).first()["n"]
+    hot, rest = named.filter(F.col(rows_of) * most > total).drop(rows_of), named.filter(F.col(rows_of) * most <= total).drop(rows_of)
+    few = F.broadcast(hot)  # fewer than `most` rows
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(rest, key))
+
+
 def slices(items: list[str], max_rows: int = 256, max_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive runs with at most so many rows and characters (one row at least)."""
     begin = chars = 0

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpoint, materialise, slices, whole_text
+from ._common import checkpoint, join_hot, materialise, slices, whole_text
 from .components import connected_components
 from .golay import decode, indices
 from .shingle_hash import fingerprints
@@ -99,15 +99,17 @@ def _kind(x: str) -> str:
 def near_pairs(prints: DataFrame) -> DataFrame:
     """(a, b): all pairs a < b of the distinct fingerprints `fp` that differ in at most four bits, but for those with one `root`.
 
-    Without a column root, every fingerprint is its own.
+    Without a column root, every fingerprint is its own.  Fingerprints first meet the roots that share a key with them and
+    then those roots' members, so that no two of one root are ever paired.
     """
     if "root" not in prints.columns:
         prints = prints.select("fp", F.col("fp").alias("root"))
-    left = _key_rows(prints, probe=False).alias("l")
-    right = _key_rows(prints, probe=True).alias("r")
-    x = "(l.fp ^ r.fp)"
-    on = F.expr(f"l.key = r.key and l.root <> r.root and bit_count({x}) <= {MAX_BITS} and shiftright(l.key, 36) = {_kind(x)}")
-    return left.join(right, on).select(F.expr("least(l.fp, r.fp) a"), F.expr("greatest(l.fp, r.fp) b")).distinct()
+    left = _key_rows(prints, probe=False)
+    roots = left.select("key", F.col("root").alias("other")).distinct()
+    met = _key_rows(prints, probe=True).join(roots, "key").filter("root <> other").select("key", F.col("fp").alias("near"), F.col("other").alias("root"))
+    x = "(fp ^ near)"
+    pairs = met.join(left, ["key", "root"]).filter(f"bit_count({x}) <= {MAX_BITS} and shiftright(key, 36) = {_kind(x)}")
+    return pairs.select(F.least("fp", "near").alias("a"), F.greatest("fp", "near").alias("b")).distinct()
 
 
 def star_links(prints: DataFrame) -> DataFrame:
@@ -135,16 +137,17 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     component_id is the smallest id reachable over links of at most four differing bits.  Rows with
     a null id are linked too but never name a group (null if no row of the group has an id).
-    Equal fingerprints meet as one; pairs arise only between different ones.
+    Equal fingerprints meet as one; pairs arise only between different ones.  Null text counts as empty, texts without words
+    are linked to each other; repeated rows stay; columns besides the id and the text are left out; an empty table gives an empty one.
     """
     marked = materialise(add_fingerprints(docs, id_col, text_col, words), "fingerprints")
-    prints = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    prints = materialise(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "prints")
     roots = checkpoint(component_roots(prints.select("fp")))
     linked = roots.withColumnRenamed("node", "fp").join(prints, "fp")
     groups = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = roots.join(groups, "root").select(F.col("node").alias("fp"), "component_id")
-    named = prints.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(named, "fp").select("id", "fp", "component_id")
+    named = prints.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
+    return join_hot(marked, materialise(named, "print-groups"), "fp", "n").select("id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp"):
