@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from ..functions.windows import micros, ratio
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def sentiment_score(text: Column, positive: list[str], negative: list[str]) -> Column:
-    """(p - n) / (p + n) over the distinct words of the text, 0 without any."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\w+)"), F.lit(1)))
-    hits = lambda listed: F.size(F.array_intersect(words, F.array(*map(F.lit, listed))))
-    p, n = hits(positive), hits(negative)
-    return F.when(text.isNotNull(), F.coalesce((p - n) / F.nullif((p + n).cast("double"), F.lit(0.0)), F.lit(0.0)))
+    """(p - n) / (p + n) over the distinct words (runs of a-z, 0-9 and _) of the lower-cased text, 0 without any."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1)))
+    hits = lambda w, listed: F.size(F.array_intersect(w, F.array(*map(F.lit, listed))))
+    counted = _bound(words, lambda w: F.struct(hits(w, positive).alias("p"), hits(w, negative).alias("n")))
+    score = _bound(counted, lambda c: F.coalesce((c.p - c.n) / F.nullif((c.p + c.n).cast("double"), F.lit(0.0)), F.lit(0.0)))
+    return F.when(text.isNotNull(), score)
 
 
 def sentiment_label(score: Column, at: float = 0.3) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +17,7 @@ MATCH_KEY = ["order_id", "symbol", "side", "venue"]
 
 def _compared(price_tol: float, qty_tol: float, drift_ms: float) -> Column:
     """The first check that fails of quantity, price and time, or matched."""
-    drift = F.abs(micros("i_ts") - micros("x_ts")) / 1000
+    drift = F.abs(F.col("i_us") - F.col("x_us")) / 1000
     return (
         F.when(F.abs(F.col("i_quantity") - F.col("x_quantity")) > qty_tol, "quantity")
         .when(F.abs(F.col("i_price") - F.col("x_price")) > price_tol, "price")
@@ -26,38 +29,39 @@ def _compared(price_tol: float, qty_tol: float, drift_ms: float) -> Column:
 def match_fills(internal: DataFrame, exchange: DataFrame, price_tol: float = 0.01, qty_tol: float = 0.001, drift_ms: float = 1000.0) -> DataFrame:
     """(internal_id, exchange_id, result): matched, or the first failing check of a comparison; greedy in arrival order.
 
-    Keys with one fill on each side (the usual case) are joined; the others are folded key by key: each
-    internal fill, in (ts, fill_id) order, meets the first exchange fill not yet consumed, and a break consumes neither.
+    Both sides meet in one exchange by key.  Keys with one fill on each side (the usual case) are compared in an
+    aggregate; the others are read as one stream: each internal fill, in (ts, fill_id) order, meets the first exchange fill not
+    yet consumed, and a break consumes neither.  The stream holds only the exchange fills of one key that arrived and wait.
     """
-    pick = lambda df, p: df.select(*MATCH_KEY, *(F.col(c).alias(f"{p}_{c}") for c in ("fill_id", "ts", "quantity", "price")))
-    a, b = pick(internal, "i"), pick(exchange, "x")
-    n = a.groupBy(*MATCH_KEY).agg(F.count("*").alias("_a")).join(b.groupBy(*MATCH_KEY).agg(F.count("*").alias("_b")), MATCH_KEY)
-    single, many = n.filter("_a = 1 and _b = 1").select(*MATCH_KEY), n.filter("_a > 1 or _b > 1").select(*MATCH_KEY)
-    fast = a.join(b, MATCH_KEY).join(single, MATCH_KEY, "left_semi")
-    fast = fast.select(F.col("i_fill_id").alias("internal_id"), F.col("x_fill_id").alias("exchange_id"), _compared(price_tol, qty_tol, drift_ms).alias("result"))
-
-    def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values(["i_ts", "i_fill_id"]), right.sort_values(["x_ts", "x_fill_id"])
-        waiting, out = list(right.itertuples(index=False)), []
-        for f in left.itertuples(index=False):
-            if not waiting:
-                break
-            x = waiting[0]
-            if abs(f.i_quantity - x.x_quantity) > qty_tol:
-                result = "quantity"
-            elif abs(f.i_price - x.x_price) > price_tol:
-                result = "price"
-            elif abs((f.i_ts - x.x_ts).total_seconds()) * 1000 > drift_ms:
-                result = "timestamp_drift"
-            else:
-                result = "matched"
-                waiting.pop(0)
-            out.append((f.i_fill_id, x.x_fill_id, result))
-        return pd.DataFrame(out, columns=["internal_id", "exchange_id", "result"])
-
-    ours, theirs = a.join(many, MATCH_KEY, "left_semi"), b.join(many, MATCH_KEY, "left_semi")
-    theirs = theirs.withColumnsRenamed({k: f"_{k}" for k in MATCH_KEY})
-    slow = ours.groupBy(*MATCH_KEY).cogroup(theirs.groupBy(*(f"_{k}" for k in MATCH_KEY))).applyInPandas(fold, "internal_id string, exchange_id string, result string")
+    pick = lambda df, side: df.select(*MATCH_KEY, F.lit(side).alias("_x"), "fill_id", micros("ts").alias("us"), "quantity", "price")
+    both = pick(internal, False).unionByName(pick(exchange, True)).repartition(*MATCH_KEY)
+    key = Window.partitionBy(*MATCH_KEY)
+    n = both.withColumn("_a", F.count(F.when(~F.col("_x"), 1)).over(key)).withColumn("_b", F.count(F.when(F.col("_x"), 1)).over(key))
+    side = lambda p, c: F.max(F.when(F.col("_x") if p == "x" else ~F.col("_x"), F.col(c))).alias(f"{p}_{c}")
+    single = n.filter("_a = 1 and _b = 1").groupBy(*MATCH_KEY).agg(*(side(p, c) for p in "ix" for c in ("fill_id", "us", "quantity", "price")))
+    fast = single.select(F.col("i_fill_id").alias("internal_id"), F.col("x_fill_id").alias("exchange_id"), _compared(price_tol, qty_tol, drift_ms).alias("result"))
+    rank = F.row_number().over(Window.partitionBy(*MATCH_KEY, "_x").orderBy("us", "fill_id"))
+    # the i-th internal fill meets one of the first i exchange fills, which come before it here
+    many = n.filter("_a > 0 and _b > 0 and _a + _b > 2").withColumn("_r", rank).sortWithinPartitions(*MATCH_KEY, "_r", F.desc("_x"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, waiting = None, deque()
+        for batch in batches:
+            out = []
+            for *k, theirs, fill_id, us, quantity, price in batch.itertuples(index=False, name=None):
+                if k != last:
+                    last, waiting = k, deque()
+                if theirs:
+                    waiting.append((fill_id, us, quantity, price))
+                elif waiting:
+                    x = waiting[0]
+                    result = "quantity" if abs(quantity - x[2]) > qty_tol else "price" if abs(price - x[3]) > price_tol else "timestamp_drift" if abs(us - x[1]) / 1000 > drift_ms else "matched"
+                    out.append((fill_id, x[0], result))
+                    if result == "matched":
+                        waiting.popleft()
+            yield pd.DataFrame(out, columns=["internal_id", "exchange_id", "result"])
+
+    slow = many.select(*MATCH_KEY, "_x", "fill_id", "us", "quantity", "price").mapInPandas(fold, "internal_id string, exchange_id string, result string")
     return fast.unionByName(slow)
 
 
@@ -137,6 +141,12 @@ def position_state(trades: DataFrame, by=("account", "symbol"), order=("ts", "fi
     return out.drop("side", "quantity", "price")
 
 
+def position_quantity(trades: DataFrame, by=("account", "symbol"), order=("ts", "fill_id")) -> DataFrame:
+    """Adds the position after each trade: a running sum, for uses that need no cost."""
+    signed = F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))
+    return trades.withColumn("position", F.sum(signed).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def exposure_summary(positions: DataFrame, equity: float, max_leverage: float = 2.0, max_share: float = 0.25, by: str = "account") -> DataFrame:
     """Per entity: gross, net, leverage, largest share of gross, and limit breaches, from (entity, symbol, quantity, price)."""
     value = F.col("quantity") * F.col("price")

@@ -114,20 +114,26 @@ def feature_graph(df: DataFrame, cols: list[str], threshold: float) -> DataFrame
     return correlation_matrix(df, cols).filter(F.abs("corr") > threshold).withColumn("weight", F.abs("corr")).drop("corr")
 
 
-def pair_panel(returns: DataFrame, value: str = "ret", least: int = 30) -> DataFrame:
+def _at_common_times(returns: DataFrame, value: str, order: str, blocks: int) -> DataFrame:
+    """(ts, a, b, x, y) for symbols a, b in the given order at common times; symbols are dealt into blocks, so that a time is shared by blocks^2 tasks."""
+    block = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
+    every = F.explode(F.array(*map(F.lit, range(blocks))))
+    base = returns.select("ts", "symbol", F.col(value).alias("_v"), block.alias("_own")).withColumn("_other", every)
+    a = base.select("ts", F.col("_own").alias("_p"), F.col("_other").alias("_q"), F.col("symbol").alias("a"), F.col("_v").alias("x"))
+    b = base.select("ts", F.col("_other").alias("_p"), F.col("_own").alias("_q"), F.col("symbol").alias("b"), F.col("_v").alias("y"))
+    return a.join(b, ["ts", "_p", "_q"]).filter(order).select("ts", "a", "b", "x", "y")
+
+
+def pair_panel(returns: DataFrame, value: str = "ret", least: int = 30, blocks: int = 4) -> DataFrame:
     """Rows of all symbol pairs a < b at common times; pairs with fewer rows go."""
-    a = returns.select("ts", F.col("symbol").alias("a"), F.col(value).alias("x"))
-    b = returns.select("ts", F.col("symbol").alias("b"), F.col(value).alias("y"))
-    both = a.join(b, "ts").filter("a < b")
-    return both.join(both.groupBy("a", "b").count().filter(F.col("count") >= least).select("a", "b"), ["a", "b"], "left_semi")
+    both = _at_common_times(returns, value, "a < b", blocks)
+    return both.withColumn("_n", F.count("*").over(Window.partitionBy("a", "b"))).filter(F.col("_n") >= least).select("a", "b", "ts", "x", "y")
 
 
-def return_moments(returns: DataFrame, periods: int = YEAR) -> tuple[DataFrame, DataFrame]:
-    """(mean by symbol, covariance by a <= b), annualised."""
+def return_moments(returns: DataFrame, periods: int = YEAR, blocks: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(mean by symbol, covariance by a <= b), annualised; each task sums the products of its blocks of symbols first."""
     mean = returns.groupBy("symbol").agg((F.avg("ret") * periods).alias("mu"))
-    a = returns.select("ts", F.col("symbol").alias("a"), F.col("ret").alias("x"))
-    b = returns.select("ts", F.col("symbol").alias("b"), F.col("ret").alias("y"))
-    cov = a.join(b, "ts").filter("a <= b").groupBy("a", "b").agg((F.covar_samp("x", "y") * periods).alias("cov"), F.count("*").alias("n"))
+    cov = _at_common_times(returns, "ret", "a <= b", blocks).groupBy("a", "b").agg((F.covar_samp("x", "y") * periods).alias("cov"), F.count("*").alias("n"))
     return mean, cov
 
 
@@ -147,7 +153,7 @@ def vol_target(stats: DataFrame, target: float) -> DataFrame:
 
 def corr_distance(returns: DataFrame, least: int = 3) -> DataFrame:
     """sqrt((1 - corr) / 2) of each symbol pair."""
-    pairs = pair_panel(returns, least=least).groupBy("a", "b").agg(correlation("x", "y").alias("_c"))
+    pairs = _at_common_times(returns, "ret", "a < b", 4).groupBy("a", "b").agg(correlation("x", "y").alias("_c"), F.count("*").alias("_n")).filter(F.col("_n") >= least)
     return pairs.select("a", "b", F.sqrt(F.greatest((1 - F.col("_c")) / 2, F.lit(0.0))).alias("distance"))
 
 
@@ -303,19 +309,17 @@ def frac_diff_weights(d: float, threshold: float) -> np.ndarray:
 
 
 def frac_diff(df: DataFrame, col: str = "close", d: float = 0.5, threshold: float = 1e-5, by: str = "symbol", order: str = "ts") -> DataFrame:
-    """Fractional difference with fixed weights; the first output is at row len(weights) (one late)."""
-    weights = frac_diff_weights(d, threshold)
+    """Fractional difference with fixed weights, a sum over a window of as many rows; the first output is at row len(weights) (one late).
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(order)
-        x, out = t[col].to_numpy(float), np.full(len(t), np.nan)
-        n = len(weights)
-        if len(x) > n:
-            out[n:] = np.convolve(x, weights, "full")[n : len(x)]
-        return t.assign(frac=out)[[by, order, "frac"]]
-
-    kinds = dict(df.dtypes)
-    return df.select(by, order, col).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}, frac double")
+    A null value makes the outputs null that it weighs in.
+    """
+    weights = frac_diff_weights(d, threshold)
+    rows = Window.partitionBy(by).orderBy(order)
+    past = F.collect_list(F.coalesce(F.col(col).cast("double"), F.lit(float("nan")))).over(rows.rowsBetween(1 - len(weights), 0))
+    # the oldest value comes first
+    total = F.aggregate(F.zip_with(past, F.array(*map(F.lit, weights[::-1].tolist())), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+    full = (F.row_number().over(rows) > len(weights)) & ~F.isnan(total)
+    return df.select(by, order, F.when(full, total).alias("frac"))
 
 
 def series_transform(df: DataFrame, f, fields: str, col: str = "close", by: str = "symbol", order: str = "ts", one_row: bool = False) -> DataFrame:

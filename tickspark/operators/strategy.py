@@ -137,9 +137,19 @@ def sweep_cross(grid: DataFrame, symbols: DataFrame, start: str, end: str, step:
 
 def walk_forward_windows(spark: SparkSession, start: str, end: str, train_days: int, test_days: int, anchored: bool = False) -> DataFrame:
     """(fold, train_start, train_end, test_start, test_end): the next window starts where the last test ends."""
-    one = spark.range(1).selectExpr(f"explode(sequence(timestamp_ntz '{start}' + interval {train_days} days, timestamp_ntz '{end}' - interval {test_days} days, interval {test_days} days)) test_start")
-    first = F.expr(f"timestamp_ntz '{start}'")
-    begin = first if anchored else F.expr(f"test_start - interval {train_days} days")
+    return _windows(spark.range(1).selectExpr(f"timestamp_ntz '{start}' a", f"timestamp_ntz '{end}' b"), train_days, test_days, anchored)
+
+
+def walk_forward_of(df: DataFrame, train_days: int, test_days: int, anchored: bool = False, ts: str = "ts") -> DataFrame:
+    """walk_forward_windows from the first to the last time of the rows."""
+    return _windows(df.agg(F.min(ts).cast("timestamp_ntz").alias("a"), F.max(ts).cast("timestamp_ntz").alias("b")), train_days, test_days, anchored)
+
+
+def _windows(ends: DataFrame, train_days: int, test_days: int, anchored: bool) -> DataFrame:
+    """Windows of one row (a, b); none where the time is too short."""
+    long = ends.filter(f"a + interval {train_days} days <= b - interval {test_days} days")
+    one = long.selectExpr("a", f"explode(sequence(a + interval {train_days} days, b - interval {test_days} days, interval {test_days} days)) test_start")
+    begin = F.col("a") if anchored else F.expr(f"test_start - interval {train_days} days")
     return one.select(
         (F.row_number().over(Window.orderBy("test_start")) - 1).alias("fold"), begin.alias("train_start"), F.col("test_start").alias("train_end"), "test_start", F.expr(f"test_start + interval {test_days} days").alias("test_end")
     )

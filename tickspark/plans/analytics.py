@@ -16,8 +16,6 @@ def _returns(spark, d):
 
 
 _RET = f"{V.RETURNS}, r as (select * from returns where ret is not null)"
-# a few symbols, so that pairs stay few whatever the scale of the tables
-_SOME = "symbol between 1 and 8"
 _PANEL = f"{_RET}, pan as (select x.symbol as a, y.symbol as b, x.ts, x.ret as x, y.ret as y from r x join r y on x.ts = y.ts and x.symbol < y.symbol)"
 
 
@@ -25,36 +23,30 @@ def _fills(spark, d):
     return V.fills_internal(spark, d), V.fills_exchange(spark, d)
 
 
-_MATCH = f"""{V.FILLS}, ia as (select *, count(*) over (partition by order_id, symbol, side, venue) as c from internal), xa as (select *, count(*) over (partition by order_id, symbol, side, venue) as c from exchange),
- m as (select i.fill_id as internal_id, x.fill_id as exchange_id, case when abs(i.quantity - x.quantity) > 0.001 then 'quantity' when abs(i.price - x.price) > 0.01 then 'price'
- when abs(epoch_us(i.ts) - epoch_us(x.ts)) / 1000 > 1000 then 'timestamp_drift' else 'matched' end as result from ia i join xa x on i.order_id = x.order_id and i.symbol = x.symbol and i.side = x.side and i.venue = x.venue where i.c = 1 and x.c = 1)"""
+_SAME = "i.order_id = x.order_id and i.symbol = x.symbol and i.side = x.side and i.venue = x.venue"
+_RESULT = """case when abs(i.quantity - x.quantity) > 0.001 then 'quantity' when abs(i.price - x.price) > 0.01 then 'price'
+ when abs(epoch_us(i.ts) - epoch_us(x.ts)) / 1000 > 1000 then 'timestamp_drift' else 'matched' end"""
+#: The i-th internal fill of a key meets the first exchange fill that no earlier one was matched with.
+_MATCH = f"""{V.FILLS}, ia as (select *, row_number() over (partition by order_id, symbol, side, venue order by ts, fill_id) as r from internal),
+ xa as (select *, row_number() over (partition by order_id, symbol, side, venue order by ts, fill_id) as r from exchange),
+ m as (select i.order_id, i.symbol, i.side, i.venue, i.r as at, x.r as met, i.fill_id as internal_id, x.fill_id as exchange_id, {_RESULT} as result from ia i join xa x on {_SAME} where i.r = 1 and x.r = 1
+ union all select i.order_id, i.symbol, i.side, i.venue, i.r, x.r, i.fill_id, x.fill_id, {_RESULT}
+ from m join ia i on m.order_id = i.order_id and m.symbol = i.symbol and m.side = i.side and m.venue = i.venue and i.r = m.at + 1 join xa x on {_SAME} and x.r = m.met + case when m.result = 'matched' then 1 else 0 end)"""
 
 
-def _single(spark, d):
-    """Fills of keys with one fill a side, for the closed-form comparison."""
-    a, b = _fills(spark, d)
-    one = lambda df: df.join(df.groupBy(*L.MATCH_KEY).count().filter("count = 1").drop("count"), L.MATCH_KEY, "left_semi")
-    return one(a), one(b)
-
-
-@query(f"with {_MATCH} select * from m")
+@query(f"with recursive {_MATCH} select internal_id, exchange_id, result from m")
 def jn6_match_fills(spark, d):
-    return L.match_fills(*_single(spark, d))
-
-
-@query()
-def jn6_match_fills_greedy(spark, d):
     return L.match_fills(*_fills(spark, d))
 
 
 @query(
-    f"""with {_MATCH}, ok as (select * from m where result = 'matched'), a as (select fill_id, 'missing_exchange' as kind, 'high' as severity from internal where fill_id not in (select internal_id from ok) and ts < timestamp '2001-01-01'),
+    f"""with recursive {_MATCH}, ok as (select * from m where result = 'matched'), a as (select fill_id, 'missing_exchange' as kind, 'high' as severity from internal where fill_id not in (select internal_id from ok) and ts < timestamp '2001-01-01'),
  b as (select fill_id, 'missing_internal' as kind, 'critical' as severity from exchange where fill_id not in (select exchange_id from ok) and ts < timestamp '2001-01-01')
  select substr(md5(concat_ws(':', kind, fill_id)), 1, 12) as break_id, fill_id, kind, severity from (select * from a union all select * from b)"""
 )
 def jn7_missing_fills(spark, d):
     a, b = _fills(spark, d)
-    return L.missing_fills(a, b, L.match_fills(*_single(spark, d)), "2001-01-01 00:00:00", 0)
+    return L.missing_fills(a, b, L.match_fills(a, b), "2001-01-01 00:00:00", 0)
 
 
 @query(
@@ -66,12 +58,12 @@ def jn8_pnl_reconciliation(spark, d):
     return rounded(L.pnl_reconciliation(*_fills(spark, d)), 4)
 
 
-@query(f"with {_PANEL} select a, b, ts, round(x, 6) as x, round(y, 6) as y from pan where a between 1 and 8 and b between 1 and 8 and (a, b) in (select (a, b) from pan group by a, b having count(*) >= 30)")
+@query(f"with {_PANEL} select a, b, ts, round(x, 6) as x, round(y, 6) as y from pan where (a, b) in (select (a, b) from pan group by a, b having count(*) >= 30)")
 def jn9_pair_panel(spark, d):
-    return rounded(P.pair_panel(_returns(spark, d).filter(_SOME)))
+    return rounded(P.pair_panel(_returns(spark, d)))
 
 
-_COINT = f"""{V.BARS}, pan as (select x.symbol as a, y.symbol as b, x.ts, x.close as x, y.close as y from bars x join bars y on x.ts = y.ts and x.symbol < y.symbol where x.{_SOME} and y.{_SOME}),
+_COINT = f"""{V.BARS}, pan as (select x.symbol as a, y.symbol as b, x.ts, x.close as x, y.close as y from bars x join bars y on x.ts = y.ts and x.symbol < y.symbol),
  f as (select a, b, regr_slope(x, y) as hedge, regr_intercept(x, y) as intercept from pan group by 1, 2 having count(*) >= 30),
  e as (select a, b, ts, hedge, intercept, x - intercept - hedge * y as e from pan join f using (a, b)), l as (select *, lag(e) over (partition by a, b order by ts) as l from e),
  g as (select a, b, hedge, intercept, sum((e - l) * l) as xy, sum(l * l) as xx, sum((e - l) * (e - l)) as yy, count(*) as n from l where l is not null group by 1, 2, 3, 4)"""
@@ -79,7 +71,7 @@ _COINT = f"""{V.BARS}, pan as (select x.symbol as a, y.symbol as b, x.ts, x.clos
 
 @query(f"with {_COINT} select a, b, round(hedge, 6) as hedge, round(intercept, 6) as intercept, n, round((xy / xx) / sqrt((yy - xy / xx * xy) / (n - 1) / xx), 6) as t, (xy / xx) / sqrt((yy - xy / xx * xy) / (n - 1) / xx) < -3.34 as cointegrated from g")
 def jn10_cointegration(spark, d):
-    bars = V.daily_bars(spark, d).filter(_SOME)
+    bars = V.daily_bars(spark, d)
     return rounded(P.cointegration_scan(P.pair_panel(bars, "close")))
 
 
@@ -112,19 +104,19 @@ def ag35_sequence_gaps(spark, d):
 
 
 @query(
-    f"""with {_MATCH}, k as (select count(case when result = 'matched' then 1 end) as matched, count(case when result = 'quantity' then 1 end) as quantity, count(case when result = 'price' then 1 end) as price, count(case when result = 'timestamp_drift' then 1 end) as timestamp_drift from m),
+    f"""with recursive {_MATCH}, k as (select count(case when result = 'matched' then 1 end) as matched, count(case when result = 'quantity' then 1 end) as quantity, count(case when result = 'price' then 1 end) as price, count(case when result = 'timestamp_drift' then 1 end) as timestamp_drift from m),
  i as (select count(*) as n_internal, sum(quantity * price) as notional_internal from internal), x as (select count(*) as n_exchange, sum(quantity * price) as notional_exchange from exchange)
  select n_internal, n_exchange, round(notional_internal, 2) as notional_internal, round(notional_exchange, 2) as notional_exchange, matched, quantity, price, timestamp_drift, round(notional_internal - notional_exchange, 2) as difference,
  round(100.0 * matched / greatest(n_internal, n_exchange), 2) as match_rate from i, x, k"""
 )
 def ag9_eod_report(spark, d):
     a, b = _fills(spark, d)
-    return rounded(L.eod_report(a, b, L.match_fills(*_single(spark, d))), 2)
+    return rounded(L.eod_report(a, b, L.match_fills(a, b)), 2)
 
 
-@query(f"with {_MATCH} select internal_id, case when result = 'timestamp_drift' then 'resolved_auto' else 'open' end as status from m where result <> 'matched'")
+@query(f"with recursive {_MATCH} select internal_id, case when result = 'timestamp_drift' then 'resolved_auto' else 'open' end as status from m where result <> 'matched'")
 def ag10_resolve_drift(spark, d):
-    breaks = L.match_fills(*_single(spark, d)).filter("result <> 'matched'").withColumn("status", F.lit("open"))
+    breaks = L.match_fills(*_fills(spark, d)).filter("result <> 'matched'").withColumn("status", F.lit("open"))
     return L.resolve_drift_breaks(breaks).select("internal_id", "status")
 
 
@@ -147,14 +139,23 @@ def ag11_order_state(spark, d):
     return rounded(L.order_state(new.unionByName(fills)))
 
 
-@query()
+#: Average cost and realised profit trade by trade: adding to a position averages the cost, a flip through zero restarts it.
+_POS = f"""{V.FILLS}, k as (select fill_id, account, symbol, price as p, case when side = 'buy' then quantity else -quantity end as q, row_number() over (partition by account, symbol order by ts, fill_id) as i from internal),
+ f as (select fill_id, account, symbol, i, cast(q as double) as position, cast(p as double) as avg_cost, cast(0 as double) as realized from k where i = 1
+ union all select k.fill_id, k.account, k.symbol, k.i, f.position + k.q,
+ case when f.position = 0 or f.position * k.q > 0 then (abs(f.position) * f.avg_cost + abs(k.q) * k.p) / (abs(f.position) + abs(k.q)) when f.position + k.q = 0 then 0 when (f.position + k.q) * f.position < 0 then k.p else f.avg_cost end,
+ f.realized + case when f.position = 0 or f.position * k.q > 0 then 0 else least(abs(k.q), abs(f.position)) * (k.p - f.avg_cost) * sign(f.position) end
+ from f join k on f.account = k.account and f.symbol = k.symbol and k.i = f.i + 1)"""
+
+
+@query(f"with recursive {_POS} select fill_id, account, symbol, round(position, 4) as position, round(avg_cost, 4) as avg_cost, round(realized, 4) as realized from f")
 def ag12_position_state(spark, d):
-    return rounded(L.position_state(V.fills_internal(spark, d)))
+    return rounded(L.position_state(V.fills_internal(spark, d)).select("fill_id", "account", "symbol", "position", "avg_cost", "realized"), 4)
 
 
 @query(f"with {V.FILLS} select fill_id, account, symbol, round(sum(case when side = 'buy' then quantity else -quantity end) over (partition by account, symbol order by ts, fill_id), 6) as position from internal")
 def ag12_position_quantity(spark, d):
-    return rounded(L.position_state(V.fills_internal(spark, d)).select("fill_id", "account", "symbol", "position"))
+    return rounded(L.position_quantity(V.fills_internal(spark, d)).select("fill_id", "account", "symbol", "position"))
 
 
 @query(
@@ -293,11 +294,11 @@ def ag22_feature_graph(spark, d):
     return rounded(P.feature_graph(V.daily_bars(spark, d), ["open", "close", "volume"], 0.3))
 
 
-_COV = f"{_RET}, s as (select * from r where {_SOME}), mu as (select symbol, avg(ret) * 252 as mu from s group by 1), cov as (select x.symbol as a, y.symbol as b, covar_samp(x.ret, y.ret) * 252 as cov, count(*) as n from s x join s y on x.ts = y.ts and x.symbol <= y.symbol group by 1, 2), w as (select symbol % 2 as portfolio, symbol, 1.0 / (1 + symbol) as weight from (select distinct symbol from s))"
+_COV = f"{_RET}, s as (select * from r), mu as (select symbol, avg(ret) * 252 as mu from s group by 1), cov as (select x.symbol as a, y.symbol as b, covar_samp(x.ret, y.ret) * 252 as cov, count(*) as n from s x join s y on x.ts = y.ts and x.symbol <= y.symbol group by 1, 2), w as (select symbol % 2 as portfolio, symbol, 1.0 / (1 + symbol) as weight from (select distinct symbol from s))"
 
 
 def _moments(spark, d):
-    s = _returns(spark, d).filter(_SOME)
+    s = _returns(spark, d)
     return P.return_moments(s), s.select("symbol").distinct().selectExpr("symbol % 2 portfolio", "symbol", "1.0D / (1 + symbol) weight")
 
 
@@ -315,9 +316,9 @@ def ag24_portfolio_stats(spark, d):
     return rounded(P.vol_target(P.portfolio_stats(w, mu, cov), 0.1))
 
 
-@query(f"with {_PANEL}, c as (select a, b, corr(x, y) as c from pan where a between 1 and 8 and b between 1 and 8 group by 1, 2 having count(*) >= 30) select a, b, round(sqrt(greatest((1 - c) / 2, 0)), 6) as distance from c")
+@query(f"with {_PANEL}, c as (select a, b, corr(x, y) as c from pan group by 1, 2 having count(*) >= 30) select a, b, round(sqrt(greatest((1 - c) / 2, 0)), 6) as distance from c")
 def ag25_corr_distance(spark, d):
-    return rounded(P.corr_distance(_returns(spark, d).filter(_SOME), 30))
+    return rounded(P.corr_distance(_returns(spark, d), 30))
 
 
 @query(f"with {_COV}, c as (select symbol, 1.0 * symbol as cap from mu), cw as (select symbol, cap / (select sum(cap) from c) as w from c), f as (select a, b, cov from cov union all select b, a, cov from cov where a <> b) select a as symbol, round(2.5 * sum(cov * w), 6) as implied from f join cw on f.b = cw.symbol group by 1")
@@ -375,7 +376,14 @@ def ag32_granger(spark, d):
 # ---- whole series
 
 
-@query()
+_FRAC = ", ".join(f"({k}, {w!r})" for k, w in enumerate(P.frac_diff_weights(0.5, 1e-3).tolist()))
+
+
+@query(
+    f"""with {V.BARS}, w(k, w) as (values {_FRAC}), b as (select symbol, ts, close, row_number() over (partition by symbol order by ts) as i from bars),
+ s as (select x.symbol, x.ts, sum(w.w * y.close) as frac from b x, w, b y where x.symbol = y.symbol and y.i = x.i - w.k and x.i > (select count(*) from w) group by 1, 2)
+ select b.symbol, b.ts, round(frac, 6) as frac from b left join s using (symbol, ts)"""
+)
 def se1_frac_diff(spark, d):
     return rounded(P.frac_diff(V.daily_bars(spark, d), threshold=1e-3))
 

@@ -44,7 +44,14 @@ def wn3_sma(spark, d):
     return _pick(T.sma(V.daily_bars(spark, d), (20,), cross=(50, 100)), "sma_20", "dist_sma_20", "golden_cross")
 
 
-@query()
+#: Exponential means and the signal of their difference, row by row; each starts at its first value.
+_EMA = f"""{V.BARS}, k as (select symbol, ts, close, row_number() over (partition by symbol order by ts) as i from bars),
+ f as (select symbol, ts, i, cast(close as double) as e12, cast(close as double) as e26, cast(0 as double) as s from k where i = 1
+ union all select symbol, ts, i, e12, e26, 0.2 * (e12 - e26) + 0.8 * s from
+ (select k.symbol, k.ts, k.i, 2.0 / 13 * k.close + 11.0 / 13 * f.e12 as e12, 2.0 / 27 * k.close + 25.0 / 27 * f.e26 as e26, f.s from f join k on f.symbol = k.symbol and k.i = f.i + 1))"""
+
+
+@query(f"with recursive {_EMA} select symbol, ts, round(e12, 6) as ema_12 from f")
 def wn4_ema(spark, d):
     return _pick(T.ema(V.daily_bars(spark, d), (12,)), "ema_12")
 
@@ -64,7 +71,7 @@ def wn7_rsi(spark, d):
     return _pick(T.rsi(V.daily_bars(spark, d)), "rsi")
 
 
-@query()
+@query(f"with recursive {_EMA} select symbol, ts, round(e12 - e26, 6) as macd, round(s, 6) as macd_signal, round(e12 - e26 - s, 6) as macd_hist from f")
 def wn8_macd(spark, d):
     return _pick(T.macd(V.daily_bars(spark, d)), "macd", "macd_signal", "macd_hist")
 

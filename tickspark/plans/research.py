@@ -74,7 +74,16 @@ def sg1_mean_reversion(spark, d):
     return rounded(S.mean_reversion_signal(V.daily_bars(spark, d), entry=1.5).select("symbol", "ts", "zscore", "position"))
 
 
-@query()
+_MOM = f"""{V.RETURNS}, y as (select returns.symbol, returns.ts, close, ret, avg(ret) over w as m, stddev_pop(ret) over w as s, count(ret) over w as n from returns join bars using (symbol, ts)
+ window w as (partition by returns.symbol order by returns.ts rows between 19 preceding and 1 preceding)),
+ k as (select symbol, ts, cast(close as double) as p, coalesce(case when n = 19 then case when s = 0 then 0 else (ret - m) / nullif(s, 0) end end, 0) as z, row_number() over (partition by symbol order by ts) as i from y),
+ f as (select symbol, ts, i, case when abs(z) > 1 then cast(sign(z) as int) else 0 end as pos, case when abs(z) > 1 then p else 0.0 end as paid from k where i = 1
+ union all select symbol, ts, i, case when was = 0 then case when abs(z) > 1 then cast(sign(z) as int) else 0 end when leaves then 0 else was end,
+ case when was = 0 then case when abs(z) > 1 then p else paid end when leaves then 0.0 else paid end from
+ (select k.symbol, k.ts, k.i, k.p, k.z, f.pos as was, f.paid, f.pos * k.z < 0 or (f.paid <> 0 and f.pos * (k.p / nullif(f.paid, 0) - 1) < -0.05) as leaves from f join k on f.symbol = k.symbol and k.i = f.i + 1))"""
+
+
+@query(f"with recursive {_MOM} select symbol, ts, pos as position, round(paid, 6) as entry_price from f")
 def sg2_momentum_positions(spark, d):
     return rounded(S.momentum_positions(V.daily_bars(spark, d)).select("symbol", "ts", "position", "entry_price"))
 
@@ -104,22 +113,19 @@ def bt2_sweep(spark, d):
     return rounded(S.sweep(_quoted(spark, d), S.param_grid(spark, {"lookback": [10, 20], "entry": [1.0, 2.0]})), 4)
 
 
-_WF = """wf as (select row_number() over (order by t) - 1 as fold, t - interval 365 days as train_start, t as train_end, t as test_start, t + interval 180 days as test_end
- from (select unnest(generate_series(timestamp '1995-01-01' + interval 365 days, timestamp '2001-01-01' - interval 180 days, interval 180 days)) as t))"""
+_WF = f"""{V.BARS}, ends as (select min(ts) as a, max(ts) as b from bars), wf as (select row_number() over (order by t) - 1 as fold, t - interval 365 days as train_start, t as train_end, t as test_start, t + interval 180 days as test_end
+ from (select unnest(generate_series(a + interval 365 days, b - interval 180 days, interval 180 days)) as t from ends))"""
 
 
 @query(f"with {_WF} select fold, train_start, train_end, test_start, test_end from wf")
 def bt3_walk_forward(spark, d):
-    out = S.walk_forward_windows(spark, "1995-01-01 00:00:00", "2001-01-01 00:00:00", 365, 180)
-    # every window that has rows of the table
-    used = S.assign_windows(V.daily_bars(spark, d), out).select("fold").distinct()
-    return out.join(F.broadcast(used), "fold", "left_semi").withColumn("fold", F.col("fold").cast("long"))
+    return S.walk_forward_of(V.daily_bars(spark, d), 365, 180).withColumn("fold", F.col("fold").cast("long"))
 
 
-@query(f"with {V.BARS}, {_WF} select symbol, ts, fold, case when ts < train_end then 'train' else 'test' end as part from bars join wf on ts >= train_start and ts < test_end")
+@query(f"with {_WF} select symbol, ts, fold, case when ts < train_end then 'train' else 'test' end as part from bars join wf on ts >= train_start and ts < test_end")
 def bt3_assign_windows(spark, d):
-    w = S.walk_forward_windows(spark, "1995-01-01 00:00:00", "2001-01-01 00:00:00", 365, 180)
-    return S.assign_windows(V.daily_bars(spark, d), w).selectExpr("symbol", "ts", "cast(fold as bigint) fold", "part")
+    bars = V.daily_bars(spark, d)
+    return S.assign_windows(bars, S.walk_forward_of(bars, 365, 180)).selectExpr("symbol", "ts", "cast(fold as bigint) fold", "part")
 
 
 @query(
@@ -186,7 +192,14 @@ def ex5_adaptive_route(spark, d):
     return S.adaptive_route(_orders(spark, d), m).select("order_id", "route")
 
 
-@query()
+@query(
+    f"""with {_ORD}, {_VS}, {_MKT}, rt as (select order_id, ord.symbol, quantity, avg_volume * 0.1 as each, case when urgency > 0.8 then 'twap' when volatility > 0.02 then 'is' when avg_volume > 10 * quantity then 'pov' else 'vwap' end as route from ord left join mkt using (symbol)),
+ pv as (select *, least(ceil(quantity / each), 100) as n from rt where route = 'pov' and each > 0)
+ select order_id, cast(s as int) as slice, round(quantity / 5, 6) as quantity from rt, (select unnest(generate_series(0, 4)) as s) where route = 'twap'
+ union all select order_id, cast(s as int), round(quantity * {_SINH.format('0.5 * (1 - s * 0.1)')} / {_SINH.format('0.5')} * 0.1, 6) from rt, (select unnest(generate_series(0, 9)) as s) where route = 'is'
+ union all select order_id, cast(slice as int), round(quantity * s, 6) from rt join sh using (symbol) where route = 'vwap'
+ union all select order_id, cast(s as int), round(least(each, quantity - s * each), 6) from pv, (select unnest(generate_series(0, 99)) as s) where s < n"""
+)
 def ex5_adaptive_schedule(spark, d):
     b = V.daily_bars(spark, d)
     m = b.groupBy("symbol").agg((F.avg("volume") * 100).alias("avg_volume")).withColumn("volatility", 0.01 * (F.col("symbol") % 4))
@@ -201,7 +214,14 @@ def rk2_order_rate(spark, d):
     return S.order_rate(V.orders_flow(spark, d), 1, 30 * 86400).select("order_id", "rate_long")
 
 
-@query()
+#: The accepted orders of the trailing 90 days, order by order; two fill the limit.
+_ACC = """k as (select o_orderkey as order_id, o_custkey as entity, epoch_us(o_orderdate) as us, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as i from orders),
+ f as (select entity, i, order_id, [us] as kept, false as throttled from k where i = 1
+ union all select entity, i, order_id, case when len(w) >= 2 then w else list_append(w, us) end, len(w) >= 2 from
+ (select k.entity, k.i, k.order_id, k.us, list_filter(f.kept, lambda x: x > k.us - 7776000000000) as w from f join k on f.entity = k.entity and k.i = f.i + 1))"""
+
+
+@query(f"with recursive {_ACC} select order_id, throttled from f")
 def rk2_accepted_rate(spark, d):
     return S.accepted_rate(V.orders_flow(spark, d), 2, 90 * 86400).select("order_id", "throttled")
 
@@ -243,8 +263,7 @@ _DOC = f"""dw as (select doc_id, source, list_distinct(regexp_extract_all(regexp
 
 
 def _scored(spark, d):
-    docs = V.table(spark, d, "documents")
-    return docs.withColumn("score", A.sentiment_score(F.regexp_replace(F.lower("text"), "[^a-z0-9_]", " "), POS, NEG))
+    return V.table(spark, d, "documents").withColumn("score", A.sentiment_score(F.col("text"), POS, NEG))
 
 
 @query(f"with {_DOC} select doc_id, round(score, 6) as score, case when score > 0.3 then 'positive' when score < -0.3 then 'negative' else 'neutral' end as label from ss")
