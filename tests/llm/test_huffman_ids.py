@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,7 +8,7 @@ from tickspark.llm import huffman_ids as H
 from tickspark.llm.queries import byte_bpe
 from tickspark.llm.text_ids import TextEncoder, load_tokenizer
 
-ODD = ["", " ", "   ", "a   b", "it's 12x I'LL 's don't", " \n x", "\n \n y", "café ²x", "<|endoftext|> a", "　d  e", "x" * 5000, "\U0001f600 жз"]
+ODD = ["", " ", "   ", "a   b", "it's 12x I'LL 's don't", " \n x", "\n \n y", "café ²x", "<|endoftext|> hi", "a <|endoftext|>", " a", "a ", "a \n \n", "　d  e", "x" * 5000, "\U0001f600 жз"]
 
 
 @pytest.fixture(scope="module")
@@ -21,9 +22,9 @@ def ids_of(plain, text):
 
 def test_pieced_encoding_equals_the_library(plain, spark, small):
     texts = ODD + [r.text for r in spark.read.parquet(f"{small}/documents.parquet").limit(40).collect()]
-    coder = TextEncoder(plain, max_pieces=50)
+    coder = TextEncoder(plain, max_bytes=10_000)
     for _ in range(2):
-        got = [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)]
+        got = [np.frombuffer(x, "<u4").tolist() for x in coder.encode_rows(pa.array(texts), max_bytes=3000)]
         assert got == [ids_of(plain, t) for t in texts]
 
 
@@ -31,7 +32,8 @@ def test_pieced_encoding_equals_the_library(plain, spark, small):
 @given(st.text(alphabet=" \n\t'stre12.,éß中", max_size=40))
 def test_pieced_encoding_of_odd_texts(text):
     tokenizer = load_tokenizer(byte_bpe())
-    assert np.frombuffer(TextEncoder(tokenizer).encode([text])[0], "<u4").tolist() == ids_of(tokenizer, text)
+    got = [np.frombuffer(x, "<u4").tolist() for x in TextEncoder(tokenizer).encode_rows(pa.array([text, "b " + text + " b"]))]
+    assert got == [ids_of(tokenizer, text), ids_of(tokenizer, "b " + text + " b")]
 
 
 def brute_best_cost(counts, bits):
@@ -70,7 +72,7 @@ def test_files_hold_every_document_in_order(spark, small, tmp_path, plain):
     import zlib
 
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").limit(60).collect()]
-    rows += [(5000 - i, t) for i, t in enumerate(ODD)] + [(None, "no id"), (9000, None), (9001, "same"), (9002, "same")]
+    rows += [(5000 - i, t) for i, t in enumerate(ODD)] + [(7000, "repeated")] * 30 + [(None, "no id"), (9000, None), (9001, "same"), (9002, "same")]
     H.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), byte_bpe(), str(tmp_path / "f"))
     got = sorted(H.read_ids(spark, str(tmp_path / "f"), texts=True).collect(), key=lambda r: r.start)
     at = 0

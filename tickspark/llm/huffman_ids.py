@@ -1,7 +1,7 @@
 """Token ids in a binary file format: canonical length-limited Huffman codes from global counts.
 
-A file is a table of segments in ascending id order; a segment holds whole documents.  Its payload is
-a header, the documents' lengths, bit offsets of the blocks (checkpoints), and the code bits of blocks of
+A file is a table of segments in ascending id order; a segment holds whole documents and knows the number of ids
+before it.  Its payload is a header, the documents' lengths, bit offsets of the blocks (checkpoints), and the code bits of blocks of
 a fixed number of ids, each of which can be decoded on its own.  The code lengths of all
 ids (one byte each) stand in the code table that is written beside the segments.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, slices, tasks_for, whole_text
+from ._common import materialise, tasks_for, whole_text
 from .text_ids import worker_encoder
 
 MAGIC = b"TSH1"
@@ -143,42 +143,42 @@ class Coder:
 
 
 def id_segments(docs: DataFrame, tokenizer: str, end_id: int = 0, per_segment: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(part, seg, doc_ids, lengths, ids): ids of whole documents as uint16 or uint32, in ascending id order over (part, seg).
+    """(part, seg, first, n_ids, doc_ids, lengths, wide, ids): ids of whole documents as uint16 or uint32, in ascending id order over (part, seg).
 
-    Null text counts as empty; rows with a null id come first; repeated ids keep their rows, in any order.
+    first is the number of ids before the segment in its part.  Null text counts as empty; rows with a null id come first;
+    repeated ids keep their rows, in any order.  An id that many rows share is dealt over several parts.  A text longer than a segment is a
+    segment of its own.  Other columns are left out; an empty table gives no segment.
     """
-    schema = "part int, seg int, doc_ids array<long>, lengths array<long>, wide boolean, ids binary"
+    schema = "part int, seg int, first long, n_ids long, doc_ids array<long>, lengths array<long>, wide boolean, ids binary"
+    types = {"part": pa.int32(), "seg": pa.int32(), "first": pa.int64(), "n_ids": pa.int64(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "wide": pa.bool_(), "ids": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, seg = worker_encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part = worker_encoder(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
-        names, data, held = [], [], 0
+        names, data, held, seg, first = [], [], 0, 0, 0
 
         def flush():
             ids = np.frombuffer(b"".join(data), "<u4")
             wide = bool(len(ids) and ids.max() > 65535)
-            row = {"part": [part], "seg": [seg], "doc_ids": [names], "lengths": [[len(x) // 4 for x in data]], "wide": [wide], "ids": [(ids if wide else ids.astype("<u2")).tobytes()]}
-            types = {"part": pa.int32(), "seg": pa.int32(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "wide": pa.bool_(), "ids": pa.binary()}
-            return pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in row.items()], names=list(row))
+            row = {"part": part, "seg": seg, "first": first, "n_ids": len(ids), "doc_ids": names, "lengths": [len(x) // 4 for x in data], "wide": wide, "ids": (ids if wide else ids.astype("<u2")).tobytes()}
+            return pa.RecordBatch.from_arrays([pa.array([v], types[k]) for k, v in row.items()], names=list(row))
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                for key, ids in zip(keys[a:b], encoder.encode(texts[a:b])):
-                    names.append(key)
-                    data.append(ids + end)
-                    held += len(ids) // 4 + 1
-                    if held >= per_segment:
-                        yield flush()
-                        names, data, held, seg = [], [], 0, seg + 1
+            for key, ids in zip(batch.column(0).to_pylist(), encoder.encode_rows(batch.column(1))):
+                names.append(key)
+                data.append(ids + end)
+                held += len(ids) // 4 + 1
+                if held >= per_segment:
+                    yield flush()
+                    names, data, first, held, seg = [], [], first + held, 0, seg + 1
         if names:
             yield flush()
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(F.col(text_col)).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(F.col(text_col)).alias("text"), F.monotonically_increasing_id().alias("turn"))
     parts = tasks_for(docs.sparkSession)
-    return source.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, schema)
+    return source.repartitionByRange(parts, "doc_id", "turn").sortWithinPartitions("doc_id").select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _ids(data: bytes, wide: bool) -> np.ndarray:
@@ -202,7 +202,7 @@ def count_ids(segments: DataFrame) -> DataFrame:
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, vocabulary: int = 1 << 17) -> None:
-    """Writes `path`/codes (id, bits) and `path`/segments (part, seg, n_ids, doc_ids, payload)."""
+    """Writes `path`/codes (id, bits) and `path`/segments (start, n_ids, doc_ids, payload); start is the number of ids of all segments before."""
     segments = materialise(id_segments(docs, tokenizer, end_id), "id-segments")
     counts = count_ids(segments).collect()  # as many as the vocabulary has at most
     table = np.zeros(max((r["id"] for r in counts), default=0) + 1, np.int64)
@@ -219,40 +219,37 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, vocab
         coder = Coder(lengths)
         for batch in batches:
             payload = [coder.encode(_ids(d, w), np.array(n, np.int64)) for d, w, n in zip(batch["ids"], batch["wide"], batch["lengths"])]
-            n_ids = [int(np.sum(n)) for n in batch["lengths"]]
-            yield pd.DataFrame({"part": batch["part"], "seg": batch["seg"], "n_ids": n_ids, "doc_ids": batch["doc_ids"], "payload": payload})
-
-    coded = segments.mapInPandas(run, "part int, seg int, n_ids long, doc_ids array<long>, payload binary")
+            yield pd.DataFrame({"start": batch["start"], "n_ids": batch["n_ids"], "doc_ids": batch["doc_ids"], "payload": payload})
+
+    # one row for each range partition, whose number is set before the ids are made
+    by_part = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = by_part.select("part", before.alias("base"))
+    placed = segments.join(F.broadcast(bases), "part").select((F.col("base") + F.col("first")).alias("start"), "n_ids", "doc_ids", "lengths", "wide", "ids")
+    coded = placed.mapInPandas(run, "start long, n_ids long, doc_ids array<long>, payload binary")
     coded.write.option("compression", "none").parquet(f"{path}/segments")
 
 
 def read_ids(spark, path: str, texts: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids array<int>]) of every document, decoded from the files.
+    """(doc_id, start, n_tokens, ids_crc32[, ids array<int>]) of every document, decoded from the files in one pass.
 
     start is the number of ids of all documents before it in the files' order.
     """
-    codes = spark.read.parquet(f"{path}/codes").orderBy("id").toPandas()
+    codes = spark.read.parquet(f"{path}/codes").orderBy("id").toPandas()  # as many as the vocabulary has at most
     lengths = codes["bits"].to_numpy(np.uint8)
-    schema = "part int, seg int, doc_id long, at long, n_tokens long, ids_crc32 long" + (", ids array<int>" if texts else "")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if texts else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = Coder(lengths)
         for batch in batches:
-            for part, seg, names, payload in zip(batch["part"], batch["seg"], batch["doc_ids"], batch["payload"]):
+            for start, names, payload in zip(batch["start"], batch["doc_ids"], batch["payload"]):
                 ids, n = coder.decode(payload)
                 ends = np.cumsum(n)
                 data = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(data[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist())]
-                out = pd.DataFrame({"part": part, "seg": seg, "doc_id": pd.array(names, dtype="Int64"), "at": ends - n, "n_tokens": n, "ids_crc32": crc})
+                out = pd.DataFrame({"doc_id": pd.array(names, dtype="Int64"), "start": start + ends - n, "n_tokens": n, "ids_crc32": crc})
                 if texts:
                     out["ids"] = [ids[e - k : e].tolist() for e, k in zip(ends.tolist(), n.tolist())]
                 yield out
 
-    rows = spark.read.parquet(f"{path}/segments").select("part", "seg", "doc_ids", "payload").mapInPandas(run, schema)
-    sizes = spark.read.parquet(f"{path}/segments").select("part", "seg", F.col("n_ids").alias("n"))
-    by_part = sizes.groupBy("part").agg(F.sum("n").alias("n"))  # one row for each part file
-    before_part = by_part.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("part", "seg", inside.alias("i")).join(before_part, "part").select("part", "seg", (F.col("i") + F.col("b")).alias("base"))
-    columns = ["doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"] + (["ids"] if texts else [])
-    return rows.join(starts, ["part", "seg"]).select(*columns)
+    return spark.read.parquet(f"{path}/segments").select("start", "doc_ids", "payload").mapInPandas(run, schema)

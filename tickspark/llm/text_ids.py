@@ -1,92 +1,147 @@
-"""Token ids of whole texts with the tokenizers library, encoding each distinct pre-token once.
-
-A byte-level tokenizer encodes pre-tokens independently, so the ids of a text are the ids of its
-pre-tokens put together.  A worker remembers the pre-tokens that it has met, up to a bound;
-forgetting them only costs time.
+"""Token ids of whole texts with the tokenizers library, encoding each distinct space-led word once.
+
+A byte-level tokenizer of the usual kind encodes pre-tokens independently, and a space between two words always
+starts a pre-token.  So the ids of a text are those of its space-led words put together: Arrow cuts the texts of a batch and
+numbers the distinct words, the library encodes the new ones, numpy lays their ids out.  Texts in which a space stands
+next to other white space in a way that matters, or that hold the string of a special token, go to the library whole, as
+do all texts if the tokenizer file names another pre-tokenizer or a normaliser.  A worker remembers
+words up to a bound in bytes; forgetting them only costs time.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from ._common import worker_object
 
-#: The pre-token pattern of the byte-level vocabulary, in full and for texts of plain characters only.
-FULL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_LETTER = "A-Za-zÀ-ÖØ-öø-ʯ"
-_ODD = re.compile(rf"[^\t\n\r\x20-\x7e{_LETTER}]").search
-_PLAIN = re.compile(rf" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+").findall
-_WORD = re.compile(rf" [{_LETTER}]+").fullmatch
+#: White space of the pre-token pattern, as a character class.
+_WHITE = "[\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+#: A space that need not start a pre-token of its own: white space before it and after it, or nothing after it.
+_INSIDE_RUN = f"{_WHITE} {_WHITE}| \\z"
+#: A word and a mark after it, which are two pre-tokens.
+_MARKED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]").fullmatch
+MARKS = ".,;:!?"
 
 
 def load_tokenizer(path: str, threads: int = 1):
-    """The tokenizer in a file; its special tokens' strings count as ordinary text."""
+    """The tokenizer in a file, with the library's own handling of special tokens."""
     os.environ["RAYON_NUM_THREADS"] = str(threads)
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
-class TextEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids (bytes)."""
+def splits_at_spaces(settings: dict) -> bool:
+    """Whether a tokenizer file's settings are those of a byte-level BPE that cuts by the usual pattern and alters no text."""
+    cut, model = settings["pre_tokenizer"] or {}, settings["model"]
+    own = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    bare = not any(t["lstrip"] or t["rstrip"] or t["normalized"] for t in settings["added_tokens"])
+    return bool(own and bare and settings["normalizer"] is None and model["type"] == "BPE" and not model.get("dropout"))
 
-    def __init__(self, tokenizer, max_pieces: int = 800_000):
-        import regex
 
-        self.tokenizer, self.max_pieces = tokenizer, max_pieces
-        self.full = regex.compile(FULL).findall
+class TextEncoder:
+    """Encodes texts to unsigned 32-bit ids, as `tokenizer.encode(text, add_special_tokens=False)` does."""
+
+    def __init__(self, tokenizer, max_bytes: int = 80_000_000):
+        self.tokenizer, self.max_words = tokenizer, max_bytes // 200  # a word and its ids take about 200 bytes
+        settings = json.loads(tokenizer.to_str())
+        self.known, self.added = splits_at_spaces(settings), [t["content"] for t in settings["added_tokens"]]
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a vocabulary string has one character for each byte
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)
         self.memo: dict[str, bytes] = {}
-
-    def _learn(self, missing: list[str]) -> None:
-        """Spaced words go as one text, cut again where their bytes end; others go one by one."""
-        words = [x for x in missing if _WORD(x)]
-        other = [x for x in missing if not _WORD(x)]
-        for at in range(0, len(other), 4096):
-            part = other[at : at + 4096]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.memo[x] = array("I", e.ids).tobytes()
-        for at in range(0, len(words), 1024):
-            part = words[at : at + 1024]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = 4 * (1 + np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(x.encode()) for x in part])))
-            data, begin = ids.tobytes(), 0
+        self.marks = dict(zip(MARKS, self._whole(list(MARKS))))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Words go to the library as one text, each led by a space, whose ids are cut where their bytes end; those that begin or end with white space go one by one."""
+        memo, marks = self.memo, self.marks
+        marked, loose, new = [], [], []
+        for x in words:
+            if x[-1:] in marks and _MARKED(x):
+                marked.append(x)
+            elif not x or x[0].isspace() or x[-1].isspace():
+                loose.append(x)
+            else:
+                new.append(x)
+        new += {x[:-1] for x in marked}.difference(new, memo)
+        memo.update(zip(loose, self._whole([" " + x for x in loose])))
+        for at in range(0, len(new), 1024):
+            part = new[at : at + 1024]
+            (data,) = self._whole([" " + " ".join(part)])
+            ends = 4 * (1 + np.searchsorted(np.cumsum(self.n_bytes[np.frombuffer(data, "<u4")]), np.cumsum([len(x.encode()) + 1 for x in part])))
+            begin = 0
             for x, end in zip(part, ends.tolist()):
-                self.memo[x] = data[begin:end]
+                memo[x] = data[begin:end]
                 begin = end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > self.max_pieces:
-            self.memo = {}
-        get, out = self.memo.get, []
-        cut = [self.full(x) if _ODD(x) else _PLAIN(x) for x in texts]
-        found = [list(map(get, x)) for x in cut]
-        missing = set()
-        for pieces, ids in zip(cut, found):
-            if None in ids:
-                missing.update([x for x, y in zip(pieces, ids) if y is None])
+        for x in marked:
+            memo[x] = memo[x[:-1]] + marks[x[-1]]
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each) of an array without nulls."""
+        odd = pc.match_substring_regex(texts, _INSIDE_RUN)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        odd = np.asarray(odd) if self.known else np.ones(len(texts), bool)
+        if not odd.any():
+            return self._encode_cut(texts)
+        whole = self._whole(texts.filter(pa.array(odd)).to_pylist())
+        ids, n = self._encode_cut(texts.filter(pa.array(~odd)))
+        cut = iter(np.split(ids, np.cumsum(n)[:-1]))
+        rows = [np.frombuffer(whole.pop(0), "<u4") if x else next(cut) for x in odd.tolist()]
+        return np.concatenate(rows), np.array([len(x) for x in rows], np.int64)
+
+    def _encode_cut(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        if len(self.memo) > self.max_words:
+            self.memo.clear()
+        cut = pc.split_pattern(texts, " ")
+        bounds = np.asarray(cut.offsets).astype(np.int64)
+        numbered = cut.flatten().dictionary_encode()
+        # the first word of a text has no space before it
+        heads = self._whole(pc.list_element(cut, 0).to_pylist())
+        words, memo = numbered.dictionary.to_pylist(), self.memo
+        missing = [x for x in words if x not in memo]
         if missing:
-            self._learn(list(missing))
-        for pieces, ids in zip(cut, found):
-            if None in ids:
-                ids = map(get, pieces)
-            out.append(b"".join(ids))
-        return out
-
-
-_ENCODERS: dict[str, TextEncoder] = {}
+            self._learn(missing)
+        data = [*map(memo.__getitem__, words), *heads]
+        sizes = np.array([len(x) for x in data], np.int64) // 4
+        place = np.asarray(numbered.indices).astype(np.int64)
+        bounds -= bounds[0]
+        place[bounds[:-1]] = len(words) + np.arange(len(heads))
+        n = sizes[place]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(sizes) - sizes)[place] - ends + n, n)
+        at += np.arange(len(at))
+        return np.frombuffer(b"".join(data), "<u4")[at], np.add.reduceat(n, bounds[:-1])
+
+    def encode_rows(self, texts: pa.StringArray, max_bytes: int = 4_000_000) -> Iterator[bytes]:
+        """The ids of each text as little-endian bytes; a run of texts with at most so many bytes (one text at least) is held at a time."""
+        ends = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
+        begin = 0
+        while begin < len(texts):
+            done = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + max_bytes, "right")))
+            ids, n = self.encode(texts.slice(begin, end - begin))
+            data, at = ids.tobytes(), 0
+            for size in (4 * n).tolist():
+                yield data[at : at + size]
+                at += size
+            begin = end
 
 
 def worker_encoder(path: str) -> TextEncoder:
-    """The worker's encoder for a file, loaded once."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(load_tokenizer(path))
-    return _ENCODERS[path]
+    """The worker's encoder for a file."""
+    return worker_object(("ids", path), lambda: TextEncoder(load_tokenizer(path)))
