@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+#: Paths given out in this process and not removed yet.
+_MADE: list[str] = []
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a local folder where it is unset (tests)."""
+    """A new path under spark.checkpoint.dir; on a local master, where it is unset, under a local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tickspark-scratch/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/tickspark-scratch/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all paths given out so far; results that are not yet written elsewhere can't be read afterwards."""
+    while _MADE:
+        remove_path(spark, _MADE.pop())

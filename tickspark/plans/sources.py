@@ -201,9 +201,8 @@ def st5_stream_dedup(spark, d):
 def st7_online_store(spark, d):
     path = scratch_path(spark, "online")
     stream = _stream(spark, d).selectExpr("symbol entity_id", "'price' feature_name", "price value", "ts")
-    done = S.online_store_upsert(stream, path, scratch_path(spark, "online-state"))
-    done.awaitTermination()
-    return rounded(S.online_read(spark.read.parquet(f"{path}/{done.lastProgress['batchId']}"), "2024-01-31 00:00:00", 2 * 86400).select("entity_id", "value"))
+    S.online_store_upsert(stream, path, scratch_path(spark, "online-state")).awaitTermination()
+    return rounded(S.online_read(S.online_store(spark, path), "2024-01-31 00:00:00", 2 * 86400).select("entity_id", "value"))
 
 
 @query(f"with {V.TICKS} select symbol as entity_id, ts, f as feature_name, round(case f when 'price' then price else size end, 6) as value from ticks, (select unnest(['price', 'size']) as f)")
