@@ -121,6 +121,23 @@ def test_payload_round_trip(spark, odd):
         assert J.unpack_bytes(J.decode(J.pack_bytes(J.padded(data)))) == J.padded(data)
 
 
+def test_digests_by_plain_recomputation(spark, odd):
+    import zlib
+    from hashlib import sha256
+
+    got = sorted((r.doc_id or -1, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in J.read_media(J.store(odd)).collect())
+    want = []
+    for i, t in [*enumerate(TEXTS), (None, "no id"), (3, "repeated id")]:
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * ((-len(raw)) % 576 if raw else 576)
+        media = J.pack_bytes(payload)
+        want.append((-1 if i is None else i or -1, len(raw), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), sha256(media).hexdigest()))
+    assert got == sorted(want)
+    assert J.read_media(J.store(odd.limit(0))).count() == 0
+    again = J.read_media(J.store(odd).withColumn("feature", F.lit("own")).withColumn("extra", F.lit(1)))
+    assert again.columns.count("feature") == 1 and again.filter("extra <> 1 or feature = 'own'").count() == 0
+
+
 class Writer:
     """A plain bit writer with one fixed 8-bit code for every symbol."""
 
@@ -287,6 +304,28 @@ def test_longest_match_counts():
     assert [tiny.count(w) for w in ("", "abcd", "abc", "abcb", "abcdx", "x")] == [0, 1, 2, 3, -1, -1]
 
 
+def test_token_counts_by_brute_force(spark, docs):
+    initial, continuing = W.piece_sets(sp_model())
+
+    def pieces(word):
+        at = n = 0
+        while at < len(word):
+            end = next((e for e in range(len(word), at, -1) if word[at:e] in (continuing if at else initial)), None)
+            if end is None:
+                return -1
+            at, n = end, n + 1
+        return n
+
+    rows = [(r.doc_id, r.text) for r in docs.limit(80).collect()] + [(9001, None), (9002, "\u4e2d\ufffd x\U0001f600"), (9003, "w" * 5000), (9003, "again"), (None, "again")]
+    want = []
+    for d, t in rows:
+        n = [pieces(w) for w in re.findall(r"\w+|[^\w\s]", t or "")]
+        want.append((d or -1, len(n), sum(abs(k) for k in n), sum(k < 0 for k in n)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", F.lit("own"))
+    assert sorted((r[0] or -1, *r[1:]) for r in W.token_counts(df, sp_model()).collect()) == sorted(want)
+    assert W.token_counts(df.limit(0), sp_model()).count() == 0 and Sp.encode_documents(df.limit(0), sp_model()).count() == 0
+
+
 def test_token_counts_of_odd_rows(spark, odd):
     rows = {r.doc_id: r for r in W.token_counts(odd, sp_model()).collect() if r.doc_id not in (None, 3)}
     assert rows[0].n_tokens == rows[1].n_tokens == 0 and rows[4].n_words == 3 and rows[8][1:] == rows[9][1:]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,13 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders that materialise has written in this process and clear_scratch has not removed yet.
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        base = found
-    elif found := spark.sparkContext.getCheckpointDir():
-        base = found
-    else:
+    """The folder that driver and executors share: spark.checkpoint.dir; on a local master, where it is unset, a local folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -28,9 +32,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tickspark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_mark() -> int:
+    """A mark for clear_scratch."""
+    return len(_MADE)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Removes the folders that materialise has written between two marks (now, if there is no second); results that are not yet written elsewhere can't be read afterwards."""
+    jvm = spark.sparkContext._jvm
+    for path in _MADE[since:until]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del _MADE[since:until]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -142,7 +142,7 @@ class Coder:
         return out.ravel()[:n_ids], docs
 
 
-def id_segments(docs: DataFrame, tokenizer: str, end_id: int = 0, per_segment: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def id_segments(docs: DataFrame, tokenizer: str, end_id: int = 0, per_segment: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, seg, first, n_ids, doc_ids, lengths, wide, ids): ids of whole documents as uint16 or uint32, in ascending id order over (part, seg).
 
     first is the number of ids before the segment in its part.  Null text counts as empty; rows with a null id come first;

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import whole_text
+from ._common import slices, whole_text
 
 UNIT = 576
 PAD = 255
@@ -457,13 +457,18 @@ def padded(text: bytes) -> bytes:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media binary): each whole text as UTF-8 in a progressive JPEG file; null counts as empty."""
+    """(doc_id, n_bytes, media binary): each whole text as UTF-8 in a progressive JPEG file; null counts as empty.
+
+    Repeated rows and null ids stay; other columns are left out; an empty table gives an empty one.  Few texts are held at a time, by number and
+    by characters, one long text alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                raw = [x.encode("utf-8", "surrogatepass") for x in part.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts, 256, 2_000_000):
+                part = batch.slice(a, b - a)
+                raw = [x.encode("utf-8", "surrogatepass") for x in texts[a:b]]
                 media = [pack_bytes(padded(x)) for x in raw]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -474,11 +479,13 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def read_media(stored: DataFrame, tensors: bool = False) -> DataFrame:
     """Decodes the media column: payload digests, media digests, a feature string and, if asked for, the RGB tensor.
 
-    The feature is height x width and the mean of each colour to four places.  A null media value gives nulls.
+    The feature is height x width and the mean of each colour to four places.  A null media value gives nulls.  Columns of those
+    names are replaced, all others stay; repeated rows stay; an empty table gives an empty one.
     """
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + (["height", "width", "rgb"] if tensors else [])
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + ([pa.int32(), pa.int32(), pa.binary()] if tensors else [])
     ddl = ["long", "string", "long", "long", "string", "string"] + (["int", "int", "binary"] if tensors else [])
+    stored = stored.drop(*names)
     keep = [c for c in stored.columns if c != "media"]
 
     def one(media: bytes | None) -> tuple:
@@ -493,9 +500,9 @@ def read_media(stored: DataFrame, tensors: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
-                rows = [one(x) for x in part.column(len(keep)).to_pylist()]
+            media = batch.column(len(keep)).to_pylist()
+            for a, b in slices([x or b"" for x in media], 64, 4_000_000):
+                part, rows = batch.slice(a, b - a), [one(x) for x in media[a:b]]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=[*keep, *names])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema if f.name != "media"] + [f"{n} {t}" for n, t in zip(names, ddl)])

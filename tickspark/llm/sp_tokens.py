@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, whole_text
+from ._common import slices, whole_text, worker_object
 from .sp_model import BPE, BYTE, MARK, NORMAL, UNIGRAM, SpModel, USER, read_model
 
 
@@ -54,7 +54,7 @@ def build_tokenizer(model: SpModel, threads: int = 2):
 class SpEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids (bytes) and decodes them."""
 
-    def __init__(self, model: SpModel, threads: int = 2, max_cuts: int = 600_000):
+    def __init__(self, model: SpModel, threads: int = 2, max_cuts: int = 400_000):
         self.model, self.tokenizer, self.max_cuts = model, build_tokenizer(model, threads), max_cuts
         pieces = [p for p, _, kind in model.pieces if kind in (NORMAL, USER)]
         self.cuttable = model.escape_whitespaces and model.add_dummy_prefix and not any(MARK in p.lstrip(MARK) for p in pieces)
@@ -91,17 +91,15 @@ class SpEncoder:
         return text[1:] if self.model.add_dummy_prefix and text[:1] == " " else text
 
 
-_ENCODERS: dict[tuple[str, int], SpEncoder] = {}
-
-
 def worker_encoder(path: str, threads: int) -> SpEncoder:
-    if (path, threads) not in _ENCODERS:
-        _ENCODERS[path, threads] = SpEncoder(read_model(path), threads)
-    return _ENCODERS[path, threads]
+    """The worker's encoder for a model file."""
+    return worker_object(("pieces", path, threads), lambda: SpEncoder(read_model(path), threads))
 
 
 def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, check_every: int = 1, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, round_trip, parity[, ids array<int>]) of each row; null text counts as empty.
+    """(doc_id, n_tokens, ids_crc32, round_trip, parity[, ids array<int>]) of each row; null text counts as empty and has no token.
+
+    Repeated rows and null ids stay; other columns are left out; an empty table gives an empty one; long texts are encoded whole.
 
     round_trip: the decoded ids are the normalised text.  parity: the text is encoded whole by the sentencepiece
     library too and compared; with a larger `check_every` only each such text of a task is (null for the others).

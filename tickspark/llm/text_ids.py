@@ -50,7 +50,7 @@ def splits_at_spaces(settings: dict) -> bool:
 class TextEncoder:
     """Encodes texts to unsigned 32-bit ids, as `tokenizer.encode(text, add_special_tokens=False)` does."""
 
-    def __init__(self, tokenizer, max_bytes: int = 80_000_000):
+    def __init__(self, tokenizer, max_bytes: int = 100_000_000):
         self.tokenizer, self.max_words = tokenizer, max_bytes // 200  # a word and its ids take about 200 bytes
         settings = json.loads(tokenizer.to_str())
         self.known, self.added = splits_at_spaces(settings), [t["content"] for t in settings["added_tokens"]]
@@ -116,18 +116,20 @@ class TextEncoder:
         missing = [x for x in words if x not in memo]
         if missing:
             self._learn(missing)
-        data = [*map(memo.__getitem__, words), *heads]
-        sizes = np.array([len(x) for x in data], np.int64) // 4
+        data = pa.array([*map(memo.__getitem__, words), *heads], pa.binary())
+        starts = np.frombuffer(data.buffers()[1], np.int32) // 4
+        sizes = np.diff(starts).astype(np.int64)
         place = np.asarray(numbered.indices).astype(np.int64)
         bounds -= bounds[0]
         place[bounds[:-1]] = len(words) + np.arange(len(heads))
         n = sizes[place]
         ends = np.cumsum(n)
-        at = np.repeat((np.cumsum(sizes) - sizes)[place] - ends + n, n)
+        at = np.repeat(starts[place] - ends + n, n)
         at += np.arange(len(at))
-        return np.frombuffer(b"".join(data), "<u4")[at], np.add.reduceat(n, bounds[:-1])
+        ids = np.frombuffer(data.buffers()[2], "<u4") if len(at) else np.zeros(0, "<u4")
+        return ids[at], np.add.reduceat(n, bounds[:-1])
 
-    def encode_rows(self, texts: pa.StringArray, max_bytes: int = 4_000_000) -> Iterator[bytes]:
+    def encode_rows(self, texts: pa.StringArray, max_bytes: int = 12_000_000) -> Iterator[bytes]:
         """The ids of each text as little-endian bytes; a run of texts with at most so many bytes (one text at least) is held at a time."""
         ends = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
         begin = 0

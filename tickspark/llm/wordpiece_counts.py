@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, whole_text
+from ._common import slices, whole_text, worker_object
 from .sp_model import MARK, NORMAL, read_model
 
 _WORDS = re.compile(r"\w+|[^\w\s]").findall
@@ -82,13 +82,8 @@ def piece_sets(path: str) -> tuple[set[str], set[str]]:
     return {p[1:] for p in normal if p[0] == MARK and MARK not in p[1:]} - {""}, {p for p in normal if MARK not in p}
 
 
-_AUTOMATA: dict[str, tuple[LongestMatch, dict[str, int]]] = {}
-
-
 def _worker(path: str) -> tuple[LongestMatch, dict[str, int]]:
-    if path not in _AUTOMATA:
-        _AUTOMATA[path] = LongestMatch(*piece_sets(path)), {}
-    return _AUTOMATA[path]
+    return worker_object(("automaton", path), lambda: (LongestMatch(*piece_sets(path)), {}))
 
 
 def count_text(text: str, automaton: LongestMatch, memo: dict[str, int]) -> tuple[int, int, int]:
@@ -109,14 +104,17 @@ def count_text(text: str, automaton: LongestMatch, memo: dict[str, int]) -> tupl
 
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_tokens, n_unknown) of each row; null text counts as empty."""
+    """(doc_id, n_words, n_tokens, n_unknown) of each row; null text counts as empty.
+
+    Repeated rows and null ids stay; other columns are left out; an empty table gives an empty one; long texts are counted whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, memo = _worker(vocabulary)
         for batch in batches:
             texts, found = batch.column(1).to_pylist(), []
             for a, b in slices(texts):
-                if len(memo) > 600_000:
+                if len(memo) > 400_000:
                     memo.clear()
                 found += [count_text(x, automaton, memo) for x in texts[a:b]]
             columns = np.array(found, np.int64).reshape(-1, 3).T
