@@ -106,9 +106,10 @@ def near_pairs(prints: DataFrame) -> DataFrame:
         prints = prints.select("fp", F.col("fp").alias("root"))
     left = _key_rows(prints, probe=False)
     roots = left.select("key", F.col("root").alias("other")).distinct()
-    met = _key_rows(prints, probe=True).join(roots, "key").filter("root <> other").select("key", F.col("fp").alias("near"), F.col("other").alias("root"))
+    # merge joins: the planner takes the keys' tables for as small as the fingerprints' and would broadcast them
+    met = _key_rows(prints, probe=True).join(roots.hint("merge"), "key").filter("root <> other").select("key", F.col("fp").alias("near"), F.col("other").alias("root"))
     x = "(fp ^ near)"
-    pairs = met.join(left, ["key", "root"]).filter(f"bit_count({x}) <= {MAX_BITS} and shiftright(key, 36) = {_kind(x)}")
+    pairs = met.join(left.hint("merge"), ["key", "root"]).filter(f"bit_count({x}) <= {MAX_BITS} and shiftright(key, 36) = {_kind(x)}")
     return pairs.select(F.least("fp", "near").alias("a"), F.greatest("fp", "near").alias("b")).distinct()
 
 
@@ -116,7 +117,7 @@ def star_links(prints: DataFrame) -> DataFrame:
     """(a, b): verified links of fingerprints to the least fingerprint of each of their keys; as many as keys at most."""
     own = prints.select("fp", F.col("fp").alias("root"))
     least = _key_rows(own, probe=False).groupBy("key").agg(F.min("fp").alias("a"))
-    met = _key_rows(own, probe=True).join(least, "key").filter(f"a <> fp and bit_count(a ^ fp) <= {MAX_BITS}")
+    met = _key_rows(own, probe=True).join(least.hint("merge"), "key").filter(f"a <> fp and bit_count(a ^ fp) <= {MAX_BITS}")
     return met.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
 
 
