@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickspark.functions import scratch
+from tickspark.functions.quantiles import exact_quantiles
 from tickspark.operators import bars, clean, ledger, ml, pit, strategy
-from tickspark.sources import io
+from tickspark.sources import io, wire
 from tickspark.streaming import streams
 
 START = datetime(2024, 1, 1)
@@ -178,3 +179,32 @@ def test_greedy_matching_by_brute_force(spark):
             want.add((f, g, result))
             at += result == "matched"
     assert {tuple(r) for r in ledger.match_fills(frames["a"], frames["x"]).collect()} == want
+
+
+def test_exact_quantiles_of_large_groups(spark):
+    rng = np.random.default_rng(3)
+    p = pd.DataFrame({"g": rng.integers(0, 3, 3000), "v": np.round(rng.lognormal(0, 1, 3000), 2)})
+    p.loc[:900, "v"] = 1.0  # many ties
+    df = spark.createDataFrame(p).unionByName(spark.createDataFrame([(0, None), (9, None), (7, 2.5)], "g long, v double"))
+    probs = {"low": 0.05, "mid": 0.5, "high": 0.99, "least": 0.0, "most": 1.0}
+    got = {r.g: r for r in exact_quantiles(df, "v", probs, ["g"]).collect()}
+    assert set(got) == {0, 1, 2, 7} and got[7].mid == 2.5
+    for g, part in p.groupby("g"):
+        assert all(abs(got[g][k] - part.v.quantile(q)) < 1e-9 for k, q in probs.items())
+    assert abs(exact_quantiles(df, "v", {"mid": 0.5}, []).first().mid - pd.concat([p.v, pd.Series([2.5])]).median()) < 1e-9
+    assert exact_quantiles(df.limit(0), "v", probs, ["g"]).count() == 0
+
+
+def test_binary_messages_of_all_types(spark):
+    head = lambda kind, ref=7: kind.encode() + (123456789012).to_bytes(6, "big") + ref.to_bytes(8, "big")
+    n = lambda x, k=4: x.to_bytes(k, "big")
+    rows = [
+        head("A") + b"B" + n(100) + b"ABC     " + n(1234500), head("F") + b"S" + n(5) + b"WXYZ1234" + n(10000) + b"MPID", head("E") + n(30) + n(9, 8), head("C") + n(31) + n(9, 8) + b"Y" + n(55000),
+        head("X") + n(12), head("D"), head("U") + n(99, 8) + n(40) + n(20000), b"S" + n(5, 6) + b"O" + n(0), b"Z" + bytes(40), b"A", b"", None,
+    ]
+    got = [tuple(r) for r in wire.decode_itch(spark.createDataFrame([(None if r is None else bytearray(r),) for r in rows], "data binary").coalesce(1)).collect()]
+    t = 123456789012
+    assert got == [
+        ("A", t, 7, "B", 100, "ABC", 123.45, None), ("F", t, 7, "S", 5, "WXYZ1234", 1.0, None), ("E", t, 7, None, 30, None, None, None), ("C", t, 7, None, 31, None, 5.5, None),
+        ("X", t, 7, None, 12, None, None, None), ("D", t, 7, None, None, None, None, None), ("U", t, 7, None, 40, None, 2.0, 99), ("S", 5, None, "O", None, None, None, None),
+    ]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.quantiles import exact_quantiles
 from ..functions.windows import BY, ORDER, ordered, running
 
 RULES = {
@@ -39,8 +40,12 @@ def fill_missing(df: DataFrame, cols: list[str], method: str = "mean") -> DataFr
     """drop: rows with a null go; mean or median: of the column."""
     if method == "drop":
         return df.dropna(subset=cols)
-    agg = F.avg if method == "mean" else F.median
-    stats = df.agg(*(agg(c).alias(f"_{c}") for c in cols))
+    if method == "mean":
+        stats = df.agg(*(F.avg(c).alias(f"_{c}") for c in cols))
+    else:
+        stats = df.sparkSession.range(1).select()
+        for c in cols:
+            stats = stats.join(exact_quantiles(df, c, {f"_{c}": 0.5}, []), how="left")  # one row each
     return df.crossJoin(F.broadcast(stats)).withColumns({c: F.coalesce(c, f"_{c}") for c in cols}).drop(*(f"_{c}" for c in cols))  # one row
 
 

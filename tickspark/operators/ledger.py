@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fold import ordered_fold
+from ..functions.quantiles import exact_quantiles
 from ..functions.windows import micros, ratio
 
 MATCH_KEY = ["order_id", "symbol", "side", "venue"]
@@ -193,9 +194,9 @@ def ordered_checksum(events: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def latency_stats(df: DataFrame, col: str, by: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.min(col).alias("min"), F.max(col).alias("max"), F.avg(col).alias("avg"), F.percentile(col, F.lit(0.5)).alias("p50"), F.percentile(col, F.lit(0.99)).alias("p99"), F.count(col).alias("n")
-    )
+    """Least, largest and mean value, median, 99th percentile and count of each (large) group."""
+    ends = df.groupBy(*by).agg(F.min(col).alias("min"), F.max(col).alias("max"), F.avg(col).alias("avg"), F.count(col).alias("n"))
+    return ends.join(exact_quantiles(df, col, {"p50": 0.5, "p99": 0.99}, by), by, "left").select(*by, "min", "max", "avg", "p50", "p99", "n")
 
 
 def sequence_gaps(messages: DataFrame, by: str = "session", seq: str = "seq") -> DataFrame:

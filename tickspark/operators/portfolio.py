@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..functions.windows import correlation, ratio
 
 YEAR = 252
@@ -21,7 +22,7 @@ def portfolio_returns(returns: DataFrame, weights: DataFrame, by=()) -> DataFram
 
 def portfolio_var_cvar(port: DataFrame, conf: float = 0.95, by=("portfolio",)) -> DataFrame:
     """Historical value at risk and the mean loss beyond it, both positive."""
-    cut = port.groupBy(*by).agg(F.percentile("ret", F.lit(1 - conf)).alias("_q"))
+    cut = exact_quantiles(port, "ret", {"_q": 1 - conf}, list(by))
     tail = port.join(cut, list(by)).filter("ret <= _q")
     return tail.groupBy(*by).agg(F.abs(F.first("_q")).alias("var"), F.abs(F.avg("ret")).alias("cvar"))
 

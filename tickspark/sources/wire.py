@@ -32,43 +32,27 @@ def read_fixed_ticks(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "ts_ns long, price double, bid double, ask double, volume long, side string")
 
 
-def _int(data: bytes, at: int, n: int) -> int:
-    return int.from_bytes(data[at : at + n], "big")
-
-
 def decode_itch(df: DataFrame, col: str = "data") -> DataFrame:
     """Messages (one a row) -> (msg_type, ts_ns, order_ref, side, shares, stock, price, new_ref); unknown types and short messages go.
 
     Big-endian; six-byte nanoseconds at 1, reference at 7, prices in 1/10000.
     """
-    schema = "msg_type string, ts_ns long, order_ref long, side string, shares long, stock string, price double, new_ref long"
-
-    def one(m: bytes) -> tuple | None:
-        kind = chr(m[0]) if m else ""
-        if kind not in LENGTHS or len(m) < (LENGTHS[kind] if kind == "S" else 15):
-            return None
-        ts = _int(m, 1, 6)
-        if kind == "S":
-            return kind, ts, None, chr(m[7]) if len(m) > 7 else None, None, None, None, None
-        ref, side, shares, stock, price, new = _int(m, 7, 8), None, None, None, None, None
-        if kind in "AFP":
-            side, shares, stock, price = chr(m[15]), _int(m, 16, 4), m[20:28].decode("ascii", "replace").strip(), _int(m, 28, 4) / 10000
-        elif kind in "EX":
-            shares = _int(m, 15, 4)
-        elif kind == "C":
-            shares, price = _int(m, 15, 4), _int(m, 28, 4) / 10000
-        elif kind == "U":
-            new, shares, price = _int(m, 15, 8), _int(m, 23, 4), _int(m, 27, 4) / 10000
-        return kind, ts, ref, side, shares, stock, price, new
-
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = pd.DataFrame([r for r in (one(bytes(m)) for m in b["data"] if m is not None) if r], columns=names)
-            yield out.astype({"order_ref": "Int64", "shares": "Int64", "new_ref": "Int64"})
-
-    return df.select(F.col(col).alias("data")).mapInPandas(run, schema)
+    m, kind = F.col("_m"), F.col("msg_type")
+    number = lambda at, n: F.coalesce(F.conv(F.hex(F.substring(m, at + 1, n)), 16, 10).try_cast("long"), F.lit(0).cast("long"))
+    letters = lambda at, n: F.substring(m, at + 1, n).cast("string")
+    rows = df.select(F.col(col).alias("_m")).withColumn("msg_type", letters(0, 1))
+    rows = rows.filter(kind.isin(*LENGTHS) & (F.octet_length(m) >= F.when(kind == "S", LENGTHS["S"]).otherwise(15)))
+    add, taken = kind.isin("A", "F", "P"), kind.isin("E", "X", "C")
+    return rows.select(
+        "msg_type",
+        number(1, 6).alias("ts_ns"),
+        F.when(kind != "S", number(7, 8)).alias("order_ref"),
+        F.when(add, letters(15, 1)).when(kind == "S", letters(7, 1)).alias("side"),
+        F.when(add, number(16, 4)).when(taken, number(15, 4)).when(kind == "U", number(23, 4)).alias("shares"),
+        F.when(add, F.trim(letters(20, 8))).alias("stock"),
+        F.when(add | (kind == "C"), number(28, 4) / 10000).when(kind == "U", number(27, 4) / 10000).alias("price"),
+        F.when(kind == "U", number(15, 8)).alias("new_ref"),
+    )
 
 
 SOH = "\u0001"
