@@ -128,3 +128,14 @@ def fill_costs(fills: DataFrame, rate: float = 0.0005) -> DataFrame:
 def decode_payload(df: DataFrame, schema: str, col: str = "payload") -> DataFrame:
     """JSON payload columns; a malformed one gives nulls."""
     return df.withColumn("_p", F.from_json(col, schema)).select("*", "_p.*").drop("_p")
+
+
+def date_parts(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """Adds us (microseconds since the epoch), weekday (Monday 0), tod (time of day) and year_month of a timestamp."""
+    t = F.col(ts).cast("timestamp")
+    return df.withColumns({"us": micros(ts), "weekday": F.weekday(t).cast("long"), "tod": F.date_format(t, "HH:mm:ss"), "year_month": F.date_format(t, "yyyy-MM")})
+
+
+def from_nanoseconds(ns: Column) -> Column:
+    """The timestamp of nanoseconds since the epoch, to the microsecond below."""
+    return F.timestamp_micros(F.floor(ns / 1000))

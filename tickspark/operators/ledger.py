@@ -199,6 +199,11 @@ def latency_stats(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     return ends.join(exact_quantiles(df, col, {"p50": 0.5, "p99": 0.99}, by), by, "left").select(*by, "min", "max", "avg", "p50", "p99", "n")
 
 
+def message_stats(messages: DataFrame) -> DataFrame:
+    """Number of messages of each type."""
+    return messages.groupBy("msg_type").agg(F.count("*").alias("n"))
+
+
 def sequence_gaps(messages: DataFrame, by: str = "session", seq: str = "seq") -> DataFrame:
     """Missing sequence numbers of each session: first and last of each gap."""
     last = F.lag(seq).over(Window.partitionBy(by).orderBy(seq))

@@ -95,7 +95,7 @@ def jn13_order_lifecycle(spark, d):
 
 @query(f"with {_ITCH} select msg_type, count(*) as n from msg group by 1")
 def ag34_message_stats(spark, d):
-    return _messages(spark, d).groupBy("msg_type").agg(F.count("*").alias("n"))
+    return L.message_stats(_messages(spark, d))
 
 
 @query(f"with {_ITCH}, s as (select distinct order_ref % 50 as session, order_ref as seq from msg where msg_type = 'A'), l as (select session, seq, lag(seq) over (partition by session order by seq) as l from s) select session, l + 1 as gap_begin, seq - 1 as gap_end from l where seq > l + 1")

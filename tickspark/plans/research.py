@@ -278,8 +278,7 @@ def sc2_record_id(spark, d):
 
 @query("select event_id, epoch_us(ts) as us, isodow(ts) - 1 as weekday, strftime(ts, '%H:%M:%S') as tod, strftime(ts, '%Y-%m') as year_month from events")
 def sc3_dates(spark, d):
-    t = F.col("ts").cast("timestamp")
-    return V.table(spark, d, "events").select("event_id", F.unix_micros(t).alias("us"), F.weekday(t).cast("long").alias("weekday"), F.date_format(t, "HH:mm:ss").alias("tod"), F.date_format(t, "yyyy-MM").alias("year_month"))
+    return A.date_parts(V.table(spark, d, "events")).select("event_id", "us", "weekday", "tod", "year_month")
 
 
 @query(f"with {V.BARS} select symbol, ts, round(open * volume, 4) as open_mul_volume, round(open / nullif(volume, 0), 4) as open_div_volume from bars")
