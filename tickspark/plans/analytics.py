@@ -39,6 +39,14 @@ def jn6_match_fills(spark, d):
     return L.match_fills(*_fills(spark, d))
 
 
+@query(f"with recursive {_MATCH} select internal_id, exchange_id, result from m where (order_id, symbol, side, venue) in (select (order_id, symbol, side, venue) from ia where r = 2)")
+def jn6_match_fills_greedy(spark, d):
+    """The keys with several internal fills, which only the stream matches."""
+    ours, theirs = _fills(spark, d)
+    several = ours.groupBy(*L.MATCH_KEY).count().filter("count > 1").drop("count")
+    return L.match_fills(ours.join(several, L.MATCH_KEY, "left_semi"), theirs)
+
+
 @query(
     f"""with recursive {_MATCH}, ok as (select * from m where result = 'matched'), a as (select fill_id, 'missing_exchange' as kind, 'high' as severity from internal where fill_id not in (select internal_id from ok) and ts < timestamp '2001-01-01'),
  b as (select fill_id, 'missing_internal' as kind, 'critical' as severity from exchange where fill_id not in (select exchange_id from ok) and ts < timestamp '2001-01-01')
