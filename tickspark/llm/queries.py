@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collision_search, huffman_ids, lattice_score, packing, pii_surrogates, progressive_jpeg, simhash_dedup, sp_tokens, toxicity, wordpiece_counts
+from . import collision_search, fill_in_middle, huffman_ids, lattice_score, oracle, packing, pii_surrogates, progressive_jpeg
+from . import simhash_dedup, sp_tokens, toxicity, wordpiece_counts
 from ._common import documents, materialise, shared_dir
 
 #: The secret of the surrogates; a user gives their own.
@@ -75,13 +76,20 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.selectExpr("id doc_id", "lpad(lower(hex(fp)), 16, '0') fingerprint", "component_id")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle.transform(documents(spark, sf_dir, "doc_id", "text"))
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(fill_in_middle.restored(), 256)}
+    return rows.withColumns(digests).drop("text", "output")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_collision_counting, op2_progressive_jpeg, op3_ordinal_toxicity, op4_wordpiece_counts, op5_pii_surrogates,
         op6_lattice_likelihood, op7_swap_packing, op8_huffman_ids, op9_sentencepiece, op10_simhash_golay,
+        op13_fill_in_middle,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_fill_in_middle": oracle.FILL_IN_MIDDLE}
