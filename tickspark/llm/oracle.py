@@ -21,3 +21,31 @@ select doc_id, n, form, case when form <> 'plain' then a end prefix_chars, case
     else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) output_sha256, sha256(t) restored_sha256
 from p
 """
+
+LEXICAL = r"""
+with word as (
+  select doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term
+  from documents
+),
+posting as (select doc_id, term, count(*) tf from word group by all),
+doc as (select doc_id, cast(sum(tf) as bigint) len from posting group by doc_id),
+whole as (select count(*) n_docs, cast(sum(len) as bigint) n_terms from doc),
+item as (
+  select distinct item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term
+  from benchmark
+),
+weight as (
+  select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) as bigint) w
+  from (select term, count(*) df from posting group by term), whole
+),
+scored as (
+  select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len * n_docs) // n_terms)))) as bigint) score
+  from item join weight using (term) join posting using (term) join doc using (doc_id), whole
+  group by item_id, doc_id
+)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score
+from scored where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collision_search, fill_in_middle, huffman_ids, lattice_score, oracle, packing, pii_surrogates, progressive_jpeg, quality_pu
+from . import collision_search, fill_in_middle, huffman_ids, lattice_score, lexical_index, oracle, packing, pii_surrogates, progressive_jpeg, quality_pu
 from . import simhash_dedup, sp_tokens, toxicity, wordpiece_counts
 from ._common import documents, materialise, shared_dir
 
@@ -76,6 +76,11 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.selectExpr("id doc_id", "lpad(lower(hex(fp)), 16, '0') fingerprint", "component_id")
 
 
+def op11_lexical_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_index.build(documents(spark, sf_dir, "doc_id", "text"))
+    return lexical_index.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 def op12_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.classify(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -90,10 +95,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_collision_counting, op2_progressive_jpeg, op3_ordinal_toxicity, op4_wordpiece_counts, op5_pii_surrogates,
         op6_lattice_likelihood, op7_swap_packing, op8_huffman_ids, op9_sentencepiece, op10_simhash_golay,
-        op12_quality_pu, op13_fill_in_middle,
+        op11_lexical_strata, op12_quality_pu, op13_fill_in_middle,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_fill_in_middle": oracle.FILL_IN_MIDDLE}
+    return {"op11_lexical_strata": oracle.LEXICAL, "op13_fill_in_middle": oracle.FILL_IN_MIDDLE}
