@@ -1,10 +1,10 @@
 """SimHash near-duplicates with Golay-code fuzzy keys.
 
 A 64-bit fingerprint is cut into three segments of 22, 21 and 21 bits, each taken as a word of the
-(23, 12, 7) Golay code.  If two fingerprints differ in at most four bits, two of the segments
-differ in at most two bits together (pigeonhole): either in at most one bit each, so that the
-nearest codeword indices of one are among the one or six index values of the other, or one segment is equal
-and the other differs in two bits, so that the index sets have a member in common.  Rows
+(23, 12, 7) Golay code.  If two fingerprints differ in at most four bits, either one segment is equal and another one
+differs in at most two bits, so that their index sets have a member in common (keys of an equal segment and an index: 34 bits), or two
+segments differ in exactly one bit each, so that the nearest codeword indices of one are among the one or six index values of
+the other and both parities are opposite (keys of two indices and two parities: 26 bits).  Rows
 are joined on those keys and verified; a pair counts only at the first kind of key it must share.
 """
 
@@ -25,6 +25,7 @@ from .shingle_hash import fingerprints
 #: (shift, width) of the segments, and the pairs of them in the order of their kinds of keys.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
+ORDERED = (*PAIRS, *((q, p) for p, q in PAIRS))
 MAX_BITS = 4
 
 
@@ -54,19 +55,21 @@ def _keys(fp: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
     words = [((fp.view(np.uint64) >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in SEGMENTS]
     near = [decode(x) for x in words]
     sets = [indices(x) for x in words]
+    odd = [(np.bitwise_count(x).astype(np.int64) & 1) ^ probe for x in words]
     keys, owners = [], []
     every = np.arange(len(fp))
     for kind, (p, q) in enumerate(PAIRS):
+        head = (kind << 36) | (odd[p] << 25) | (odd[q] << 24)
         if probe:
             for i in range(6):
                 for j in range(6):
                     ok = (sets[p][:, i] >= 0) & (sets[q][:, j] >= 0)
-                    keys.append((kind << 36) | (sets[p][ok, i] << 12) | sets[q][ok, j])
+                    keys.append(head[ok] | (sets[p][ok, i] << 12) | sets[q][ok, j])
                     owners.append(every[ok])
         else:
-            keys.append((kind << 36) | (near[p] << 12) | near[q])
+            keys.append(head | (near[p] << 12) | near[q])
             owners.append(every)
-    for kind, (p, q) in enumerate([*PAIRS, *((q, p) for p, q in PAIRS)], len(PAIRS)):
+    for kind, (p, q) in enumerate(ORDERED, len(PAIRS)):
         for i in range(6):
             ok = sets[p][:, i] >= 0
             keys.append((kind << 36) | (sets[p][ok, i] << 22) | words[q][ok])
@@ -91,8 +94,8 @@ def _key_rows(prints: DataFrame, probe: bool) -> DataFrame:
 def _kind(x: str) -> str:
     """SQL: the first kind of key that fingerprints with difference x must share."""
     bits = [f"bit_count({x} & {m}L)" if m > -(1 << 63) else f"bit_count({x} & (-9223372036854775807L - 1L))" for m in MASKS]
-    cases = [f"when {bits[p]} <= 1 and {bits[q]} <= 1 then {k}" for k, (p, q) in enumerate(PAIRS)]
-    cases += [f"when {bits[p]} = 2 and {bits[q]} = 0 then {k}" for k, (p, q) in enumerate([*PAIRS, *((q, p) for p, q in PAIRS)], len(PAIRS))]
+    cases = [f"when {bits[p]} = 1 and {bits[q]} = 1 then {k}" for k, (p, q) in enumerate(PAIRS)]
+    cases += [f"when {bits[p]} <= 2 and {bits[q]} = 0 then {k}" for k, (p, q) in enumerate(ORDERED, len(PAIRS))]
     return f"case {' '.join(cases)} else -1 end"
 
 
