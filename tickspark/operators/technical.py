@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..functions.blocks import carried, in_blocks, largest_key, time_cuts
 from ..functions.windows import BY, correlation, full, micros, ordered, ratio, rows, running
 
 DAY = ("ts",)
@@ -240,10 +241,32 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, col: st
     return out.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop(f"ema_{fast}", f"ema_{slow}")
 
 
-def technical_all(df: DataFrame) -> DataFrame:
-    """Returns, momentum, means, volatility, bands, RSI, ATR, VWAP and volume features in one frame over one exchange."""
+#: The widest frame of technical_all: 20 rows of returns, which look one row further back.
+WIDEST = 21
+
+
+def technical_all(df: DataFrame, by=BY, block_rows: int | None = None) -> DataFrame:
+    """Returns, momentum, means, volatility, bands, RSI, ATR, VWAP and volume features in one frame over one exchange.
+
+    With block_rows, symbols of more rows are dealt into blocks that overlap by the widest frame, and the cumulative
+    VWAP comes from sums by time bucket, so that a dominant symbol is spread over many tasks.
+    """
     steps = (returns, momentum, sma, volatility, bollinger, rsi, atr, vwap, volume_profile)
-    return reduce(lambda d, f: f(d), steps, df)
+    if block_rows is None:
+        return reduce(lambda d, f: f(d, by=by), steps, df)
+    framed = [f for f in steps if f is not vwap]
+    out = in_blocks(df, lambda d, keys: reduce(lambda x, f: f(x, by=keys), framed, d), list(by), list(DAY), WIDEST, block_rows=block_rows)
+    return vwap_of_buckets(out, by, DAY, block_rows)
+
+
+def vwap_of_buckets(df: DataFrame, by=BY, order=DAY, block_rows: int = 100_000) -> DataFrame:
+    """The cumulative vwap and vwap_dev (see vwap) of symbols of any length, from sums by time bucket."""
+    most = largest_key(df, list(by))
+    cuts = time_cuts(df, order[0], min(2 + 2 * most // block_rows, 1000)) if most > block_rows else []
+    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
+    out = carried(df, list(by), list(order), {"_pv": typical * F.col("volume"), "_v": F.col("volume")}, cuts)
+    out = out.withColumn("vwap", ratio(F.col("_pv"), F.col("_v"))).drop("_pv", "_v")
+    return out.withColumn("vwap_dev", ratio(F.col("close"), F.col("vwap")) - 1)
 
 
 # ---- microstructure

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.blocks import in_time_blocks
 from ..operators import technical as T
 from ..sources import views as V
 from .registry import query, rounded
@@ -122,14 +123,39 @@ def wn15_regime_features(spark, d):
     return _pick(T.regime_features(r), "roll_std", "roll_mean", "autocorr", "slope", "roll_skew", "roll_kurt")
 
 
-@query(
-    f"""with {_R}, x as (select symbol, ts, close, r as ret_1, {_fw('close', 20)} as sma_20, {_fw('r', 20, 'stddev_samp')} as vol_20, {_fw('close', 20, 'stddev_samp')} as s, {_fw('volume', 20)} as vol_mean_20 from p)
- select symbol, ts, round(ret_1, 6) as ret_1, round(sma_20, 6) as sma_20, round(vol_20, 6) as vol_20, round(sma_20 + 2 * s, 6) as bb_upper, round(vol_mean_20, 6) as vol_mean_20 from x"""
+_ALL = f"""with {_R}, x as (
+  select symbol, ts, close, r as ret_1, {_fw('close', 20)} as sma_20, {_fw('r', 20, 'stddev_samp')} as vol_20,
+    {_fw('close', 20, 'stddev_samp')} as s, {_fw('volume', 20)} as vol_mean_20
+  from p
 )
+select symbol, ts, round(ret_1, 6) as ret_1, round(sma_20, 6) as sma_20, round(vol_20, 6) as vol_20,
+  round(sma_20 + 2 * s, 6) as bb_upper, round(vol_mean_20, 6) as vol_mean_20
+from x"""
+
+
+@query(_ALL)
 def wn16_technical_all(spark, d):
     return _pick(T.technical_all(V.daily_bars(spark, d)), "ret_1", "sma_20", "vol_20", "bb_upper", "vol_mean_20")
 
 
+@query(_ALL)
+def wn16_technical_blocks(spark, d):
+    """The same rows from overlapping blocks of at most 500 rows of a symbol."""
+    return _pick(T.technical_all(V.daily_bars(spark, d), block_rows=500), "ret_1", "sma_20", "vol_20", "bb_upper", "vol_mean_20")
+
+
+@query(
+    f"""with {V.BARS}, y as (
+  select symbol, ts, close, sum((high + low + close) / 3 * volume) over w / nullif(sum(volume) over w, 0) as vwap
+  from bars window w as (partition by symbol order by ts)
+)
+select symbol, ts, round(vwap, 6) as vwap, round(close / nullif(vwap, 0) - 1, 6) as vwap_dev from y"""
+)
+def wn10_vwap_buckets(spark, d):
+    """The cumulative VWAP from sums by time bucket, carried forward."""
+    return _pick(T.vwap_of_buckets(V.daily_bars(spark, d), block_rows=500), "vwap", "vwap_dev")
+
+
 @query(f"with {V.BARS}, y as (select symbol, ts, lag(close, 1) over w as close_lag_1, lag(volume, 3) over w as volume_lag_3 from bars window w as (partition by symbol order by ts)) select symbol, ts, {_sel('close_lag_1', 'volume_lag_3')} from y")
 def wn17_lags(spark, d):
     return _pick(T.create_lags(V.daily_bars(spark, d), ["close", "volume"], (1, 3)), "close_lag_1", "volume_lag_3")
@@ -204,11 +230,25 @@ def ms9_best_quotes(spark, d):
     return _tick(T.best_quotes(T.book_from_ticks(V.ticks(spark, d))), "best_bid", "best_ask", "mid", "spread")
 
 
-@query(
-    f"""with {V.TICKS}, y as (select symbol, seq, avg(price) over w as price_mean, coalesce(stddev_samp(price) over w, 0) as price_std, min(price) over w as price_min, max(price) over w as price_max, count(*) over w as n,
- sum(size) over w as size_sum, avg(size) over w as size_mean, sum(price * size) over w / nullif(sum(size) over w, 0) as vwap,
- (sum(case when side = 'B' then size else 0 end) over w - sum(case when side = 'A' then size else 0 end) over w) / nullif(sum(case when side in ('A', 'B') then size else 0 end) over w, 0) as imbalance
- from ticks window w as (partition by symbol order by ts range interval 1 day preceding)) select symbol, seq, n, {_sel('price_mean', 'price_std', 'price_min', 'price_max', 'size_sum', 'size_mean', 'vwap', 'imbalance')} from y"""
+_TRAILING = ("n", "price_mean", "price_std", "price_min", "price_max", "size_sum", "size_mean", "vwap", "imbalance")
+_TRAILING_SQL = f"""with {V.TICKS}, y as (
+  select symbol, seq, avg(price) over w as price_mean, coalesce(stddev_samp(price) over w, 0) as price_std, min(price) over w as price_min,
+    max(price) over w as price_max, count(*) over w as n, sum(size) over w as size_sum, avg(size) over w as size_mean,
+    sum(price * size) over w / nullif(sum(size) over w, 0) as vwap,
+    (sum(case when side = 'B' then size else 0 end) over w - sum(case when side = 'A' then size else 0 end) over w)
+      / nullif(sum(case when side in ('A', 'B') then size else 0 end) over w, 0) as imbalance
+  from ticks window w as (partition by symbol order by ts range interval 1 day preceding)
 )
+select symbol, seq, n, {_sel(*_TRAILING[1:])} from y"""
+
+
+@query(_TRAILING_SQL)
+def ms10_trailing_blocks(spark, d):
+    """The same rows as ms10_trailing_features, from time buckets that overlap by the frame."""
+    build = lambda df, by: T.trailing_features(df, 86400, by)
+    return _tick(in_time_blocks(V.ticks(spark, d), build, ["symbol"], "ts", 86400, block_rows=5), *_TRAILING)
+
+
+@query(_TRAILING_SQL)
 def ms10_trailing_features(spark, d):
-    return _tick(T.trailing_features(V.ticks(spark, d), 86400), "n", "price_mean", "price_std", "price_min", "price_max", "size_sum", "size_mean", "vwap", "imbalance")
+    return _tick(T.trailing_features(V.ticks(spark, d), 86400), *_TRAILING)

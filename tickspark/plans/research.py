@@ -23,9 +23,20 @@ def features_long(spark, d):
     return t.select("entity_id", F.col("w.end").alias("ts"), cells.alias("x")).select("entity_id", "ts", "x.feature_name", "x.value", F.col("ts").alias("created_at"))
 
 
-@query(
-    f"""with {_FEAT} select e.entity_id, e.seq, round(f.mean_price, 6) as mean_price, round(f.sum_size, 6) as sum_size from ent e asof left join feat f on e.entity_id = f.entity_id and e.ts >= f.ts"""
-)
+_AS_OF = f"""with {_FEAT}
+select e.entity_id, e.seq, round(f.mean_price, 6) as mean_price, round(f.sum_size, 6) as sum_size
+from ent e asof left join feat f on e.entity_id = f.entity_id and e.ts >= f.ts"""
+
+
+@query(_AS_OF)
+def jn3_point_in_time_buckets(spark, d):
+    """The same rows as jn3_point_in_time, with entities of over five rows dealt by time bucket (so few, so that the small tables are cut as well)."""
+    e = V.ticks(spark, d).select(F.col("symbol").alias("entity_id"), "ts", "seq")
+    found = I.point_in_time_join(e, features_long(spark, d), ["mean_price", "sum_size"], entity_rows=5)
+    return rounded(found.select("entity_id", "seq", "mean_price", "sum_size"))
+
+
+@query(_AS_OF)
 def jn3_point_in_time(spark, d):
     e = V.ticks(spark, d).select(F.col("symbol").alias("entity_id"), "ts", "seq")
     return rounded(I.point_in_time_join(e, features_long(spark, d), ["mean_price", "sum_size"]).select("entity_id", "seq", "mean_price", "sum_size"))
