@@ -93,8 +93,8 @@ def tasks_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def join_hot(rows: DataFrame, named: DataFrame, key: str, rows_of: str, most: int = 1000) -> DataFrame:
-    """rows joined with `named` (one row for each key; column `rows_of` counts the key's rows) on the key.
+def join_hot(rows: DataFrame, named: DataFrame, key: str | list[str], rows_of: str, most: int = 1000) -> DataFrame:
+    """rows joined with `named` (one row for each key; column `rows_of` counts the key's rows) on the key, a column or several.
 
     Keys with more than 1/most of all rows, of which there are fewer than `most`, are sent to every task, so that no
     task gets all rows of one key; the others meet in a shuffle.  Both tables are read twice and should be stored.
