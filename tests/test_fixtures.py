@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickspark.operators import clean, ledger, pit, portfolio, strategy, technical
-from tickspark.sources import io, views, wire
+from tickspark.sources import io, views, records, wire
 
 
 def series(spark, values, symbol=1):
@@ -116,9 +116,9 @@ def test_granger_finds_the_driver(spark):
 
 
 def test_wire_formats(spark, tmp_path):
-    rec = np.array([(1, 1.5, 1.0, 2.0, 7, b"B"), (2, 2.5, 2.0, 3.0, 8, b"A")], wire.TICK)
+    rec = np.array([(1, 1.5, 1.0, 2.0, 7, b"B"), (2, 2.5, 2.0, 3.0, 8, b"A")], records.TICK)
     (tmp_path / "t.bin").write_bytes(rec.tobytes() + b"xx")
-    assert [tuple(r) for r in wire.read_fixed_ticks(spark, str(tmp_path / "t.bin")).collect()] == [(1, 1.5, 1.0, 2.0, 7, "B"), (2, 2.5, 2.0, 3.0, 8, "A")]
+    assert [tuple(r) for r in records.read_fixed_ticks(spark, str(tmp_path / "t.bin")).collect()] == [(1, 1.5, 1.0, 2.0, 7, "B"), (2, 2.5, 2.0, 3.0, 8, "A")]
     body = "8=FIX\u000135=8\u000137=x\u0001"
     good = f"{body}10={sum(body.encode()) % 256:03d}\u0001"
     df = spark.createDataFrame([(good,), (body + "10=999\u0001",), (None,)], "m string")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
+from ..functions.windows import micros
 from ..operators import ml as M
 from ..operators import technical as T
 from ..sources import io as IO
+from ..sources import records as R
 from ..sources import views as V
 from ..sources import wire as W
 from ..streaming import streams as S
@@ -54,16 +58,49 @@ def io7_query_book(spark, d):
     return rounded(b.select("symbol", "seq", F.size("bid_prices").alias("depth"), F.element_at("bid_prices", 2).alias("second_bid")))
 
 
-@query("select l_orderkey as order_ref, case when l_returnflag = 'R' then 'S' else 'B' end as side, cast(l_quantity as bigint) as shares, 'S' || l_suppkey as stock, round(cast(l_partkey as double) / 100, 6) as price from lineitem")
-def io12_decode_itch(spark, d):
-    """Add-order messages made from the fills, decoded again."""
+_ADDED = """select l_orderkey as order_ref, case when l_returnflag = 'R' then 'S' else 'B' end as side, cast(l_quantity as bigint) as shares,
+  'S' || l_suppkey as stock, round(cast(l_partkey as double) / 100, 6) as price
+from lineitem"""
+
+
+def _added(spark, d):
+    """Add-order messages made from the fills."""
     hexed = lambda c, n: F.lpad(F.hex(F.col(c).cast("long")), n, "0")
     li = V.table(spark, d, "lineitem").withColumns({"us": F.unix_micros(F.col("l_shipdate").cast("timestamp")) % 86_400_000_000, "px": F.col("l_partkey") * 100})
     text = F.concat(
         F.lit("41"), hexed("us", 12), hexed("l_orderkey", 16), F.when(F.col("l_returnflag") == "R", "53").otherwise("42"), hexed("l_quantity", 8),
         F.hex(F.rpad(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), 8, " ")), hexed("px", 8), F.lit("00000000"),
     )
-    return rounded(W.decode_itch(li.select(F.unhex(text).alias("data"))).select("order_ref", "side", "shares", "stock", "price"))
+    return li.select(F.unhex(text).alias("data"))
+
+
+@query(_ADDED)
+def io12_decode_itch(spark, d):
+    """Add-order messages made from the fills, decoded again."""
+    return rounded(W.decode_itch(_added(spark, d)).select("order_ref", "side", "shares", "stock", "price"))
+
+
+@query(_ADDED)
+def io12_message_files(spark, d):
+    """The same messages written as length-prefixed files, read in parallel ranges and decoded."""
+    path = scratch_path(spark, "frames")
+    R.write_frames(_added(spark, d), path)
+    messages = R.read_frames(spark, path, max_length=64, range_bytes=65_536)
+    return rounded(W.decode_itch(messages).select("order_ref", "side", "shares", "stock", "price"))
+
+
+@query(
+    f"""with {V.QUOTES}
+select epoch_us(ts) * 1000 as ts_ns, round(price, 6) as price, round(bid, 6) as bid, round(ask, 6) as ask, cast(volume as bigint) as volume, 'Q' as side
+from quotes where ts between timestamp '2024-01-05' and timestamp '2024-01-20'"""
+)
+def io11_fixed_ticks(spark, d):
+    """Quotes written as files of 41-byte records in time order; a time range read back by ranges of 1,000 records."""
+    path = scratch_path(spark, "records")
+    q = V.quotes(spark, d).select((micros("ts") * 1000).alias("ts_ns"), "price", "bid", "ask", F.col("volume").cast("long"), F.lit("Q").alias("side"))
+    R.write_fixed_ticks(q.sortWithinPartitions("ts_ns"), path)
+    begin, end = (int(datetime(2024, 1, x, tzinfo=timezone.utc).timestamp()) * 1_000_000_000 for x in (5, 20))
+    return rounded(R.read_fixed_ticks(spark, path, begin, end, records=1000, in_order=True))
 
 
 _FIX = "concat('8=FIX.4.4', chr(1), '35=8', chr(1), '37=', l_orderkey, chr(1), '17=', l_linenumber, chr(1), '150=', case when l_returnflag = 'R' then '4' else 'F' end, chr(1), '55=', l_partkey, chr(1), '32=', cast(l_quantity as bigint), chr(1), '10=128', chr(1))"

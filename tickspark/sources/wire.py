@@ -1,37 +1,14 @@
-"""Wire formats: fixed 41-byte ticks, binary order-book messages, tag=value messages."""
+"""Wire formats: binary order-book messages, tag=value messages.  Files of records and messages are in records.py."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: the 41-byte record, little-endian.
-TICK = np.dtype([("ts_ns", "<u8"), ("price", "<f8"), ("bid", "<f8"), ("ask", "<f8"), ("volume", "<u8"), ("side", "S1")])
-
 # Message lengths by type, and the place and kind of the fields after the common head (type, timestamp at 1, reference at 7).
 LENGTHS = {"A": 36, "F": 40, "E": 31, "C": 36, "X": 23, "D": 19, "U": 35, "P": 44, "S": 12}
 
 
-def read_fixed_ticks(spark: SparkSession, path: str) -> DataFrame:
-    """Files of 41-byte records; a broken last record is left out."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for data in b["content"]:
-                for a in range(0, len(data) // TICK.itemsize, 100_000):
-                    n = min(100_000, len(data) // TICK.itemsize - a)
-                    rec = np.frombuffer(data, TICK, n, a * TICK.itemsize)
-                    out = pd.DataFrame({k: rec[k].astype(rec[k].dtype.newbyteorder("=")) for k in ("ts_ns", "price", "bid", "ask", "volume")})
-                    yield out.astype({"ts_ns": "int64", "volume": "int64"}).assign(side=rec["side"].astype(str))
-
-    return files.mapInPandas(run, "ts_ns long, price double, bid double, ask double, volume long, side string")
-
-
 def decode_itch(df: DataFrame, col: str = "data") -> DataFrame:
     """Messages (one a row) -> (msg_type, ts_ns, order_ref, side, shares, stock, price, new_ref); unknown types and short messages go.
 
