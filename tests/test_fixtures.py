@@ -95,16 +95,6 @@ def test_backtest_cash_plus_position_is_equity(spark, small):
     assert (idle.equity == 1e6).all()
 
 
-def test_series_transforms():
-    x = np.random.default_rng(2).normal(size=101)
-    parts = portfolio.decompose(x, 7)
-    assert np.allclose(parts["trend"] + parts["seasonal"] + parts["residual"], x)
-    wave = np.sin(2 * np.pi * np.arange(200) / 20)
-    assert np.allclose(portfolio.analytic(wave)["amplitude"], 1)
-    assert abs(portfolio.spectral(wave)["centroid"] - 0.05) < 1e-9
-    assert np.allclose(portfolio.frac_diff_weights(1.0, 1e-5)[:2], [1, -1])
-    assert abs(portfolio._beta_tail(4.0, 2, 10) - 0.0530) < 1e-3
-
 
 def test_granger_finds_the_driver(spark):
     rng = np.random.default_rng(0)
@@ -144,3 +134,8 @@ def test_empty_frames(spark):
     assert technical.technical_all(empty).count() == 0
     assert technical.macd(empty).count() == 0
     assert clean.flag_outliers_iqr(empty, ["close"]).count() == 0
+
+
+def test_weights_and_tails():
+    assert np.allclose(portfolio.frac_diff_weights(1.0, 1e-5)[:2], [1, -1])
+    assert abs(portfolio._beta_tail(4.0, 2, 10) - 0.0530) < 1e-3

@@ -323,79 +323,6 @@ def frac_diff(df: DataFrame, col: str = "close", d: float = 0.5, threshold: floa
     return df.select(by, order, F.when(full, total).alias("frac"))
 
 
-def series_transform(df: DataFrame, f, fields: str, col: str = "close", by: str = "symbol", order: str = "ts", one_row: bool = False) -> DataFrame:
-    """f(values) -> dict of columns (arrays as long as the series, or scalars for one_row), series by series."""
-    kinds = dict(df.dtypes)
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(order)
-        new = f(t[col].to_numpy(float))
-        return pd.DataFrame([{by: t[by].iloc[0], **new}]) if one_row else t[[by, order]].assign(**new)
-
-    schema = f"{by} {kinds[by]}, " + ("" if one_row else f"{order} {kinds[order]}, ") + fields
-    return df.select(by, order, col).groupBy(by).applyInPandas(run, schema)
-
-
-def decompose(x: np.ndarray, period: int | None = None, multiplicative: bool = False) -> dict:
-    """Centred moving average (ends extended), period means and what is left; the period of the strongest frequency if none is given."""
-    n = len(x)
-    if period is None:
-        power = np.abs(np.fft.rfft(x - x.mean())) ** 2
-        period = max(2, round(n / max(1, int(np.argmax(power[1:]) + 1)))) if n > 3 else 2
-    half = period // 2
-    kernel = np.ones(period) / period if period % 2 else np.concatenate([[0.5], np.ones(period - 1), [0.5]]) / period
-    if n <= len(kernel):
-        trend = np.full(n, x.mean() if n else 0.0)
-    else:
-        core = np.convolve(x, kernel, "valid")
-        trend = np.concatenate([np.full(half, core[0]), core, np.full(n - len(core) - half, core[-1])])
-    rest = x / trend if multiplicative else x - trend
-    means = np.array([rest[k::period].mean() if k < n else 0.0 for k in range(period)])
-    means = means / means.mean() if multiplicative else means - means.mean()
-    seasonal = means[np.arange(n) % period]
-    return {"trend": trend, "seasonal": seasonal, "residual": rest / seasonal if multiplicative else rest - seasonal}
-
-
-#: The db4 scaling filter.
-DB4 = np.array([0.23037781330885523, 0.7148465705525415, 0.6308807679295904, -0.02798376941698385, -0.18703481171888114, 0.030841381835986965, 0.032883011666982945, -0.010597401784997278])
-
-
-def wavelet(x: np.ndarray, levels: int = 3) -> dict:
-    """Undecimated db4 details of each level and the last approximation (periodic ends, any length)."""
-    high = DB4[::-1] * (-1.0) ** np.arange(8)
-    out, a, n = {}, np.asarray(x, float), len(x)
-    for k in range(1, levels + 1):
-        at = (np.arange(n)[:, None] + (2 ** (k - 1)) * np.arange(8)[None, :]) % max(n, 1)
-        out[f"detail_{k}"] = (a[at] * high / np.sqrt(2)).sum(1)
-        a = (a[at] * DB4 / np.sqrt(2)).sum(1)
-    out["approximation"] = a
-    return out
-
-
-def analytic(x: np.ndarray) -> dict:
-    """Amplitude and phase of the analytic signal."""
-    n = len(x)
-    h = np.zeros(n)
-    h[0] = 1
-    h[1 : (n + 1) // 2] = 2
-    if n % 2 == 0 and n:
-        h[n // 2] = 1
-    z = np.fft.ifft(np.fft.fft(x) * h)
-    return {"amplitude": np.abs(z), "phase": np.angle(z)}
-
-
-def spectral(x: np.ndarray) -> dict:
-    """Centroid, spread, skew, kurtosis and entropy (bits) of the power over positive frequencies."""
-    p, f = np.abs(np.fft.rfft(x - x.mean()))[1:] ** 2, np.fft.rfftfreq(len(x))[1:]
-    if p.sum() <= 0:
-        return dict.fromkeys(("centroid", "spread", "skew", "kurtosis", "entropy"))
-    p = p / p.sum()
-    c = float((f * p).sum())
-    s = float(np.sqrt(((f - c) ** 2 * p).sum()))
-    moment = lambda k: float(((f - c) ** k * p).sum() / s**k) if s > 0 else None
-    return {"centroid": c, "spread": s, "skew": moment(3), "kurtosis": moment(4), "entropy": float(-(p[p > 0] * np.log2(p[p > 0])).sum())}
-
-
 def hurst(df: DataFrame, col: str = "close", max_lag: int = 20, by: str = "symbol", order=("ts",)) -> DataFrame:
     """Slope of ln deviation of k-step differences on ln k, k = 2 .. max_lag - 1."""
     w = Window.partitionBy(by).orderBy(*order)

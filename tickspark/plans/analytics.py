@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger as L
 from ..operators import portfolio as P
+from ..operators import spectral as S
 from ..operators import technical as T
 from ..sources import views as V
 from .registry import query, rounded
@@ -396,24 +397,84 @@ def se1_frac_diff(spark, d):
     return rounded(P.frac_diff(V.daily_bars(spark, d), threshold=1e-3))
 
 
-@query()
+_POS = f"""{V.BARS}, pos as (
+  select symbol, ts, close as x, row_number() over (partition by symbol order by ts) - 1 as i, count(*) over (partition by symbol) as n from bars
+)"""
+
+
+@query(
+    f"""with {_POS}, t as (
+  select *, case when i >= 10 and i + 10 < n and n > 21 then (sum(x) over (partition by symbol order by i rows between 10 preceding and 10 following)
+    - (lag(x, 10) over (partition by symbol order by i) + lead(x, 10) over (partition by symbol order by i)) / 2) / 20 end as t
+  from pos
+),
+e as (select symbol, min_by(t, i) filter (t is not null) as t0, max_by(t, i) filter (t is not null) as t1, avg(x) as m from t group by 1),
+r as (select symbol, ts, i, x, coalesce(t, case when i < 10 then t0 else t1 end, m) as trend from t join e using (symbol)),
+p as (select symbol, i % 20 as phase, avg(x - trend) as m from r group by all),
+q as (select symbol, sum(m) / 20 as mid from p group by 1)
+select r.symbol, ts, round(trend, 3) as trend, round(m - mid, 3) as seasonal, round(x - trend - (m - mid), 3) as residual
+from r join p on r.symbol = p.symbol and r.i % 20 = p.phase join q on r.symbol = q.symbol"""
+)
 def se2_decompose(spark, d):
-    return rounded(P.series_transform(V.daily_bars(spark, d), lambda x: P.decompose(x, 20), "trend double, seasonal double, residual double"))
+    return rounded(S.seasonal_decompose(V.daily_bars(spark, d), 20), 3)
 
 
-@query()
+#: One row for each tap of the two filters, over the square root of two.
+_TAPS = ", ".join(f"({m}, {low!r} / sqrt(2), {high!r} / sqrt(2))" for m, (low, high) in enumerate(zip(S.DB4, S.HIGH)))
+
+
+def _level(k: int, last: str) -> str:
+    far = f"(b.i + {1 << (k - 1)} * f.m) % b.n"
+    return f"""l{k} as (select b.symbol, b.i, b.n, sum(f.high * y.a) as d, sum(f.low * y.a) as a
+  from {last} b, taps f, {last} y where y.symbol = b.symbol and y.i = {far} group by all)"""
+
+
+@query(
+    f"""with {_POS}, taps(m, low, high) as (values {_TAPS}), l0 as (select symbol, i, n, x as a from pos), {_level(1, 'l0')}, {_level(2, 'l1')}, {_level(3, 'l2')}
+select pos.symbol, ts, round(l1.d, 5) as detail_1, round(l2.d, 5) as detail_2, round(l3.d, 5) as detail_3, round(l3.a, 5) as approximation
+from pos join l1 using (symbol, i) join l2 using (symbol, i) join l3 using (symbol, i)"""
+)
 def se3_wavelet(spark, d):
-    return rounded(P.series_transform(V.daily_bars(spark, d), P.wavelet, "detail_1 double, detail_2 double, detail_3 double, approximation double"))
+    return rounded(S.wavelet_bank(V.daily_bars(spark, d), block_rows=200), 5)
 
 
-@query()
+def _dft(table: str, value: str) -> str:
+    """Plain sums of sines and cosines."""
+    angle = "2 * pi() * ((a.i * k.i) % a.n) / a.n"
+    return f"""dft as (select a.symbol, k.i as k, a.n, sum(a.{value} * cos({angle})) as re, -sum(a.{value} * sin({angle})) as im
+  from {table} a join {table} k using (symbol) group by all)"""
+
+
+@query(
+    f"""with {_POS}, {_dft('pos', 'x')},
+h as (select *, case when k = 0 or 2 * k = n then 1 when 2 * k < n then 2 else 0 end as w from dft),
+z as (
+  select p.symbol, p.ts, sum(w * (re * cos(2 * pi() * ((p.i * k) % p.n) / p.n) - im * sin(2 * pi() * ((p.i * k) % p.n) / p.n))) / any_value(p.n) as re,
+    sum(w * (re * sin(2 * pi() * ((p.i * k) % p.n) / p.n) + im * cos(2 * pi() * ((p.i * k) % p.n) / p.n))) / any_value(p.n) as im
+  from pos p join h on p.symbol = h.symbol and w > 0 group by 1, 2
+)
+select symbol, ts, round(sqrt(re * re + im * im), 3) as amplitude, round(atan2(im, re), 3) as phase from z"""
+)
 def se4_analytic(spark, d):
-    return rounded(P.series_transform(V.daily_bars(spark, d), P.analytic, "amplitude double, phase double"))
+    """Series of over 300 values go through the distributed transform."""
+    return rounded(S.analytic_signal(V.daily_bars(spark, d), longest=300), 3)
 
 
-@query()
+@query(
+    f"""with {_POS}, level as (select symbol, i, n, x - avg(x) over (partition by symbol) as x from pos), {_dft('level', 'x')},
+p as (select symbol, cast(k as double) / n as f, case when k > 0 then re * re + im * im end as p from dft where 2 * k <= n),
+t as (select symbol, nullif(sum(p), 0) as s, sum(f * p) / nullif(sum(p), 0) as c, sum(case when p > 0 then p * log2(p) end) as l from p group by 1),
+m as (
+  select symbol, s, c, l, sqrt(sum(power(f - c, 2) * p.p) / s) as d, sum(power(f - c, 3) * p.p) / s as m3, sum(power(f - c, 4) * p.p) / s as m4
+  from p join t using (symbol) group by symbol, s, c, l
+)
+select symbol, round(c, 6) as centroid, round(d, 6) as spread, round(m3 / power(nullif(d, 0), 3), 6) as skew, round(m4 / power(nullif(d, 0), 4), 6) as kurtosis,
+  round(log2(s) - l / s, 6) as entropy
+from m"""
+)
 def se5_spectral(spark, d):
-    return rounded(P.series_transform(V.daily_bars(spark, d), P.spectral, "centroid double, spread double, skew double, kurtosis double, entropy double", one_row=True))
+    """Series of over 300 values go through the distributed transform."""
+    return rounded(S.spectral_features(V.daily_bars(spark, d), longest=300))
 
 
 @query(
