@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..functions.windows import correlation, ratio
+from .matrices import correlation_pairs, lag_tests
 
 YEAR = 252
 
@@ -105,8 +106,14 @@ def _long(row: DataFrame, names: list[str], pairs: list[tuple[str, str]], value:
     return row.select(cells.alias("x")).select("x.*")
 
 
+#: Columns from which on correlations come from tiles instead of one expression for each pair.
+WIDE = 24
+
+
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(feat_a, feat_b, corr) of all pairs a < b, from one pass."""
+    """(feat_a, feat_b, corr) of all pairs a < b in the given order, from one pass; wide tables by tiles of products (see correlation_pairs)."""
+    if len(cols) >= WIDE:
+        return correlation_pairs(df, cols).select("feat_a", "feat_b", "corr")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     return _long(df.agg(*(correlation(a, b).alias(f"{a}|{b}") for a, b in pairs)), ["feat_a", "feat_b"], pairs, "corr")
 
@@ -263,39 +270,18 @@ def _beta_cf(a: float, b: float, x: float) -> float:
 
 
 def granger(df: DataFrame, target: str, cols: list[str], max_lag: int = 3, by: str = "symbol", order=("ts",)) -> DataFrame:
-    """(symbol, feature, best_lag, p): smallest p of the F-tests of adding the feature's lags to the target's own.
-
-    One pass makes the cross-product sums of each (symbol, feature, lag); only those small matrices are solved.
-    """
-    w = Window.partitionBy(by).orderBy(*order)
-    out = None
-    for c in cols:
-        for k in range(1, max_lag + 1):
-            terms = [F.lit(1.0), *(F.lag(target, i).over(w) for i in range(1, k + 1)), *(F.lag(c, i).over(w) for i in range(1, k + 1)), F.col(target).cast("double")]
-            v = df.select(by, F.array(*terms).alias("v")).filter(F.forall("v", lambda x: x.isNotNull()))
-            m = 2 * k + 2
-            sums = [F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"s{i}_{j}") for i in range(m) for j in range(i, m)]
-            one = v.groupBy(by).agg(F.count("*").alias("n"), *sums).select(by, F.lit(c).alias("feature"), F.lit(k).alias("lag"), "n", F.array(*(f"s{i}_{j}" for i in range(m) for j in range(i, m))).alias("s"))
-            out = one if out is None else out.unionByName(one)
-
-    def solve(batches):
-        for b in batches:
-            p = []
-            for k, n, s in zip(b["lag"], b["n"], b["s"]):
-                m = 2 * k + 2
-                g = np.zeros((m, m))
-                g[np.triu_indices(m)] = s
-                g = g + np.triu(g, 1).T
-                rss = []
-                for keep in (list(range(k + 1)), list(range(2 * k + 1))):
-                    beta = np.linalg.lstsq(g[np.ix_(keep, keep)], g[keep, -1], rcond=None)[0]
-                    rss.append(g[-1, -1] - beta @ g[keep, -1])
-                free = n - 2 * k - 1
-                p.append(_beta_tail((rss[0] - rss[1]) / k / (rss[1] / free), k, int(free)) if free > 0 and rss[1] > 1e-12 else None)
-            yield pd.DataFrame({by: b[by], "feature": b["feature"], "lag": b["lag"], "p": p})
-
-    tests = out.mapInPandas(solve, f"{by} {dict(df.dtypes)[by]}, feature string, lag int, p double")
-    return tests.groupBy(by, "feature").agg(F.min_by("lag", F.struct("p", "lag")).alias("best_lag"), F.min("p").alias("p"))
+    """(symbol, feature, best_lag, p): smallest p of the F-tests (see lag_tests) of adding the feature's lags to the target's own."""
+    tests = lag_tests(df, target, cols, max_lag, by, order)
+
+    def tails(batches):
+        for t in batches:
+            p = [None if f != f else _beta_tail(f, k, int(n) - 2 * k - 1) for f, k, n in zip(t["f"].astype(float), t["lag"], t["n"])]
+            yield t[[by, "feature", "lag"]].assign(p=pd.Series(p, t.index, dtype=float))
+
+    rated = tests.mapInPandas(tails, f"`{by}` {dict(df.dtypes)[by]}, feature string, lag int, p double")
+    # a test that could not be made is NaN in pandas
+    rated = rated.withColumn("p", F.nanvl("p", F.lit(None)))
+    return rated.groupBy(by, "feature").agg(F.min_by("lag", F.when(F.col("p").isNotNull(), F.struct("p", "lag"))).alias("best_lag"), F.min("p").alias("p"))
 
 
 # ---- whole-series transforms

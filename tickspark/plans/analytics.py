@@ -298,6 +298,24 @@ def ag22_correlation(spark, d):
     return rounded(P.correlation_matrix(V.daily_bars(spark, d), ["open", "close", "volume"]))
 
 
+#: Lags of close and volume, and their pairs as rows.
+_WIDE = [f"{c}_{k}" for c in ("open", "high", "low", "close", "volume") for k in range(6)]
+_WIDE_SQL = ", ".join(f"lag({c}, {k}) over (partition by symbol order by ts) as {c}_{k}" for c in ("open", "high", "low", "close", "volume") for k in range(6))
+
+
+@query(
+    f"""with {V.BARS}, wide as (select {_WIDE_SQL} from bars), c as (
+  {" union all ".join(f"select '{a}' as feat_a, '{b}' as feat_b, corr({a}, {b}) as corr, count(case when {a} is not null then {b} end) as n from wide" for i, a in enumerate(_WIDE) for b in _WIDE[i + 1 :])}
+)
+select feat_a, feat_b, round(corr, 6) as corr, n from c"""
+)
+def ag22_correlation_wide(spark, d):
+    """Thirty columns with nulls (lags), by tiles of eight columns."""
+    bars = V.daily_bars(spark, d)
+    wide = T.create_lags(bars, ["open", "high", "low", "close", "volume"], range(6)).select(*(F.col(f"{c.rsplit('_', 1)[0]}_lag_{c.rsplit('_', 1)[1]}").alias(c) for c in _WIDE))
+    return rounded(P.correlation_pairs(wide, _WIDE, tile=8))
+
+
 @query(f"{_CORR} select feat_a, feat_b, round(abs(corr), 6) as weight from c where abs(corr) > 0.3")
 def ag22_feature_graph(spark, d):
     return rounded(P.feature_graph(V.daily_bars(spark, d), ["open", "close", "volume"], 0.3))
@@ -382,6 +400,19 @@ def ag32_granger(spark, d):
     return rounded(P.granger(V.daily_bars(spark, d), "close", ["volume"], 2))
 
 
+@query(
+    f"""with {V.BARS}, v as (select symbol, close as y, lag(close) over w as y1, lag(volume) over w as x1 from bars window w as (partition by symbol order by ts)),
+r as (select * from v where y1 is not null and x1 is not null),
+a as (select symbol, regr_slope(y, y1) as sy, regr_intercept(y, y1) as ay, regr_slope(x1, y1) as sx, regr_intercept(x1, y1) as ax, count(*) as n from r group by 1),
+e as (select symbol, n, y - ay - sy * y1 as ey, x1 - ax - sx * y1 as ex from r join a using (symbol)),
+s as (select symbol, n, sum(ey * ey) as whole, sum(ey * ey) - power(sum(ex * ey), 2) / sum(ex * ex) as rest from e group by 1, 2)
+select symbol, 'volume' as feature, 1 as lag, n, round((whole - rest) / (rest / (n - 3)), 5) as f from s where n > 3"""
+)
+def ag32_granger_f(spark, d):
+    """The F statistic of one lag, whose fits SQL can express as regressions of residuals."""
+    return rounded(P.lag_tests(V.daily_bars(spark, d), "close", ["volume"], 1, block_rows=200), 5)
+
+
 # ---- whole series
 
 
