@@ -162,23 +162,57 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
         spark.read.parquet(path).count()
 
 
-def test_greedy_matching_by_brute_force(spark):
-    """Random keys with several fills a side, against the rule applied row by row."""
+def arrived(rows_a, rows_x):
+    """The rule of arrival, fill by fill: (time, fill_id, quantity, price) of one key and both sides."""
+    out, waiting = set(), ([], [])
+    for t, theirs, f, q, v in sorted([(t, 0, f, q, v) for t, f, q, v in rows_a] + [(t, 1, f, q, v) for t, f, q, v in rows_x]):
+        other, result = waiting[1 - theirs], None
+        if other:
+            u, g, r, w = other[0]
+            result = "quantity" if abs(q - r) > 0.001 else "price" if abs(v - w) > 0.01 else "timestamp_drift" if abs((t - u).total_seconds()) > 1 else "matched"
+            out.add((g, f, result) if theirs else (f, g, result))
+        if result == "matched":
+            other.pop(0)
+        else:
+            waiting[theirs].append((t, f, q, v))
+    return out
+
+
+def fills(spark, rows):
+    df = spark.createDataFrame(rows, "fill_id string, order_id long, ts timestamp_ntz, quantity double, price double")
+    return df.withColumns({"symbol": F.lit(1), "side": F.lit("buy"), "venue": F.lit("v")})
+
+
+def test_matching_in_order_of_arrival_by_brute_force(spark):
+    """Random keys with several fills a side, against the rule applied fill by fill; a null key is a key."""
     rng = np.random.default_rng(9)
-    rows = {p: [(f"{p}{k:03d}", int(rng.integers(0, 12)), START + timedelta(seconds=int(rng.integers(0, 4))), float(rng.choice([5, 5, 7])), float(rng.choice([1.0, 1.0, 1.0, 2.0]))) for k in range(120)] for p in "ax"}
-    frames = {p: spark.createDataFrame(r, "fill_id string, order_id long, ts timestamp_ntz, quantity double, price double").withColumns({"symbol": F.lit(1), "side": F.lit("buy"), "venue": F.lit("v")}) for p, r in rows.items()}
+    at = lambda: START + timedelta(seconds=int(rng.integers(0, 4)))
+    key = lambda: None if (k := int(rng.integers(0, 12))) == 11 else k
+    rows = {p: [(f"{p}{k:03d}", key(), at(), float(rng.choice([5, 5, 7])), float(rng.choice([1.0, 1.0, 1.0, 2.0]))) for k in range(120)] for p in "ax"}
     want = set()
-    for key in range(12):
-        ours, theirs = (sorted((t, f, q, v) for f, k, t, q, v in rows[p] if k == key) for p in "ax")
-        at = 0
-        for t, f, q, v in ours:
-            if at == len(theirs):
-                break
-            u, g, r, w = theirs[at]
-            result = "quantity" if abs(q - r) > 0.001 else "price" if abs(v - w) > 0.01 else "timestamp_drift" if abs((t - u).total_seconds()) > 1 else "matched"
-            want.add((f, g, result))
-            at += result == "matched"
-    assert {tuple(r) for r in ledger.match_fills(frames["a"], frames["x"]).collect()} == want
+    for k in [*range(11), None]:
+        want |= arrived(*([(t, f, q, v) for f, own, t, q, v in rows[p] if own == k] for p in "ax"))
+    got = [tuple(r) for r in ledger.match_fills(fills(spark, rows["a"]), fills(spark, rows["x"])).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert {r for *_, r in want} == {"quantity", "price", "timestamp_drift", "matched"}
+
+
+def test_a_fill_is_compared_when_it_arrives(spark):
+    """Internal 5 at 0 ms and 7 at 100 ms, exchange 7 at 200 ms: one break with the first, nothing matched."""
+    ms = lambda k: START + timedelta(milliseconds=k)
+    a = fills(spark, [("a1", 1, ms(0), 5.0, 1.0), ("a2", 1, ms(100), 7.0, 1.0)])
+    x = fills(spark, [("x1", 1, ms(200), 7.0, 1.0)])
+    assert [tuple(r) for r in ledger.match_fills(a, x).collect()] == [("a1", "x1", "quantity")]
+    # both stand open, and the matcher is in the plan once
+    missing = ledger.missing_fills(a, x, ledger.match_fills(a, x), "2030-01-01 00:00:00")
+    assert {(r.fill_id, r.kind) for r in missing.collect()} == {("a1", "missing_exchange"), ("a2", "missing_exchange"), ("x1", "missing_internal")}
+    assert missing._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
+def test_null_keys_are_one_key_in_folds(spark):
+    rows = [(None, 1, START + timedelta(seconds=k), f"f{k}", "buy", 2.0, 10.0) for k in range(3)]
+    trades = spark.createDataFrame(rows, "account int, symbol int, ts timestamp_ntz, fill_id string, side string, quantity double, price double")
+    assert [r.position for r in ledger.position_state(trades).orderBy("ts").collect()] == [2.0, 4.0, 6.0]
 
 
 def test_exact_quantiles_of_large_groups(spark):

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fold import ordered_fold
+from ..functions.fold import ordered_fold, same_key
 from ..functions.quantiles import exact_quantiles
 from ..functions.windows import micros, ratio
 
@@ -28,11 +28,14 @@ def _compared(price_tol: float, qty_tol: float, drift_ms: float) -> Column:
 
 
 def match_fills(internal: DataFrame, exchange: DataFrame, price_tol: float = 0.01, qty_tol: float = 0.001, drift_ms: float = 1000.0) -> DataFrame:
-    """(internal_id, exchange_id, result): matched, or the first failing check of a comparison; greedy in arrival order.
+    """(internal_id, exchange_id, result): matched, or the first failing check of a comparison, by the rule of arrival.
+
+    Fills arrive in the order (ts, internal before exchange, fill_id).  Each one is compared with the first fill of the other side
+    and the same key that has arrived and is not matched yet; a match takes both away, a break leaves both waiting, so that
+    a fill may be in several breaks and still be matched.  A null in a key equals another null.
 
     Both sides meet in one exchange by key.  Keys with one fill on each side (the usual case) are compared in an
-    aggregate; the others are read as one stream: each internal fill, in (ts, fill_id) order, meets the first exchange fill not
-    yet consumed, and a break consumes neither.  The stream holds only the exchange fills of one key that arrived and wait.
+    aggregate; the others are read as one stream that holds the fills of one key which wait.
     """
     pick = lambda df, side: df.select(*MATCH_KEY, F.lit(side).alias("_x"), "fill_id", micros("ts").alias("us"), "quantity", "price")
     both = pick(internal, False).unionByName(pick(exchange, True)).repartition(*MATCH_KEY)
@@ -41,25 +44,31 @@ def match_fills(internal: DataFrame, exchange: DataFrame, price_tol: float = 0.0
     side = lambda p, c: F.max(F.when(F.col("_x") if p == "x" else ~F.col("_x"), F.col(c))).alias(f"{p}_{c}")
     single = n.filter("_a = 1 and _b = 1").groupBy(*MATCH_KEY).agg(*(side(p, c) for p in "ix" for c in ("fill_id", "us", "quantity", "price")))
     fast = single.select(F.col("i_fill_id").alias("internal_id"), F.col("x_fill_id").alias("exchange_id"), _compared(price_tol, qty_tol, drift_ms).alias("result"))
-    rank = F.row_number().over(Window.partitionBy(*MATCH_KEY, "_x").orderBy("us", "fill_id"))
-    # the i-th internal fill meets one of the first i exchange fills, which come before it here
-    many = n.filter("_a > 0 and _b > 0 and _a + _b > 2").withColumn("_r", rank).sortWithinPartitions(*MATCH_KEY, "_r", F.desc("_x"))
+    many = n.filter("_a > 0 and _b > 0 and _a + _b > 2").sortWithinPartitions(*MATCH_KEY, "us", "_x", "fill_id")
+
+    def compared(a: tuple, b: tuple) -> str:
+        if abs(a[2] - b[2]) > qty_tol:
+            return "quantity"
+        if abs(a[3] - b[3]) > price_tol:
+            return "price"
+        return "timestamp_drift" if abs(a[1] - b[1]) / 1000 > drift_ms else "matched"
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, waiting = None, deque()
+        last, waiting = None, (deque(), deque())
         for batch in batches:
             out = []
             for *k, theirs, fill_id, us, quantity, price in batch.itertuples(index=False, name=None):
-                if k != last:
-                    last, waiting = k, deque()
-                if theirs:
-                    waiting.append((fill_id, us, quantity, price))
-                elif waiting:
-                    x = waiting[0]
-                    result = "quantity" if abs(quantity - x[2]) > qty_tol else "price" if abs(price - x[3]) > price_tol else "timestamp_drift" if abs(us - x[1]) / 1000 > drift_ms else "matched"
-                    out.append((fill_id, x[0], result))
-                    if result == "matched":
-                        waiting.popleft()
+                if not same_key(k, last):
+                    last, waiting = k, (deque(), deque())
+                fill, own, other = (fill_id, us, quantity, price), waiting[theirs], waiting[not theirs]
+                result = compared(fill, other[0]) if other else None
+                if result:
+                    ids = (other[0][0], fill_id) if theirs else (fill_id, other[0][0])
+                    out.append((*ids, result))
+                if result == "matched":
+                    other.popleft()
+                else:
+                    own.append(fill)
             yield pd.DataFrame(out, columns=["internal_id", "exchange_id", "result"])
 
     slow = many.select(*MATCH_KEY, "_x", "fill_id", "us", "quantity", "price").mapInPandas(fold, "internal_id string, exchange_id string, result string")
@@ -67,16 +76,16 @@ def match_fills(internal: DataFrame, exchange: DataFrame, price_tol: float = 0.0
 
 
 def missing_fills(internal: DataFrame, exchange: DataFrame, matches: DataFrame, as_of: str, max_age_s: float = 60.0) -> DataFrame:
-    """(break_id, fill_id, kind, severity): fills without a match that are older than the limit."""
-    done = matches.filter("result = 'matched'")
+    """(break_id, fill_id, kind, severity): fills without a match that are older than the limit; the matches are read once for both sides."""
+    ends = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("fill_id")) for kind, c in (("missing_exchange", "internal_id"), ("missing_internal", "exchange_id")))))
+    done = matches.filter("result = 'matched'").select(ends.alias("e")).select("e.kind", "e.fill_id")
     old = (micros(F.to_timestamp_ntz(F.lit(as_of))) - micros("ts")) / 1e6 > max_age_s
-    ident = lambda kind: F.substring(F.md5(F.concat_ws(":", F.lit(kind), "fill_id")), 1, 12)
-
-    def missing(df: DataFrame, matched: DataFrame, kind: str, severity: str) -> DataFrame:
-        return df.filter(old).join(matched, "fill_id", "left_anti").select(ident(kind).alias("break_id"), "fill_id", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))
-
-    a = missing(internal, done.select(F.col("internal_id").alias("fill_id")), "missing_exchange", "high")
-    return a.unionByName(missing(exchange, done.select(F.col("exchange_id").alias("fill_id")), "missing_internal", "critical"))
+    pick = lambda df, kind, severity: df.filter(old).select("fill_id", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))
+    both = pick(internal, "missing_exchange", "high").unionByName(pick(exchange, "missing_internal", "critical"))
+    ident = F.substring(F.md5(F.concat_ws(":", "kind", "fill_id")), 1, 12)
+    # an anti join would be pushed below the union, and the matches computed for either side
+    left = both.join(done.withColumn("_done", F.lit(True)), ["kind", "fill_id"], "left").filter("_done is null")
+    return left.select(ident.alias("break_id"), "fill_id", "kind", "severity")
 
 
 def signed_notional(side: str = "side") -> Column:

@@ -24,15 +24,39 @@ def _fills(spark, d):
     return V.fills_internal(spark, d), V.fills_exchange(spark, d)
 
 
-_SAME = "i.order_id = x.order_id and i.symbol = x.symbol and i.side = x.side and i.venue = x.venue"
-_RESULT = """case when abs(i.quantity - x.quantity) > 0.001 then 'quantity' when abs(i.price - x.price) > 0.01 then 'price'
- when abs(epoch_us(i.ts) - epoch_us(x.ts)) / 1000 > 1000 then 'timestamp_drift' else 'matched' end"""
-#: The i-th internal fill of a key meets the first exchange fill that no earlier one was matched with.
-_MATCH = f"""{V.FILLS}, ia as (select *, row_number() over (partition by order_id, symbol, side, venue order by ts, fill_id) as r from internal),
- xa as (select *, row_number() over (partition by order_id, symbol, side, venue order by ts, fill_id) as r from exchange),
- m as (select i.order_id, i.symbol, i.side, i.venue, i.r as at, x.r as met, i.fill_id as internal_id, x.fill_id as exchange_id, {_RESULT} as result from ia i join xa x on {_SAME} where i.r = 1 and x.r = 1
- union all select i.order_id, i.symbol, i.side, i.venue, i.r, x.r, i.fill_id, x.fill_id, {_RESULT}
- from m join ia i on m.order_id = i.order_id and m.symbol = i.symbol and m.side = i.side and m.venue = i.venue and i.r = m.at + 1 join xa x on {_SAME} and x.r = m.met + case when m.result = 'matched' then 1 else 0 end)"""
+_KEY = "order_id, symbol, side, venue"
+
+
+def _result(a: str, b: str) -> str:
+    """SQL: the first check that two fills fail."""
+    return f"""case when abs({a}.q - {b}.q) > 0.001 then 'quantity' when abs({a}.p - {b}.p) > 0.01 then 'price'
+    when abs({a}.t - {b}.t) / 1000 > 1000 then 'timestamp_drift' else 'matched' end"""
+
+
+#: Fills of both sides in the order of arrival; each step has the lists of fills that wait and what the newest one was compared with.
+_MATCH = f"""{V.FILLS},
+ev as (
+  select {_KEY}, theirs, {{'id': fill_id, 'q': quantity, 'p': price, 't': epoch_us(ts)}} as f,
+    row_number() over (partition by {_KEY} order by ts, theirs, fill_id) as r
+  from (select *, 0 as theirs from internal union all by name select *, 1 as theirs from exchange)
+),
+st as (
+  select {_KEY}, r, theirs, [f for x in [1] if theirs = 0] as wi, [f for x in [1] if theirs = 1] as wx,
+    cast(null as varchar) as internal_id, cast(null as varchar) as exchange_id, cast(null as varchar) as result
+  from ev where r = 1
+  union all
+  select {_KEY}, r, theirs,
+    case when result = 'matched' then case when theirs = 0 then wi else wi[2:] end when theirs = 0 then list_append(wi, f) else wi end,
+    case when result = 'matched' then case when theirs = 1 then wx else wx[2:] end when theirs = 1 then list_append(wx, f) else wx end,
+    case when result is not null then case when theirs = 0 then f.id else wi[1].id end end,
+    case when result is not null then case when theirs = 1 then f.id else wx[1].id end end, result
+  from (
+    select {', '.join(f'e.{c}' for c in _KEY.split(', '))}, e.r, e.theirs, e.f, s.wi, s.wx,
+      case when e.theirs = 0 and len(s.wx) > 0 then {_result('e.f', 's.wx[1]')} when e.theirs = 1 and len(s.wi) > 0 then {_result('e.f', 's.wi[1]')} end as result
+    from st s join ev e on {' and '.join(f's.{c} = e.{c}' for c in _KEY.split(', '))} and e.r = s.r + 1
+  )
+),
+m as (select {_KEY}, internal_id, exchange_id, result from st where result is not null)"""
 
 
 @query(f"with recursive {_MATCH} select internal_id, exchange_id, result from m")
@@ -40,7 +64,7 @@ def jn6_match_fills(spark, d):
     return L.match_fills(*_fills(spark, d))
 
 
-@query(f"with recursive {_MATCH} select internal_id, exchange_id, result from m where (order_id, symbol, side, venue) in (select (order_id, symbol, side, venue) from ia where r = 2)")
+@query(f"with recursive {_MATCH} select internal_id, exchange_id, result from m where (order_id, symbol, side, venue) in (select (order_id, symbol, side, venue) from internal group by order_id, symbol, side, venue having count(*) > 1)")
 def jn6_match_fills_greedy(spark, d):
     """The keys with several internal fills, which only the stream matches."""
     ours, theirs = _fills(spark, d)
