@@ -172,16 +172,27 @@ def ag11_order_state(spark, d):
     return rounded(L.order_state(new.unionByName(fills)))
 
 
-#: Average cost and realised profit trade by trade: adding to a position averages the cost, a flip through zero restarts it.
-_POS = f"""{V.FILLS}, k as (select fill_id, account, symbol, price as p, case when side = 'buy' then quantity else -quantity end as q, row_number() over (partition by account, symbol order by ts, fill_id) as i from internal),
- f as (select fill_id, account, symbol, i, cast(q as double) as position, cast(p as double) as avg_cost, cast(0 as double) as realized from k where i = 1
- union all select k.fill_id, k.account, k.symbol, k.i, f.position + k.q,
- case when f.position = 0 or f.position * k.q > 0 then (abs(f.position) * f.avg_cost + abs(k.q) * k.p) / (abs(f.position) + abs(k.q)) when f.position + k.q = 0 then 0 when (f.position + k.q) * f.position < 0 then k.p else f.avg_cost end,
- f.realized + case when f.position = 0 or f.position * k.q > 0 then 0 else least(abs(k.q), abs(f.position)) * (k.p - f.avg_cost) * sign(f.position) end
- from f join k on f.account = k.account and f.symbol = k.symbol and k.i = f.i + 1)"""
+def positions_sql(trades: str) -> str:
+    """Average cost and realised profit trade by trade: adding to a position averages the cost, a flip through zero restarts it."""
+    grows = "f.position = 0 or f.position * k.q > 0"
+    return f"""{V.FILLS},
+k as (
+  select fill_id, account, symbol, price as p, case when side = 'buy' then quantity else -quantity end as q,
+    row_number() over (partition by account, symbol order by ts, fill_id) as i
+  from {trades}
+),
+f as (
+  select fill_id, account, symbol, i, cast(q as double) as position, cast(p as double) as avg_cost, cast(0 as double) as realized from k where i = 1
+  union all
+  select k.fill_id, k.account, k.symbol, k.i, f.position + k.q,
+    case when {grows} then (abs(f.position) * f.avg_cost + abs(k.q) * k.p) / (abs(f.position) + abs(k.q))
+      when f.position + k.q = 0 then 0 when (f.position + k.q) * f.position < 0 then k.p else f.avg_cost end,
+    f.realized + case when {grows} then 0 else least(abs(k.q), abs(f.position)) * (k.p - f.avg_cost) * sign(f.position) end
+  from f join k on f.account = k.account and f.symbol = k.symbol and k.i = f.i + 1
+)"""
 
 
-@query(f"with recursive {_POS} select fill_id, account, symbol, round(position, 4) as position, round(avg_cost, 4) as avg_cost, round(realized, 4) as realized from f")
+@query(f"with recursive {positions_sql('internal')} select fill_id, account, symbol, round(position, 4) as position, round(avg_cost, 4) as avg_cost, round(realized, 4) as realized from f")
 def ag12_position_state(spark, d):
     return rounded(L.position_state(V.fills_internal(spark, d)).select("fill_id", "account", "symbol", "position", "avg_cost", "realized"), 4)
 
@@ -452,13 +463,13 @@ def se1_frac_diff(spark, d):
     return rounded(P.frac_diff(V.daily_bars(spark, d), threshold=1e-3))
 
 
-_POS = f"""{V.BARS}, pos as (
+_PLACED = f"""{V.BARS}, pos as (
   select symbol, ts, close as x, row_number() over (partition by symbol order by ts) - 1 as i, count(*) over (partition by symbol) as n from bars
 )"""
 
 
 @query(
-    f"""with {_POS}, t as (
+    f"""with {_PLACED}, t as (
   select *, case when i >= 10 and i + 10 < n and n > 21 then (sum(x) over (partition by symbol order by i rows between 10 preceding and 10 following)
     - (lag(x, 10) over (partition by symbol order by i) + lead(x, 10) over (partition by symbol order by i)) / 2) / 20 end as t
   from pos
@@ -485,7 +496,7 @@ def _level(k: int, last: str) -> str:
 
 
 @query(
-    f"""with {_POS}, taps(m, low, high) as (values {_TAPS}), l0 as (select symbol, i, n, x as a from pos), {_level(1, 'l0')}, {_level(2, 'l1')}, {_level(3, 'l2')}
+    f"""with {_PLACED}, taps(m, low, high) as (values {_TAPS}), l0 as (select symbol, i, n, x as a from pos), {_level(1, 'l0')}, {_level(2, 'l1')}, {_level(3, 'l2')}
 select pos.symbol, ts, round(l1.d, 5) as detail_1, round(l2.d, 5) as detail_2, round(l3.d, 5) as detail_3, round(l3.a, 5) as approximation
 from pos join l1 using (symbol, i) join l2 using (symbol, i) join l3 using (symbol, i)"""
 )
@@ -501,7 +512,7 @@ def _dft(table: str, value: str) -> str:
 
 
 @query(
-    f"""with {_POS}, {_dft('pos', 'x')},
+    f"""with {_PLACED}, {_dft('pos', 'x')},
 h as (select *, case when k = 0 or 2 * k = n then 1 when 2 * k < n then 2 else 0 end as w from dft),
 z as (
   select p.symbol, p.ts, sum(w * (re * cos(2 * pi() * ((p.i * k) % p.n) / p.n) - im * sin(2 * pi() * ((p.i * k) % p.n) / p.n))) / any_value(p.n) as re,
@@ -516,7 +527,7 @@ def se4_analytic(spark, d):
 
 
 @query(
-    f"""with {_POS}, level as (select symbol, i, n, x - avg(x) over (partition by symbol) as x from pos), {_dft('level', 'x')},
+    f"""with {_PLACED}, level as (select symbol, i, n, x - avg(x) over (partition by symbol) as x from pos), {_dft('level', 'x')},
 p as (select symbol, cast(k as double) / n as f, case when k > 0 then re * re + im * im end as p from dft where 2 * k <= n),
 t as (select symbol, nullif(sum(p), 0) as s, sum(f * p) / nullif(sum(p), 0) as c, sum(case when p > 0 then p * log2(p) end) as l from p group by 1),
 m as (

@@ -14,7 +14,9 @@ from ..sources import io as IO
 from ..sources import records as R
 from ..sources import views as V
 from ..sources import wire as W
+from ..streaming import ordered as O
 from ..streaming import streams as S
+from .analytics import positions_sql
 from .registry import query, rounded
 
 _CSV = "symbol long, ts timestamp_ntz, seq long, price double, size double, side string"
@@ -190,9 +192,17 @@ def ml9_latest_model(spark, d):
 # ---- streams
 
 
-def _stream(spark, d):
+def _end(rows):
+    """A row far in the future, without an id, in a file that is read last: it lets all others out."""
+    late = {"ts": F.lit("2100-01-01 00:00:00").cast("timestamp")}
+    return rows.limit(1).select(*(late.get(f.name, F.lit(-1 if f.name in ("symbol", "account") else None).cast(f.dataType)).alias(f.name) for f in rows.schema))
+
+
+def _stream(spark, d, end=False):
     path = scratch_path(spark, "stream-in")
     V.ticks(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
+    if end:
+        _end(spark.read.parquet(path)).write.mode("append").parquet(path)
     return S.stream_ticks(spark, path)
 
 
@@ -225,7 +235,7 @@ def st3_sliding_stats(spark, d):
 
 @query(f"with {V.TICKS} select symbol, seq, count(*) over w as n, round(avg(price) over w, 6) as price_mean, round(sum(size) over w, 6) as size_sum from ticks window w as (partition by symbol order by ts range interval 1 day preceding)")
 def st4_trailing_features(spark, d):
-    return rounded(_result(spark, S.stream_trailing_features(_stream(spark, d), 86400)).select("symbol", "seq", "n", "price_mean", "size_sum"))
+    return rounded(_result(spark, O.stream_trailing_features(_stream(spark, d, end=True), 86400)).select("symbol", "seq", "n", "price_mean", "size_sum"))
 
 
 @query(f"with {V.TICKS} select symbol, count(*) as n from ticks group by 1")
@@ -272,6 +282,15 @@ def st6_match_fills(spark, d):
     return _result(spark, out).filter("i_fill_id is not null and x_fill_id is not null").selectExpr("i_fill_id internal_id", "x_fill_id exchange_id")
 
 
-@query(f"with {V.FILLS} select fill_id, round(sum(case when side = 'buy' then quantity else -quantity end) over (partition by account, symbol % 20 order by ts, fill_id), 6) as position from internal")
+@query(
+    f"""with recursive {positions_sql('(select * replace (symbol % 20 as symbol) from internal)')}
+select fill_id, round(position, 4) as position, round(avg_cost, 4) as avg_cost, round(realized, 4) as realized from f"""
+)
 def st10_positions(spark, d):
-    return rounded(_result(spark, S.stream_positions(_fill_stream(spark, d, False).withColumn("symbol", F.col("symbol") % 20))).select("fill_id", "position"))
+    """Fills in files of no order, a file a batch; the state puts them in order of event time."""
+    path = scratch_path(spark, "fills-in")
+    fills = V.fills_internal(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("symbol", F.col("symbol") % 20)
+    fills.repartition(3, "fill_id").write.parquet(path)
+    _end(fills).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(fills.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return rounded(_result(spark, O.stream_positions(stream, "4000 days")).select("fill_id", "position", "avg_cost", "realized"), 4)
