@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import stored
 
-def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float], by: list[str], slots: int = 64) -> DataFrame:
+
+def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float], by: list[str], slots: int = 64, keep: bool = True) -> DataFrame:
     """(by..., one column for each name in probs): quantiles with linear interpolation over the values that are not null.
 
     A mergeable sketch cuts each group into slots of about equal size; slots are counted, and only the values of the few
     slots that hold an order statistic asked for are ranked.  No task keeps the distinct values of a whole group.
+    The values are read three times, so they are stored first; keep=False is for an input that is stored already.
     """
     keys = by or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
     base = base.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
+    base = stored(base, "quantiles") if keep else base
     cuts = F.percentile_approx("_v", [k / slots for k in range(1, slots)], 20 * slots)
     sketch = base.groupBy(*keys).agg(cuts.alias("_cuts"), F.count("*").alias("_n"))
     placed = base.join(sketch, keys).withColumn("_slot", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Paths given out in this process and not removed yet.
 _MADE: list[str] = []
@@ -24,6 +24,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return _MADE[-1]
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as Parquet to the shared folder and read again, for inputs that a plan reads several times."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -43,9 +43,10 @@ def fill_missing(df: DataFrame, cols: list[str], method: str = "mean") -> DataFr
     if method == "mean":
         stats = df.agg(*(F.avg(c).alias(f"_{c}") for c in cols))
     else:
-        stats = df.sparkSession.range(1).select()
-        for c in cols:
-            stats = stats.join(exact_quantiles(df, c, {f"_{c}": 0.5}, []), how="left")  # one row each
+        # all columns at once, as the groups of one long table
+        cells = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols))).alias("x")
+        medians = exact_quantiles(df.select(cells).select("x.c", "x.v"), "v", {"m": 0.5}, ["c"])
+        stats = medians.agg(*(F.max(F.when(F.col("c") == c, F.col("m"))).alias(f"_{c}") for c in cols))
     return df.crossJoin(F.broadcast(stats)).withColumns({c: F.coalesce(c, f"_{c}") for c in cols}).drop(*(f"_{c}" for c in cols))  # one row
 
 

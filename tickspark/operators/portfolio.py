@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
+from ..functions.scratch import stored
 from ..functions.windows import correlation, ratio
 from .matrices import correlation_pairs, lag_tests
 
@@ -21,9 +22,10 @@ def portfolio_returns(returns: DataFrame, weights: DataFrame, by=()) -> DataFram
     return returns.join(weights, "symbol").groupBy(*by, "ts").agg(F.sum(F.col("ret") * F.col("weight")).alias("ret"))
 
 
-def portfolio_var_cvar(port: DataFrame, conf: float = 0.95, by=("portfolio",)) -> DataFrame:
-    """Historical value at risk and the mean loss beyond it, both positive."""
-    cut = exact_quantiles(port, "ret", {"_q": 1 - conf}, list(by))
+def portfolio_var_cvar(port: DataFrame, conf: float = 0.95, by=("portfolio",), keep: bool = True) -> DataFrame:
+    """Historical value at risk and the mean loss beyond it, both positive; keep=False is for returns that are stored already."""
+    port = stored(port.select(*by, "ret"), "returns") if keep else port
+    cut = exact_quantiles(port, "ret", {"_q": 1 - conf}, list(by), keep=False)
     tail = port.join(cut, list(by)).filter("ret <= _q")
     return tail.groupBy(*by).agg(F.abs(F.first("_q")).alias("var"), F.abs(F.avg("ret")).alias("cvar"))
 
@@ -38,10 +40,11 @@ def compounded(df: DataFrame, by, ret: str = "ret", order=("ts",)) -> DataFrame:
 def risk_metrics(port: DataFrame, by=("portfolio",)) -> DataFrame:
     """Annualised volatility and downside deviation, VaR and CVaR at 95 %, largest drawdown (negative)."""
     down = F.when(F.col("ret") < 0, F.col("ret"))
+    port = stored(port, "returns")
     base = compounded(port, by).groupBy(*by).agg(
         (F.stddev_samp("ret") * math.sqrt(YEAR)).alias("volatility"), (F.stddev_samp(down) * math.sqrt(YEAR)).alias("downside"), F.min("drawdown").alias("max_drawdown")
     )
-    return base.join(portfolio_var_cvar(port, 0.95, by), list(by))
+    return base.join(portfolio_var_cvar(port, 0.95, by, keep=False), list(by))
 
 
 def performance_metrics(equity: DataFrame, rf: float = 0.02, by=("portfolio",), ddof: int = 1) -> DataFrame:
