@@ -130,6 +130,28 @@ def decode_payload(df: DataFrame, schema: str, col: str = "payload") -> DataFram
     return df.withColumn("_p", F.from_json(col, schema)).select("*", "_p.*").drop("_p")
 
 
+def payload_variant(df: DataFrame, col: str = "payload", out: str = "payload_v") -> DataFrame:
+    """Adds the JSON text as a variant, which keeps any shape; a malformed one gives null."""
+    return df.withColumn(out, F.try_parse_json(col))
+
+
+def payload_value(path: str, kind: str, col: str = "payload_v") -> Column:
+    """The value at a path ($.a.b[0]) of a variant; null if it is absent or not of the kind."""
+    return F.try_variant_get(col, path, kind)
+
+
+def payload_schema(df: DataFrame, col: str = "payload_v") -> str:
+    """The schema that holds all variants of the column, in DDL (one aggregate over all rows), VOID if all are null; from_json and decode_payload take it."""
+    # OBJECT<a: BIGINT> is a struct in DDL
+    return df.agg(F.schema_of_variant_agg(col).alias("s")).first()["s"].replace("OBJECT<", "STRUCT<")
+
+
+def payload_entries(df: DataFrame, keys: list[str], col: str = "payload_v") -> DataFrame:
+    """(keys, pos, key, value): one row for each member of an object or array, its value as JSON text; rows without members give none."""
+    entries = df.sparkSession.tvf.variant_explode(F.col(col).outer())
+    return df.lateralJoin(entries).select(*keys, "pos", "key", F.to_json("value").alias("value"))
+
+
 def date_parts(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Adds us (microseconds since the epoch), weekday (Monday 0), tod (time of day) and year_month of a timestamp."""
     t = F.col(ts).cast("timestamp")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sql as Q
 from ..operators import altdata as A
 from ..operators import bars as B
 from ..operators import pit as I
@@ -339,6 +340,36 @@ def sc10_json_payload(spark, d):
     return A.decode_payload(V.table(spark, d, "events"), "k long", "props").select("event_id", "k")
 
 
+@query(
+    """with p as (
+  select event_id, case when event_id % 10 = 0 then substr(props, 2)
+    else json_object('k', cast(json_extract_string(props, '$.k') as bigint), 'who', json_object('id', user_id, 'tags', json_array(event_type, 'x')))::varchar end as t
+  from events
+)
+select event_id, cast(json_extract_string(t, '$.k') as bigint) as k, cast(json_extract_string(t, '$.who.id') as bigint) as user_id,
+  json_extract_string(t, '$.who.tags[0]') as tag
+from (select event_id, case when json_valid(t) then t end as t from p)"""
+)
+def sc10_variant_payload(spark, d):
+    """Nested payloads of no given schema, one in ten of them malformed."""
+    nested = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"), F.struct(F.col("user_id").alias("id"), F.array("event_type", F.lit("x")).alias("tags")).alias("who")))
+    text = F.when(F.col("event_id") % 10 == 0, F.substring("props", 2, 1000)).otherwise(nested)
+    rows = A.payload_variant(V.table(spark, d, "events").select("event_id", text.alias("payload")))
+    found = {"k": ("$.k", "long"), "user_id": ("$.who.id", "long"), "tag": ("$.who.tags[0]", "string")}
+    return rows.select("event_id", *(A.payload_value(path, kind).alias(c) for c, (path, kind) in found.items()))
+
+
+@query(
+    """select event_id, cast(p.pos as integer) as pos, case p.pos when 0 then 'k' else 'who' end as key,
+  case p.pos when 0 then cast(cast(json_extract_string(props, '$.k') as bigint) as varchar) else '{"id":' || user_id || '}' end as value
+from events, (select unnest([0, 1]) as pos) p"""
+)
+def sc10_variant_entries(spark, d):
+    nested = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"), F.struct(F.col("user_id").alias("id")).alias("who")))
+    rows = A.payload_variant(V.table(spark, d, "events").select("event_id", nested.alias("payload")))
+    return A.payload_entries(rows, ["event_id"])
+
+
 _OPT = "opt as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity as volume, cast(l_linenumber * 3 - 3 as double) as open_interest, l_extendedprice as premium, l_returnflag = 'R' and l_linenumber = 7 as is_sweep, false as is_block from lineitem)"
 
 
@@ -400,3 +431,54 @@ def ag37_alt_features(spark, d):
 def ud2_custom_checks(spark, d):
     checks = [lambda t: t.selectExpr("'negative' issue", "symbol entity", "case when price < 0 then 'FAIL' else 'PASS' end status"), lambda t: t.selectExpr("'small' issue", "symbol entity", "case when price < 1 then 'WARN' else 'PASS' end status")]
     return B.recon_summary(I.run_checks(V.ticks(spark, d), checks))
+
+
+def _turns(rows, state):
+    """Where the price turns: rows between two that both lie below or both above; the last two prices are carried on."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    seq, price = (pa.chunked_array([*state[c], *rows.column(c).chunks]).combine_chunks() for c in ("seq", "price"))
+    symbol = rows.column("symbol")[0].as_py()
+    state["seq"], state["price"] = [seq[-2:]], [price[-2:]]
+    if len(price) < 3:
+        return None
+    a, b, c = price[:-2], price[1:-1], price[2:]
+    turn = pc.or_(pc.and_(pc.greater(b, a), pc.greater(b, c)), pc.and_(pc.less(b, a), pc.less(b, c)))
+    found = pc.filter(seq[1:-1], turn)
+    return pa.table({"symbol": pa.array([symbol] * len(found), pa.int64()), "seq": found})
+
+
+@query(
+    f"""with {V.TICKS}, n as (
+  select symbol, seq, price, lag(price) over w as a, lead(price) over w as c from ticks window w as (partition by symbol order by ts, seq)
+)
+select symbol, seq from n where (price > a and price > c) or (price < a and price < c)"""
+)
+def ud1_feature_in_sql(spark, d):
+    """A user's feature that SQL calls as a table function: turning points of each symbol."""
+    Q.register_feature(spark, "turning_points", _turns, "symbol long, seq long", start=lambda: {"seq": [], "price": []})
+    V.ticks(spark, d).selectExpr("cast(symbol as long) symbol", "ts", "cast(seq as long) seq", "price").createOrReplaceTempView("ticks_of_symbols")
+    return spark.sql("select * from turning_points(table(ticks_of_symbols) partition by symbol order by (ts, seq))")
+
+
+def _gap(rows, state):
+    us = rows.column("us").to_numpy()
+    past = us if state["last"] is None else [state["last"], *us]
+    state["entity"] = str(rows.column("symbol")[0].as_py())
+    state["most"] = max([state["most"], *(int(b - a) for a, b in zip(past, past[1:]))])
+    state["last"] = int(us[-1])
+
+
+@query(
+    f"""with {V.TICKS}, g as (select symbol, epoch_us(ts) - lag(epoch_us(ts)) over (partition by symbol order by ts) as gap from ticks)
+select 'gap' as issue, cast(symbol as varchar) as entity, case when coalesce(max(gap), 0) > 5 * 86400000000 then 'FAIL' else 'PASS' end as status
+from g group by symbol"""
+)
+def ud2_check_in_sql(spark, d):
+    """A user's check that SQL calls as a table function: symbols without a tick for over five days."""
+    limit = 5 * 86_400_000_000
+    finish = lambda s: [("gap", s["entity"], "FAIL" if s["most"] > limit else "PASS")]
+    Q.register_check(spark, "long_gaps", _gap, finish, lambda: {"last": None, "most": 0, "entity": None})
+    V.ticks(spark, d).selectExpr("cast(symbol as long) symbol", "unix_micros(cast(ts as timestamp)) us").createOrReplaceTempView("tick_times")
+    return spark.sql("select * from long_gaps(table(tick_times) partition by symbol order by us)")

@@ -49,6 +49,15 @@ def io6_market_store(spark, d):
     return rounded(out.select("symbol", "ts", "close", F.col("year_month").cast("string").alias("year_month")))
 
 
+@query(f"with {V.BARS} select symbol, ts, round(close, 6) as close from bars where ts >= timestamp '1996-03-17'")
+def io6_retention(spark, d):
+    """Whole months removed and the boundary month rewritten in the store itself."""
+    path = scratch_path(spark, "store")
+    IO.write_market_store(V.daily_bars(spark, d), path)
+    IO.retain(spark, path, 366, "1997-03-18 00:00:00")
+    return rounded(spark.read.parquet(path).select("symbol", "ts", "close"))
+
+
 @query(f"with {V.BARS} select symbol, ts, round(close, 6) as close from bars where symbol in (1, 2, 3) and ts between timestamp '1996-01-01' and timestamp '1998-01-01'")
 def io7_query_bars(spark, d):
     return rounded(IO.query_store(V.daily_bars(spark, d), [1, 2, 3], "1996-01-01 00:00:00", "1998-01-01 00:00:00").select("symbol", "ts", "close"))

@@ -55,6 +55,56 @@ def apply_retention(df: DataFrame, days: int, as_of: str) -> DataFrame:
     return df.filter(F.col("ts") >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {days} days"))
 
 
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def store_months(spark: SparkSession, path: str) -> list[str]:
+    """The month folders of a store, oldest first."""
+    fs, at = _fs(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(at(path)) if f.isDirectory()]
+    return sorted(n.split("=")[1] for n in names if n.startswith("year_month="))
+
+
+def recover_store(spark: SparkSession, path: str) -> None:
+    """Ends a retention that was cut off: a month whose folder is away gets its kept rows if they were written whole, else its old ones."""
+    fs, at = _fs(spark, path)
+    for name in [f.getPath().getName() for f in fs.listStatus(at(path)) if f.isDirectory()]:
+        if name.startswith("_retired-"):
+            month = name.removeprefix("_retired-")
+            place, kept = at(f"{path}/year_month={month}"), at(f"{path}/_kept-{month}")
+            if not fs.exists(place):
+                fs.rename(kept if fs.exists(at(f"{path}/_kept-{month}/_SUCCESS")) else at(f"{path}/{name}"), place)
+            fs.delete(at(f"{path}/{name}"), True)
+    for f in fs.listStatus(at(path)):
+        if f.getPath().getName().startswith("_kept-"):
+            fs.delete(f.getPath(), True)
+
+
+def retain(spark: SparkSession, path: str, days: int, as_of: str) -> None:
+    """Removes the rows of a market store that are over `days` older than as_of.
+
+    Months before the boundary go as whole folders, later ones are not touched; the boundary month alone is read, and its rows from
+    the limit on are written beside it and put in its place by renames.  A run that was cut off at any step is ended by the next
+    one (or by recover_store) and loses no row that has to stay.
+    """
+    recover_store(spark, path)
+    fs, at = _fs(spark, path)
+    limit = spark.range(1).select((F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {days} days")).alias("t")).first()["t"]
+    boundary = f"{limit:%Y-%m}"
+    for month in store_months(spark, path):
+        if month < boundary:
+            fs.delete(at(f"{path}/year_month={month}"), True)
+    if boundary in store_months(spark, path):
+        place, kept, retired = (f"{path}/{n}{boundary}" for n in ("year_month=", "_kept-", "_retired-"))
+        rows = spark.read.parquet(place)
+        rows.filter(F.col("ts") >= F.lit(limit)).sortWithinPartitions("symbol", "ts").write.option("compression", "zstd").parquet(kept)
+        fs.rename(at(place), at(retired))
+        fs.rename(at(kept), at(place))
+        fs.delete(at(retired), True)
+
+
 def query_store(store: DataFrame, symbols: list, start: str, end: str, **equal) -> DataFrame:
     """Closed time range of some symbols in time order; `equal` filters other columns (venue, granularity)."""
     df = store.filter(F.col("symbol").isin(*symbols) & F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
