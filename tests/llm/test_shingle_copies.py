@@ -2,6 +2,8 @@ import random
 import re
 
 import corpus_pipeline as C
+import numpy as np
+from tickspark.llm import shingle_copies as S
 from tickspark.llm.shingle_copies import near_copy_groups
 from tickspark.llm.shingle_hash import fingerprints
 
@@ -75,3 +77,39 @@ def test_pipeline_stage_decides_by_row(spark, small):
     want = [(1, a), (2, b), (3, c), (None, "only here now"), (7, " "), (10, long)]
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted((d or 0, t) for d, t in want)
     assert C.drop_near_duplicates(spark, docs.limit(0), small).count() == 0
+
+
+def test_counts_in_common():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 5, 30, 30, 80)]
+    for columns in (3, 4096):
+        got = S.shared_counts(sets[:4], sets[2:], columns)
+        assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets[2:]] for x in sets[:4]]
+    assert S.shared_counts([np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]).tolist() == [[0]]
+
+
+def test_large_keys_are_cut_into_blocks(spark, monkeypatch):
+    """Chains of near copies whose ends are far apart, all under one key: every link between blocks counts."""
+    monkeypatch.setattr(S, "KEY_BLOCK", 4)
+    rng = random.Random(6)
+    texts = []
+    for _ in range(6):
+        words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        for step in range(8):
+            texts.append(" ".join(words))
+            words[step * 14] = f"x{rng.randrange(9999)}"
+    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    mixed = frame.selectExpr("7L key", "node", "node root").unionByName(frame.filter("node < 3").selectExpr("8L key", "node", "0L root"))
+    links = [tuple(r) for r in S.key_links(mixed, frame, 5, 0.8).collect()]
+    sets = [shingles(t) for t in texts]
+    near = lambda x, y: 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])
+    groups = dict(brute_groups(list(enumerate(texts))))
+    assert len(set(groups.values())) == 6 and not near(0, 7)
+    parent = list(range(len(texts)))
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for x, y in links:
+        parent[find(x)] = find(y)
+    assert {frozenset(k for k in range(48) if find(k) == r) for r in {find(k) for k in range(48)}} == {frozenset(k for k in range(48) if groups[k] == g) for g in set(groups.values())}
