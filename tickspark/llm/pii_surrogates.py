@@ -25,7 +25,7 @@ FIRST_NAMES = {
     ("f", "greek"): "Άννα Ελένη Ειρήνη Κατερίνα Μαρία Σοφία",
     ("m", "greek"): "Αλέξανδρος Γιώργος Δημήτρης Κώστας Νίκος Πέτρος",
 }
-TITLES = "Mr Mrs Ms Miss Dr Prof Sir Herr Frau Señor Señora Monsieur Madame Mme Don Doña Sra Sr Г-н Г-жа Κύριος Κυρία"
+TITLES = "MR MRS MS DR PROF Mr Mrs Ms Miss Dr Prof Sir Herr Frau Señor Señora Monsieur Madame Mme Don Doña Sra Sr Г-н Г-жа Κύριος Κυρία"
 # What stands before a name without a title.
 CUES = ("my name is", "name:", "signed by", "regards,", "sincerely,", "je m'appelle", "mein Name ist", "ich heiße", "me llamo", "mi nombre es", "меня зовут", "με λένε")
 # Vowels and consonants of scripts with case, letters of scripts without.
@@ -47,7 +47,9 @@ PLAIN_LETTERS = {
     "Georgian": "აბგდევზთიკლმნოპრსტუფ",
 }
 _VOWEL = "[aeiouyáàâäãåæéèêëíìîïóòôöõøœúùûüýÿаеёиоуыэюяіїєαεηιουωάέήίόύώաեէըիոօ]"
-_NAME = r"\p{Lu}\p{Ll}{1,30}"
+#: A name with an inner capital or apostrophe (McDonald, O'Brien), or of two parts with a hyphen; one in capitals.
+_NAME = r"\p{Lu}(?:\p{Ll}{0,3}['’]?\p{Lu})?\p{Ll}{1,30}(?:-\p{Lu}\p{Ll}{1,30})?"
+_CAPITALS = r"\p{Lu}[\p{Lu}'’-]{1,30}"
 _HEX = "[0-9a-fA-F]{1,4}"
 #: Prefixes that mark access keys.
 KEY_PREFIX = "AKIA|gh[pousr]_|sk-|xox[baprs]-|AIza"
@@ -57,12 +59,12 @@ PATTERNS = {
     "iban": r"(?=[A-Z]{2}[0-9])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "secret": r"(?=[0-9a-fA-F]{8})(?<![A-Za-z0-9])(?:[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})(?![A-Za-z0-9])",
     "key": rf"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,64}}|xox[baprs]-[A-Za-z0-9-]{{10,60}}|AIza[A-Za-z0-9_-]{{35}})(?![A-Za-z0-9_-])",
-    "card": r"(?=[0-9]{4})(?<![\w.-])(?:[0-9]{16}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|3[47][0-9]{13}|3[47][0-9]{2} [0-9]{6} [0-9]{5}|3[47][0-9]{2}-[0-9]{6}-[0-9]{5})(?![\w-])",
+    "card": r"(?=[0-9]{4}|[Cc]ard|CARD)(?<![\w.-])(?:(?:[Cc]ard|CARD)(?: number| no\.?)?:? )?(?:[0-9]{16}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|4[0-9]{12}|3[0689][0-9]{12}|3[47][0-9]{13}|(?:4|5[0678]|6)[0-9]{16,18}|3[47][0-9]{2} [0-9]{6} [0-9]{5}|3[47][0-9]{2}-[0-9]{6}-[0-9]{5})(?![\w-])",
     "ip": r"(?=[0-9]{1,3}\.)(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\w|\.[0-9])",
     "ip6": rf"(?<![\w:])(?:[23][0-9a-fA-F]{{3}}|[fF][eE]80|[fF][cCdD][0-9a-fA-F]{{2}})(?:(?::{_HEX}){{7}}|(?::{_HEX}){{0,5}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\w:])",
     "phone": r"(?=[0-9+(])(?<![\w+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}|\+[1-9](?:[ .-]?[0-9]){7,14})(?![\w-])",
     "ssn": r"(?=[0-9]{3}-)(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(TITLES.split())})\.? {_NAME}(?: {_NAME})?|(?:{_FIRST}) {_NAME}|(?<=(?:{'|'.join(CUES)})\s){_NAME} {_NAME})(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(TITLES.split())})\.? (?:{_NAME}(?: {_NAME}){{0,2}}|{_CAPITALS}(?: {_CAPITALS}){{0,2}})|(?:{_FIRST}) {_NAME}(?: {_NAME})?|(?<=(?:{'|'.join(CUES)})\s){_NAME} {_NAME})(?![\p{{L}}\p{{N}}])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity has, so that other texts are passed over quickly.
@@ -81,6 +83,13 @@ def mention_type(mention: Column) -> Column:
     return reduce(lambda c, k: c.when(mention.rlike(f"^(?:{PATTERNS[k]})$"), k), list(PATTERNS)[1:-1], F.when(mention.rlike(f"^(?:{PATTERNS['email']})$"), "email")).otherwise("name")
 
 
+def valid(kind: Column, mention: Column, canon: Column) -> Column:
+    """Whether a mention is what its pattern says: check digits decide for account numbers, and for cards that the text does not call so."""
+    card = mention.rlike("^[A-Za-z]") | (luhn_digit(F.substr(canon, F.lit(1), F.length(canon) - 1)) == F.substring(canon, -1, 1))
+    account = mod97_digits(F.substring(canon, 1, 2), F.substr(canon, F.lit(5))) == F.substring(canon, 3, 2)
+    return F.when(kind == "card", card).when(kind == "iban", account).otherwise(F.lit(True))
+
+
 def canonical(kind: Column, mention: Column) -> Column:
     """One form for all notations: digits of numbers, account numbers without spaces, lower case of e-mail addresses, IPv6 addresses and hex secrets."""
     digits = F.regexp_replace(mention, "[^0-9]", "")
@@ -209,11 +218,11 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 
 
 def _names(mention: Column) -> tuple[Column, Column, Column]:
-    """(title part, first name, last name) of a name mention."""
+    """(title part, first name, what follows it) of a name mention."""
     title = F.regexp_extract(mention, rf"^((?:{'|'.join(TITLES.split())})\.? )", 1)
     rest = F.substr(mention, F.length(title) + 1)
-    two = rest.contains(" ")
-    return title, F.when(two, F.substring_index(rest, " ", 1)).otherwise(""), F.substring_index(rest, " ", -1)
+    first = F.when(rest.contains(" "), F.substring_index(rest, " ", 1)).otherwise("")
+    return title, first, F.when(first == "", rest).otherwise(F.substr(rest, F.length(first) + 2))
 
 
 def _first_name(name: Column, key: str) -> Column:
@@ -234,7 +243,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", details: boo
     """The rows with every entity in the text replaced; details adds n_entities (long) and the array kinds.
 
     Null and empty texts stay as they are.  Equal texts get equal replacements; repeated rows and null ids stay.  Columns named
-    n_entities and kinds are replaced if details are asked for; all others stay.  Texts are searched once.
+    n_entities and kinds are replaced if details are asked for; all others stay.  Account numbers count only if
+    their check digits are right, cards if they are or if the text calls them cards.  Texts of any length are taken whole; those with mentions are searched for them once and
+    split at them once.  A name is found after a title, as a listed first name with what follows, or after a cue.
     """
     if details:
         docs = docs.drop("n_entities", "kinds")
@@ -247,15 +258,21 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", details: boo
     by_rows = hit.groupBy("k").agg(F.count("*").alias("n"), F.first("found").alias("found"))
     listed = by_rows.select("k", "n", F.posexplode("found").alias("pos", "mention")).withColumn("kind", mention_type(F.col("mention")))
     title, first, last = _names(F.col("mention"))
-    listed = materialise(listed.withColumn("canon", F.when(F.col("kind") == "name", last).otherwise(canonical(F.col("kind"), F.col("mention")))), "entities")
-    given = assign(listed.select("kind", "canon").distinct(), key)
-    new = F.when(
-        F.col("kind") == "name", F.concat(title, F.when(first == "", "").otherwise(F.concat(_first_name(first, key), F.lit(" "))), F.col("surrogate"))
-    ).otherwise(render(F.col("kind"), F.col("mention"), F.col("surrogate")))
-    done = listed.join(given, ["kind", "canon"]).select("k", "n", F.struct("pos", new.alias("new"), "kind").alias("x"))
+    capitals = (F.upper(last) == last) & (F.lower(last) != last) & (F.length(last) > 1)
+    plain_case = lambda name: F.when(capitals, F.initcap(F.lower(name))).otherwise(name)
+    canon = F.when(F.col("kind") == "name", plain_case(last)).otherwise(canonical(F.col("kind"), F.col("mention")))
+    listed = listed.withColumn("canon", canon).withColumn("kind", F.when(valid(F.col("kind"), F.col("mention"), F.col("canon")), F.col("kind")))
+    listed = materialise(listed, "entities")
+    given = assign(listed.filter("kind is not null").select("kind", "canon").distinct(), key)
+    called = F.concat(F.when(first == "", "").otherwise(F.concat(_first_name(plain_case(first), key), F.lit(" "))), F.col("surrogate"))
+    called = F.concat(title, F.when(capitals, F.upper(called)).otherwise(called))
+    new = F.when(F.col("kind") == "name", called).otherwise(render(F.col("kind"), F.col("mention"), F.col("surrogate")))
+    # a number that fails its check digits stays as it is
+    new = F.when(F.col("kind").isNull(), F.col("mention")).otherwise(new)
+    done = listed.join(given, ["kind", "canon"], "left").select("k", "n", F.struct("pos", new.alias("new"), "kind").alias("x"))
     by_text = materialise(done.groupBy("k").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("x")).alias("x")), "replacements")
     joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col("x.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = join_hot(hit, by_text, "k", "n").select("row", joined.alias("text"), F.col("x.kind").alias("kinds"))
+    changed = join_hot(hit, by_text, "k", "n").select("row", joined.alias("text"), F.array_compact("x.kind").alias("kinds"))
     plain = found.filter("k is null").select("row", text.alias("text"), F.array().cast("array<string>").alias("kinds"))
     both = changed.unionByName(plain)
     out = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names]
