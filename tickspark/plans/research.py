@@ -244,11 +244,18 @@ _RK = """q as (select o_orderkey as order_id, o_custkey as entity, o_orderdate a
  when daily_pnl < -50 then 'kill' when 1 - equity / nullif(peak_equity, 0) > 0.1655 then 'kill' when (gross + abs(quantity * price)) / nullif(equity, 0) > 1.5 then 'reject' else 'accept' end as decision from q left join st using (entity))"""
 
 
-def _screened(spark, d):
+def _screened(spark, d, extra=()):
     q = V.table(spark, d, "orders").selectExpr("o_orderkey order_id", "o_custkey entity", "o_orderdate ts", "10D quantity", "o_totalprice / 10 price", "o_totalprice / 10 * (1 + 0.05D * (o_orderkey % 3)) ref_price", "o_orderkey % 50 rate")
     st = V.table(spark, d, "customer").selectExpr("c_custkey entity", "5D * (c_custkey % 11) position", "5e5D + c_acctbal equity", "6e5D + c_acctbal peak_equity", "c_acctbal / 10 daily_pnl", "1e5D * (c_custkey % 7) gross", "c_custkey % 97 = 0 killed")
     limits = {"rate": 45, "notional": 400000, "deviation": 0.08, "position": 55, "daily_loss": 50, "drawdown": 0.1655, "leverage": 1.5}
-    return S.screen_orders(q, st, limits)
+    return S.screen_orders(q, st, limits, extra)
+
+
+@query(f"with {_RK} select order_id, case when decision = 'accept' and order_id % 7 = 0 then 'reject' else decision end as decision from dec")
+def ud3_custom_risk_check(spark, d):
+    """A user's check behind the built-in ones: a desk that is closed."""
+    closed = (F.col("order_id") % 7 == 0, "reject", "closed_desk")
+    return _screened(spark, d, [closed]).select("order_id", "decision")
 
 
 @query(f"with {_RK} select order_id, decision from dec")

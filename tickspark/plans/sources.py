@@ -49,6 +49,25 @@ def io6_market_store(spark, d):
     return rounded(out.select("symbol", "ts", "close", F.col("year_month").cast("string").alias("year_month")))
 
 
+@query(f"with {V.TICKS} select symbol, seq, round(price, 6) as price, 'zstd' as codec from ticks")
+def io4_write_table(spark, d):
+    """Ticks written with a compression, which the files' names carry."""
+    path = scratch_path(spark, "table")
+    IO.write_table(V.ticks(spark, d), path, compression="zstd")
+    codec = F.regexp_extract(F.col("_metadata.file_name"), r"\.(\w+)\.parquet$", 1).alias("codec")
+    return rounded(spark.read.parquet(path).select("symbol", "seq", "price", codec))
+
+
+@query(f"with {V.TICKS} select 'symbol=' || symbol as folder, count(*) as n, true as few_files from ticks group by 1")
+def io5_write_partitioned(spark, d):
+    """A folder for each symbol, in three files at most."""
+    path = scratch_path(spark, "partitioned")
+    IO.write_partitioned(V.ticks(spark, d), path, files=3)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/(symbol=\w+)/[^/]+$", 1).alias("folder")
+    rows = spark.read.parquet(path).select(folder, F.col("_metadata.file_name").alias("file"))
+    return rows.groupBy("folder").agg(F.count("*").alias("n"), (F.countDistinct("file") <= 3).alias("few_files"))
+
+
 @query(f"with {V.BARS} select symbol, ts, round(close, 6) as close from bars where ts >= timestamp '1996-03-17'")
 def io6_retention(spark, d):
     """Whole months removed and the boundary month rewritten in the store itself."""
