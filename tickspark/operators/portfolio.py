@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import largest_key
 from ..functions.quantiles import exact_quantiles
 from ..functions.scratch import stored
 from ..functions.windows import correlation, ratio
@@ -125,8 +126,16 @@ def feature_graph(df: DataFrame, cols: list[str], threshold: float) -> DataFrame
     return correlation_matrix(df, cols).filter(F.abs("corr") > threshold).withColumn("weight", F.abs("corr")).drop("corr")
 
 
-def _at_common_times(returns: DataFrame, value: str, order: str, blocks: int) -> DataFrame:
-    """(ts, a, b, x, y) for symbols a, b in the given order at common times; symbols are dealt into blocks, so that a time is shared by blocks^2 tasks."""
+#: Symbols that a block has at the fullest time.
+BLOCK_SYMBOLS = 128
+
+
+def _at_common_times(returns: DataFrame, value: str, order: str, blocks: int | None = None) -> DataFrame:
+    """(ts, a, b, x, y) for symbols a, b in the given order at common times; symbols are dealt into blocks, so that a time is shared by blocks^2 tasks.
+
+    Without a number of blocks it follows from the symbols at the fullest time.
+    """
+    blocks = blocks or max(1, -(-largest_key(returns, ["ts"]) // BLOCK_SYMBOLS))
     block = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
     every = F.explode(F.array(*map(F.lit, range(blocks))))
     base = returns.select("ts", "symbol", F.col(value).alias("_v"), block.alias("_own")).withColumn("_other", every)
@@ -135,13 +144,13 @@ def _at_common_times(returns: DataFrame, value: str, order: str, blocks: int) ->
     return a.join(b, ["ts", "_p", "_q"]).filter(order).select("ts", "a", "b", "x", "y")
 
 
-def pair_panel(returns: DataFrame, value: str = "ret", least: int = 30, blocks: int = 4) -> DataFrame:
+def pair_panel(returns: DataFrame, value: str = "ret", least: int = 30, blocks: int | None = None) -> DataFrame:
     """Rows of all symbol pairs a < b at common times; pairs with fewer rows go."""
     both = _at_common_times(returns, value, "a < b", blocks)
     return both.withColumn("_n", F.count("*").over(Window.partitionBy("a", "b"))).filter(F.col("_n") >= least).select("a", "b", "ts", "x", "y")
 
 
-def return_moments(returns: DataFrame, periods: int = YEAR, blocks: int = 4) -> tuple[DataFrame, DataFrame]:
+def return_moments(returns: DataFrame, periods: int = YEAR, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(mean by symbol, covariance by a <= b), annualised; each task sums the products of its blocks of symbols first."""
     mean = returns.groupBy("symbol").agg((F.avg("ret") * periods).alias("mu"))
     cov = _at_common_times(returns, "ret", "a <= b", blocks).groupBy("a", "b").agg((F.covar_samp("x", "y") * periods).alias("cov"), F.count("*").alias("n"))
@@ -164,7 +173,7 @@ def vol_target(stats: DataFrame, target: float) -> DataFrame:
 
 def corr_distance(returns: DataFrame, least: int = 3) -> DataFrame:
     """sqrt((1 - corr) / 2) of each symbol pair."""
-    pairs = _at_common_times(returns, "ret", "a < b", 4).groupBy("a", "b").agg(correlation("x", "y").alias("_c"), F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    pairs = _at_common_times(returns, "ret", "a < b").groupBy("a", "b").agg(correlation("x", "y").alias("_c"), F.count("*").alias("_n")).filter(F.col("_n") >= least)
     return pairs.select("a", "b", F.sqrt(F.greatest((1 - F.col("_c")) / 2, F.lit(0.0))).alias("distance"))
 
 
