@@ -109,7 +109,7 @@ class Block:
 
 def nearest(
     vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 8192, query_rows: int = 1024,
-    projections: int = 160, threshold: float = 0.8, width: float = 0.6, share: float = 0.02, least: int = 20, seed: int = 11,
+    projections: int = 160, threshold: float = 0.75, width: float = 0.65, share: float = 0.02, least: int = 20, seed: int = 11,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which `queries` holds, by inner product.
 
