@@ -202,7 +202,10 @@ def count_ids(segments: DataFrame) -> DataFrame:
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, vocabulary: int = 1 << 17) -> None:
-    """Writes `path`/codes (id, bits) and `path`/segments (start, n_ids, doc_ids, payload); start is the number of ids of all segments before."""
+    """Writes `path`/codes (id, bits) and `path`/segments (start, n_ids, doc_ids, payload); start is the number of ids of all segments before.
+
+    The code table is made on the driver and sent to every task, so ids have a bound: one of `vocabulary` or more raises.
+    """
     segments = materialise(id_segments(docs, tokenizer, end_id), "id-segments")
     counts = count_ids(segments).collect()  # as many as the vocabulary has at most
     table = np.zeros(max((r["id"] for r in counts), default=0) + 1, np.int64)

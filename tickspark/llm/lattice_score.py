@@ -325,7 +325,8 @@ def score(docs: DataFrame, model_path: str, rounds: int = 1, id_col: str = "doc_
     Null text counts as empty; rows with held_out false are the training part.  base_score is the add-half word
     unigram model; score the lattice model, after `rounds` expectation steps from the file's scores (none: as they are).
     Without any training row all counts are zero.  Repeated rows count as often as they stand; a null id counts as empty text when
-    rows are held out; columns besides the id and the text are left out; an empty table gives an empty one.
+    rows are held out; columns besides the id and the text are left out; an empty table gives an empty one.  Texts of any
+    length are taken whole, as the distinct words of blocks; a word of any length is one lattice.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), whole_text(F.col(text_col)).alias("text"))
     blocks = materialise(_blocks(source), "word-blocks")
