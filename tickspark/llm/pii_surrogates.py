@@ -257,15 +257,17 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", details: boo
     hit = found.filter("k is not null")
     by_rows = hit.groupBy("k").agg(F.count("*").alias("n"), F.first("found").alias("found"))
     listed = by_rows.select("k", "n", F.posexplode("found").alias("pos", "mention")).withColumn("kind", mention_type(F.col("mention")))
+    # the parts of names are stored as columns, as the expressions of replacements name them many times
     title, first, last = _names(F.col("mention"))
-    capitals = (F.upper(last) == last) & (F.lower(last) != last) & (F.length(last) > 1)
-    plain_case = lambda name: F.when(capitals, F.initcap(F.lower(name))).otherwise(name)
-    canon = F.when(F.col("kind") == "name", plain_case(last)).otherwise(canonical(F.col("kind"), F.col("mention")))
-    listed = listed.withColumn("canon", canon).withColumn("kind", F.when(valid(F.col("kind"), F.col("mention"), F.col("canon")), F.col("kind")))
-    listed = materialise(listed, "entities")
+    listed = listed.withColumns({"title": title, "first": first, "last": last})
+    listed = listed.withColumn("capitals", (F.upper("last") == F.col("last")) & (F.lower("last") != F.col("last")) & (F.length("last") > 1))
+    plain_case = lambda name: F.when(F.col("capitals"), F.initcap(F.lower(name))).otherwise(F.col(name))
+    canon = F.when(F.col("kind") == "name", plain_case("last")).otherwise(canonical(F.col("kind"), F.col("mention")))
+    listed = materialise(listed.withColumns({"canon": canon, "first": plain_case("first")}).drop("last"), "typed")
+    listed = materialise(listed.withColumn("kind", F.when(valid(F.col("kind"), F.col("mention"), F.col("canon")), F.col("kind"))), "entities")
     given = assign(listed.filter("kind is not null").select("kind", "canon").distinct(), key)
-    called = F.concat(F.when(first == "", "").otherwise(F.concat(_first_name(plain_case(first), key), F.lit(" "))), F.col("surrogate"))
-    called = F.concat(title, F.when(capitals, F.upper(called)).otherwise(called))
+    called = F.concat(F.when(F.col("first") == "", "").otherwise(F.concat(_first_name(F.col("first"), key), F.lit(" "))), F.col("surrogate"))
+    called = F.concat(F.col("title"), F.when(F.col("capitals"), F.upper(called)).otherwise(called))
     new = F.when(F.col("kind") == "name", called).otherwise(render(F.col("kind"), F.col("mention"), F.col("surrogate")))
     # a number that fails its check digits stays as it is
     new = F.when(F.col("kind").isNull(), F.col("mention")).otherwise(new)
