@@ -99,7 +99,7 @@ def retain(spark: SparkSession, path: str, days: int, as_of: str) -> None:
     if boundary in store_months(spark, path):
         place, kept, retired = (f"{path}/{n}{boundary}" for n in ("year_month=", "_kept-", "_retired-"))
         rows = spark.read.parquet(place)
-        rows.filter(F.col("ts") >= F.lit(limit)).sortWithinPartitions("symbol", "ts").write.option("compression", "zstd").parquet(kept)
+        rows.filter(F.col("ts") >= F.lit(str(limit)).cast("timestamp_ntz")).sortWithinPartitions("symbol", "ts").write.option("compression", "zstd").parquet(kept)
         fs.rename(at(place), at(retired))
         fs.rename(at(kept), at(place))
         fs.delete(at(retired), True)
