@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.blocks import carried, in_blocks, largest_key, time_cuts
+from ..functions.fold import same_key
 from ..functions.windows import BY, correlation, full, micros, ordered, ratio, rows, running
 
 DAY = ("ts",)
@@ -178,66 +179,60 @@ def ewm_quote_volatility(df: DataFrame, span: int = 20, price: str = "price", by
     return df.withColumn("ewm_vol", F.when(n > 1, F.sqrt(square / total))).drop("_r", "_h")
 
 
-def block_recurrence(df: DataFrame, col: str, alpha: float, out: str, by=BY, order=DAY, block_rows: int = 4096) -> DataFrame:
-    """y = alpha x + (1 - alpha) y_before, y_first = x, over each series (nulls carry y on), in blocks of rows.
+def recurrences(df: DataFrame, chain: list[tuple[str, str | tuple[str, str], float]], by=BY, order=DAY, block_rows: int = 65_536) -> DataFrame:
+    """Adds (out, input, alpha): y = alpha x + (1 - alpha) y_before, y_first = x, over each series (nulls and NaN carry y on).
 
-    y at the end of a block is A y_before + B, so blocks are folded at once, the small table of (A, B) is
-    scanned, and each block then starts from its own carry-in.  A long series is many blocks.
+    An input is a column or a pair of earlier ones, whose difference it is.  Sorted rows are read as one stream of at most `block_rows` at a
+    time with the last values of one key, so all of the chain takes one exchange and a series of any length needs no more memory.
     """
-    w = ordered(by, order)
-    rank = F.row_number().over(w)
-    df = df.withColumn("_i", rank - 1).withColumn("_b", F.floor(F.col("_i") / block_rows))
-    keys = [*by, "_b"]
-    value = F.col(col).cast("double")
-    here = Window.partitionBy(*keys).orderBy("_i")
-    # inside a block: y_i = q^(n_i) y0 + sum of alpha q^(n_i - n_j) x_j over the non-null x_j
-    q = 1.0 - alpha
-    seen = F.sum(F.when(value.isNotNull(), 1).otherwise(0)).over(here.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.sum(F.when(value.isNotNull(), 1).otherwise(0)).over(ordered(by, order).rowsBetween(Window.unboundedPreceding, 0)) == 1
-    df = df.withColumns({"_n": seen, "_first": first & value.isNotNull()})
-    part = StructType([*df.schema.fields, StructField("_y", DoubleType())])
-
-    def fold(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("_i")
-        x, start = batch[col].to_numpy(float), batch["_first"].to_numpy(bool)
-        y = np.empty(len(x))
-        last = 0.0
-        for i, v in enumerate(x):
-            if v == v:
-                last = v if start[i] else alpha * v + q * last
-            y[i] = last
-        return batch.assign(**{"_y": y})
-
-    folded = df.groupBy(*keys).applyInPandas(fold, part)
-    ends = folded.groupBy(*keys).agg(F.max("_n").alias("_m"), F.max_by("_y", "_i").alias("_e"), F.max("_first").alias("_f"))
-
-    def scan(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("_b")
-        carry, out_ = np.nan, []
-        for m, e, f in zip(t["_m"], t["_e"], t["_f"]):
-            out_.append(carry)
-            if f:
-                carry = e
-            elif m:
-                carry = (0.0 if carry != carry else carry) * q**m + e
-        return t.assign(_c=out_)[[*keys, "_c"]]
-
-    carries = ends.groupBy(*by).applyInPandas(scan, ", ".join(f"`{c}` {dict(ends.dtypes)[c]}" for c in keys) + ", _c double")
-    joined = folded.join(carries, keys, "left")
-    seen_any = F.col("_c").isNotNull() & ~F.isnan("_c")
-    y = F.when(seen_any, F.col("_y") + F.col("_c") * F.pow(F.lit(q), F.col("_n").cast("double"))).when(F.max("_first").over(here.rowsBetween(Window.unboundedPreceding, 0)), F.col("_y"))
-    return joined.withColumn(out, y).drop("_i", "_b", "_n", "_first", "_y", "_c")
+    plain = list(dict.fromkeys(x for _, x, _ in chain if isinstance(x, str) and x in df.columns))
+    temporary = {c: f"_in_{k}" for k, c in enumerate(plain)}
+    rows = df.withColumns({t: F.col(c).cast("double") for c, t in temporary.items()})
+    schema = StructType([*df.schema.fields, *(StructField(out, DoubleType()) for out, _, _ in chain)])
+    keep, by = list(df.columns), list(by)
+
+    def smooth(x: list, fresh: list[bool], alpha: float, last: float | None) -> tuple[list, float | None]:
+        out, q = [], 1.0 - alpha
+        for v, new in zip(x, fresh):
+            if new:
+                last = None
+            if v is not None and v == v:
+                last = v if last is None else alpha * v + q * last
+            out.append(last)
+        return out, last
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, {out: None for out, _, _ in chain}
+        for batch in (b.slice(k, block_rows) for b in batches for k in range(0, b.num_rows, block_rows)):
+            fresh = np.zeros(batch.num_rows, bool)
+            for c in by:
+                # equal codes for equal values, nulls among them
+                fresh[1:] |= np.diff(batch.column(c).dictionary_encode("encode").indices.to_numpy()) != 0
+            ends = [tuple(batch.column(c)[k].as_py() for c in by) for k in (0, -1)]
+            fresh[0], key = not same_key(ends[0], key), ends[1]
+            new, found = fresh.tolist(), {c: batch.column(t).to_pylist() for c, t in temporary.items()}
+            for out, x, alpha in chain:
+                if not isinstance(x, str):
+                    found[x] = [None if a is None or b is None else a - b for a, b in zip(found[x[0]], found[x[1]])]
+                found[out], last[out] = smooth(found[x], new, alpha, last[out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(found[o], pa.float64()) for o, _, _ in chain)], [f.name for f in schema])
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
+def block_recurrence(df: DataFrame, col: str, alpha: float, out: str, by=BY, order=DAY, block_rows: int = 65_536) -> DataFrame:
+    """One of `recurrences`."""
+    return recurrences(df, [(out, col, alpha)], by, order, block_rows)
 
 
 def ema(df: DataFrame, spans: Iterable[int] = (12, 26), col: str = "close", by=BY, order=DAY) -> DataFrame:
-    for n in spans:
-        df = block_recurrence(df, col, 2.0 / (n + 1), f"ema_{n}", by, order)
-    return df
+    return recurrences(df, [(f"ema_{n}", col, 2.0 / (n + 1)) for n in spans], by, order)
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, col: str = "close", by=BY, order=DAY) -> DataFrame:
-    out = ema(df, (fast, slow), col, by, order).withColumn("macd", F.col(f"ema_{fast}") - F.col(f"ema_{slow}"))
-    out = block_recurrence(out, "macd", 2.0 / (signal + 1), "macd_signal", by, order)
+    means = [(f"ema_{n}", col, 2.0 / (n + 1)) for n in (fast, slow)]
+    out = recurrences(df, [*means, ("macd_signal", (f"ema_{fast}", f"ema_{slow}"), 2.0 / (signal + 1))], by, order)
+    out = out.withColumn("macd", F.col(f"ema_{fast}") - F.col(f"ema_{slow}"))
     return out.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop(f"ema_{fast}", f"ema_{slow}")
 
 
