@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 
-from tickspark.operators import technical
+from tickspark.operators import pairs, portfolio, technical
 
 
 def plan(df) -> str:
@@ -25,3 +25,50 @@ def test_macd_of_many_keys_takes_one_exchange(spark):
         want = v.ewm(span=12, adjust=False).mean() - v.ewm(span=26, adjust=False).mean()
         got = found[found.symbol.isna() if s is None else found.symbol == s].sort_values("ts")
         assert np.allclose(got.macd, want) and np.allclose(got.macd_signal, want.ewm(span=9, adjust=False).mean())
+
+
+def test_pairs_meet_in_blocks_with_nulls_repeats_and_constants(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for k, s in enumerate(("é", "b", "a", "c", "dd", "ä")):
+        for i in range(40):
+            if rng.random() < 0.8:
+                v = 5.1 if s == "c" else float(rng.normal())
+                rows.append((s, datetime(2024, 1, 1) + timedelta(days=i), None if rng.random() < 0.1 else v))
+    rows += [rows[0], rows[50]]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, ret double").repartition(4)
+    t = pd.DataFrame(rows, columns=["s", "ts", "v"])
+    both = t.merge(t, on="ts")
+    both = both[both.s_x <= both.s_y]
+    want = {k: g for k, g in both.groupby(["s_x", "s_y"])}
+    for blocks in (None, 1, 3):
+        cov = {(r.a, r.b): r for r in portfolio.return_moments(df, 1, blocks)[1].collect()}
+        assert cov.keys() == want.keys()
+        for k, g in want.items():
+            assert cov[k].n == len(g)
+            both_known = g.dropna()
+            assert abs(cov[k].cov - np.cov(both_known.v_x, both_known.v_y)[0, 1]) < 1e-12
+        panel = portfolio.pair_panel(df, "ret", 25, blocks)
+        assert "SortMergeJoin" not in plan(panel) and "Window" not in plan(panel)
+        got = sorted((r.a, r.b, r.ts, r.x is None, r.y is None, r.x or 0.0, r.y or 0.0) for r in panel.collect())
+        kept = [g for (a, b), g in want.items() if a < b and len(g) >= 25]
+        assert got == sorted((a, b, ts, x != x, y != y, 0.0 if x != x else x, 0.0 if y != y else y) for g in kept for a, ts, x, b, y in g[["s_x", "ts", "v_x", "s_y", "v_y"]].itertuples(index=False))
+    distance = {(r.a, r.b): r.distance for r in portfolio.corr_distance(df).collect()}
+    # as in the SQL, greatest() passes over the null correlation of a constant
+    assert all((d == 0) == ("c" in k) for k, d in distance.items()) and len(distance) == 15
+
+
+def test_pair_sums_by_slices_of_time_and_series_too_long_for_a_task(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(s, datetime(2024, 1, 1) + timedelta(days=i), float(rng.normal(100, 3))) for s in range(5) for i in range(60)]
+    df = spark.createDataFrame(rows, "symbol long, ts timestamp_ntz, close double")
+    sums = {(r.a, r.b): r.cov for r in pairs.pair_sums(df, "close").collect()}
+    fits = {(r.a, r.b): r for r in portfolio.cointegration_of_series(df).collect()}
+    panel = sorted(tuple(r) for r in portfolio.pair_panel(df, "close").collect())
+    plain = {(r.a, r.b): r for r in portfolio.cointegration_scan(portfolio.pair_panel(df, "close")).collect()}
+    assert fits.keys() == plain.keys() and all(np.allclose(fits[k][2:], plain[k][2:]) for k in fits)
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 7)
+    sliced = {(r.a, r.b): r.cov for r in pairs.pair_sums(df, "close", blocks=2).collect()}
+    assert sliced.keys() == sums.keys() and all(abs(sliced[k] - sums[k]) < 1e-9 for k in sums)
+    assert pairs.panel_rows(df, "close", 30, 2) is None
+    assert sorted(tuple(r) for r in portfolio.pair_panel(df, "close", blocks=2).collect()) == panel
