@@ -72,3 +72,13 @@ def test_pair_sums_by_slices_of_time_and_series_too_long_for_a_task(spark, monke
     assert sliced.keys() == sums.keys() and all(abs(sliced[k] - sums[k]) < 1e-9 for k in sums)
     assert pairs.panel_rows(df, "close", 30, 2) is None
     assert sorted(tuple(r) for r in portfolio.pair_panel(df, "close", blocks=2).collect()) == panel
+
+
+def test_ewm_volatility_weighs_by_rows_around_a_missing_return(spark):
+    prices = [10.0, 11.0, 0.0, 9.0, 12.0, 11.5]
+    df = spark.createDataFrame([(1, datetime(2024, 1, 1) + timedelta(days=i), i, p) for i, p in enumerate(prices)], "symbol long, ts timestamp_ntz, seq long, price double")
+    got = [r.ewm_vol for r in technical.ewm_quote_volatility(df).orderBy("seq").collect()]
+    r = {i: prices[i] / prices[i - 1] - 1 for i in range(1, 6) if prices[i - 1]}
+    w = {i: (1 - 2 / 21) ** (5 - i) for i in r}
+    m = sum(r.values()) / len(r)
+    assert abs(got[-1] - (sum(w[i] * (r[i] - m) ** 2 for i in r) / sum(w.values())) ** 0.5) < 1e-12

@@ -170,13 +170,16 @@ def ewm_quote_volatility(df: DataFrame, span: int = 20, price: str = "price", by
     """Exponentially weighted deviation around the plain mean of the last <= span returns."""
     a = 2.0 / (span + 1)
     df = df.withColumn("_r", ratio(F.col(price), _prev(price, 1, by, order)) - 1)
-    df = df.withColumn("_h", F.collect_list("_r").over(rows(span, by, order)))
+    # a missing return keeps its place, so that older ones are weighted by their distance in rows
+    df = df.withColumn("_h", F.collect_list(F.struct("_r")).over(rows(span, by, order)))
+    known = F.filter(F.transform("_h", lambda x, i: F.struct(x["_r"].alias("r"), F.pow(F.lit(1 - a), (F.size("_h") - 1 - i).cast("double")).alias("w"))), lambda x: x["r"].isNotNull())
+    df = df.withColumn("_h", known)
     n = F.size("_h")
-    mean = F.aggregate("_h", F.lit(0.0), lambda s, x: s + x) / F.nullif(n, F.lit(0))
-    weight = lambda i: F.pow(F.lit(1 - a), (n - 1 - i).cast("double"))
-    total = F.aggregate(F.transform("_h", lambda x, i: weight(i)), F.lit(0.0), lambda s, x: s + x)
-    square = F.aggregate(F.transform("_h", lambda x, i: weight(i) * (x - mean) * (x - mean)), F.lit(0.0), lambda s, x: s + x)
-    return df.withColumn("ewm_vol", F.when(n > 1, F.sqrt(square / total))).drop("_r", "_h")
+    mean = F.aggregate("_h", F.lit(0.0), lambda s, x: s + x["r"]) / F.nullif(n, F.lit(0))
+    total = F.aggregate("_h", F.lit(0.0), lambda s, x: s + x["w"])
+    df = df.withColumn("_m", mean)
+    square = F.aggregate("_h", F.lit(0.0), lambda s, x: s + x["w"] * (x["r"] - F.col("_m")) * (x["r"] - F.col("_m")))
+    return df.withColumn("ewm_vol", F.when(n > 1, F.sqrt(square / total))).drop("_r", "_h", "_m")
 
 
 def recurrences(df: DataFrame, chain: list[tuple[str, str | tuple[str, str], float]], by=BY, order=DAY, block_rows: int = 65_536) -> DataFrame:
