@@ -97,3 +97,10 @@ def test_series_of_one_block_are_transformed_in_one_group(spark):
         x = np.array([r[3] for r in rows if r[0] == s])
         got = np.array([complex(r.re, r.im) for r in out.filter(f"symbol = {s}").orderBy("i").collect()])
         assert np.allclose(got, np.fft.fft(x), atol=1e-8)
+
+
+def test_block_features_read_their_input_once(spark, small):
+    from tickspark.sources import views
+
+    out = technical.technical_all(views.daily_bars(spark, small), block_rows=30)
+    assert "min_by" not in plan(out)

@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.blocks import carried, in_blocks, largest_key, time_cuts
 from ..functions.fold import same_key
+from ..functions.scratch import stored
 from ..functions.windows import BY, correlation, full, micros, ordered, ratio, rows, running
 
 DAY = ("ts",)
@@ -253,14 +254,16 @@ def technical_all(df: DataFrame, by=BY, block_rows: int | None = None) -> DataFr
     if block_rows is None:
         return reduce(lambda d, f: f(d, by=by), steps, df)
     framed = [f for f in steps if f is not vwap]
+    df = stored(df, "rows")
     out = in_blocks(df, lambda d, keys: reduce(lambda x, f: f(x, by=keys), framed, d), list(by), list(DAY), WIDEST, block_rows=block_rows)
-    return vwap_of_buckets(out, by, DAY, block_rows)
+    return vwap_of_buckets(out, by, DAY, block_rows, df)
 
 
-def vwap_of_buckets(df: DataFrame, by=BY, order=DAY, block_rows: int = 100_000) -> DataFrame:
-    """The cumulative vwap and vwap_dev (see vwap) of symbols of any length, from sums by time bucket."""
-    most = largest_key(df, list(by))
-    cuts = time_cuts(df, order[0], min(2 + 2 * most // block_rows, 1000)) if most > block_rows else []
+def vwap_of_buckets(df: DataFrame, by=BY, order=DAY, block_rows: int = 100_000, counted: DataFrame | None = None) -> DataFrame:
+    """The cumulative vwap and vwap_dev (see vwap) of symbols of any length, from sums by time bucket; `counted` has the same keys and times at less cost."""
+    counted = df if counted is None else counted
+    most = largest_key(counted, list(by))
+    cuts = time_cuts(counted, order[0], min(2 + 2 * most // block_rows, 1000)) if most > block_rows else []
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
     out = carried(df, list(by), list(order), {"_pv": typical * F.col("volume"), "_v": F.col("volume")}, cuts)
     out = out.withColumn("vwap", ratio(F.col("_pv"), F.col("_v"))).drop("_pv", "_v")
