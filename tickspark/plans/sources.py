@@ -315,10 +315,11 @@ def st6_match_fills(spark, d):
 select fill_id, round(position, 4) as position, round(avg_cost, 4) as avg_cost, round(realized, 4) as realized from f"""
 )
 def st10_positions(spark, d):
-    """Fills in files of no order, a file a batch; the state puts them in order of event time."""
+    """Fills in files of no order, in two batches; the state puts them in order of event time."""
     path = scratch_path(spark, "fills-in")
     fills = V.fills_internal(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("symbol", F.col("symbol") % 20)
-    fills.repartition(3, "fill_id").write.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    fills.repartition(3 * cores, "fill_id").write.parquet(path)
     _end(fills).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(fills.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    stream = spark.readStream.schema(fills.schema).option("maxFilesPerTrigger", 2 * cores).parquet(path)
     return rounded(_result(spark, O.stream_positions(stream, "4000 days")).select("fill_id", "position", "avg_cost", "realized"), 4)
