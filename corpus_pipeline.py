@@ -26,10 +26,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest id of each group of texts with at least 0.8 of their five-word shingles in common.
 
+    Groups of op10 (SimHash, Golay keys, four bits) come first, each link checked by the exact similarity; bands give copies further apart.
     Decided by row: different texts under one id both stay, exact repeats of a row do not; texts without words
     (null, empty, white space) are one group; a null id stands after all others.
     """
-    return shingle_copies.drop_near_copies(docs, words=5, similarity=0.8)
+    return shingle_copies.drop_near_copies(docs, words=5, similarity=0.8, fingerprint_words=4)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from ._common import checkpoint, join_hot, materialise, slices, small_batches, whole_text
+from ._common import checkpoint, clear_scratch, join_hot, materialise, scratch_mark, slices, small_batches, whole_text
 from .components import connected_components
 from .shingle_hash import shingle_hashes
+from .simhash_dedup import near_duplicate_groups
 
 BANDS, ROWS = 60, 8
 _RNG = np.random.default_rng(20)
@@ -221,13 +222,14 @@ def key_links(mixed: DataFrame, texts: DataFrame, words: int, similarity: float)
     return moved.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def copy_roots(shared: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, root) of all nodes which pairs of (key, node) rows with at least that similarity join.
+def copy_roots(shared: DataFrame, texts: DataFrame, words: int, similarity: float, links: DataFrame | None = None) -> DataFrame:
+    """(node, root) of all nodes which pairs of (key, node) rows with at least that similarity join, or such (hub, node) rows of `links`.
 
-    Pairs with each key's hub come first; keys that hold one part alone afterwards are done, and the nodes of the others are
+    Those links and pairs with each key's hub come first; keys that hold one part alone afterwards are done, and the nodes of the others are
     compared with each other, by key.
     """
-    pairs = checkpoint(hub_pairs(shared))
+    pairs = hub_pairs(shared)
+    pairs = checkpoint(pairs if links is None else links.union(pairs).distinct())
     parts = checkpoint(connected_components(checkpoint(verified(pairs, texts, words, similarity))))
     rooted = shared.join(parts, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
@@ -239,7 +241,19 @@ def copy_roots(shared: DataFrame, texts: DataFrame, words: int, similarity: floa
     return checkpoint(moved.unionByName(alone))
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def fingerprint_links(marked: DataFrame, sets: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(hub, node): in each SimHash group (see `simhash_dedup`) the node of every other shingle set with that of the first; still to be verified."""
+    spark, before = marked.sparkSession, scratch_mark()
+    groups = near_duplicate_groups(marked.select("num", F.col(f"row.`{text_col}`").alias("text")), "num", "text", words)
+    member = groups.select(F.col("id").alias("num"), F.col("component_id").alias("group"))
+    held = member.join(marked.select("num", "high", "low"), "num").select("high", "low", "group").distinct()
+    held = checkpoint(held.join(sets.select("high", "low", "node"), ["high", "low"]).select("group", "node"))
+    clear_scratch(spark, before, scratch_mark())
+    first = held.groupBy("group").agg(F.min("node").alias("hub"))
+    return held.join(first, "group").filter("node <> hub").select("hub", "node").distinct()
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, fingerprint_words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with their bands, stored; (high, low, n, component_id, first) of each shingle set): n rows have the set, first is the row that stands for the group."""
     if not 0.8 <= similarity <= 1:
         raise ValueError("similarity must be from 0.8 to 1")
@@ -250,14 +264,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     order = F.struct(F.col("id").isNull().alias("none"), "id", "num")
     sets = marked.groupBy("high", "low").agg(F.min("num").alias("node"), F.count("*").alias("n"), F.min("id").alias("least"), F.min(order).alias("best"))
     sets = materialise(sets, "copy-sets")
+    links = checkpoint(fingerprint_links(marked, sets, text_col, fingerprint_words)) if fingerprint_words else None
     nodes = sets.select(F.col("node").alias("num"))
     keyed = materialise(marked.select("num", "keys").join(nodes, "num", "left_semi").select(F.col("num").alias("node"), F.explode("keys").alias("key")), "band-keys")
     many = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     shared = materialise(keyed.join(many, "key", "left_semi"), "shared-keys")
     texts = marked.select(F.col("num").alias("node"), whole_text(F.col(f"row.`{text_col}`")).alias("text"))
-    texts = materialise(texts.join(shared.select("node").distinct(), "node", "left_semi"), "band-texts")
+    compared = shared.select("node") if links is None else shared.select("node").union(links.select("hub")).union(links.select("node"))
+    texts = materialise(texts.join(compared.distinct(), "node", "left_semi"), "band-texts")
     with small_batches(spark):
-        roots = copy_roots(shared, texts, words, similarity)
+        roots = copy_roots(shared, texts, words, similarity, links)
     rooted = checkpoint(sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("best").alias("best"))
     groups = rooted.select("high", "low", "root", "n").join(named, "root")
@@ -275,13 +291,16 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return join_hot(marked.select("id", "high", "low"), groups.select("high", "low", "n", "component_id"), ["high", "low"], "n").select("id", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, fingerprint_words: int | None = None) -> DataFrame:
     """One row of each group of near copies (see near_copy_groups), with the columns of `docs`: the one with the smallest id.
 
+    With fingerprint_words, texts whose SimHash fingerprints over shingles of so many words are linked by the Golay keys of `simhash_dedup`
+    (at most four bits) are compared first, and the bands then give the copies with more bits between them.
+
     Decided by row, not by id: rows that share an id but not a group stay, exact repeats of a row do not.  A row with a null id
     stays only if its group has no row with an id.  An empty table gives an empty one.
     """
-    marked, groups = _grouped(docs, id_col, text_col, words, similarity)
+    marked, groups = _grouped(docs, id_col, text_col, words, similarity, fingerprint_words)
     own = join_hot(marked.select("num", "high", "low"), groups.select("high", "low", "n", "first"), ["high", "low"], "n")
     extra = own.filter("num <> first").select("num")
     return marked.join(extra, "num", "left_anti").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
