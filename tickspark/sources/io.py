@@ -17,10 +17,15 @@ def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", header
 
 
 def read_ticks(spark: SparkSession, path: str, symbol=None, start=None, end=None) -> DataFrame:
-    """A store partitioned by symbol, cut by symbol and closed time range at the scan."""
-    df = spark.read.parquet(path)
-    if symbol is not None:
-        df = df.filter(F.col("symbol") == symbol)
+    """A store partitioned by symbol, cut by symbol and closed time range at the scan; of one symbol only its folder is listed."""
+    fs, at = _fs(spark, path)
+    own = f"{path}/symbol={symbol}"
+    if isinstance(symbol, int) and fs.exists(at(own)):
+        df = spark.read.option("basePath", path).parquet(own)
+    else:
+        df = spark.read.parquet(path)
+        if symbol is not None:
+            df = df.filter(F.col("symbol") == symbol)
     if start is not None:
         df = df.filter(F.col("ts") >= F.lit(start).cast(df.schema["ts"].dataType))
     if end is not None:
@@ -39,10 +44,21 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", compression: str
     writer.parquet(path) if fmt == "parquet" else writer.options(header=True, timestampNTZFormat=MICROS).csv(path)
 
 
-def write_partitioned(df: DataFrame, path: str, by: str = "symbol", mode: str = "overwrite", files: int = 1) -> None:
-    """Hive layout with zstd; `files` deals a heavy partition value to several tasks and files."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files))
-    df.repartition(by, salt).write.mode(mode).option("compression", "zstd").partitionBy(by).parquet(path)
+def write_partitioned(df: DataFrame, path: str, by: str = "symbol", mode: str = "overwrite", files: int = 1, heavy: int = 100_000) -> None:
+    """Hive layout with zstd; `files` deals a partition value of over `heavy` rows to several tasks and files, others have one.
+
+    The work is in the number of files, not in their bytes, so that tasks have a set number (by bytes they would be merged into one), and
+    they put their files in place themselves (committer 2), as the driver would rename one folder after the other.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.lit(0)
+    if files > 1:
+        many = df.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n")).filter(F.col("_n") > heavy)
+        spread = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+        df = df.join(many, F.col(by).eqNullSafe(F.col("_by")), "left")
+        salt = F.when(F.col("_n").isNotNull(), spread).otherwise(0)
+    out = df.repartition(tasks, by, salt).drop("_by", "_n").write.mode(mode).option("compression", "zstd").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    out.partitionBy(by).parquet(path)
 
 
 def write_market_store(df: DataFrame, path: str, mode: str = "append") -> None:
