@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from ._common import checkpoint, clear_scratch, join_hot, materialise, scratch_mark, slices, small_batches, whole_text
+from ._common import checkpoint, clear_scratch, join_hot, materialise, scratch_mark, shuffles_removed, slices, small_batches, whole_text
 from .components import connected_components
 from .shingle_hash import shingle_hashes
 from .simhash_dedup import near_duplicate_groups
@@ -287,7 +287,8 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Jaccard `similarity` (0.8 or more, as the bands are made for it).  Null text counts as empty; texts without words are
     copies of each other.  Rows with a null id are linked too but never name a group.
     """
-    marked, groups = _grouped(docs, id_col, text_col, words, similarity)
+    with shuffles_removed(docs.sparkSession):
+        marked, groups = _grouped(docs, id_col, text_col, words, similarity)
     return join_hot(marked.select("id", "high", "low"), groups.select("high", "low", "n", "component_id"), ["high", "low"], "n").select("id", "component_id")
 
 
@@ -300,7 +301,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Decided by row, not by id: rows that share an id but not a group stay, exact repeats of a row do not.  A row with a null id
     stays only if its group has no row with an id.  An empty table gives an empty one.
     """
-    marked, groups = _grouped(docs, id_col, text_col, words, similarity, fingerprint_words)
+    with shuffles_removed(docs.sparkSession):
+        marked, groups = _grouped(docs, id_col, text_col, words, similarity, fingerprint_words)
     own = join_hot(marked.select("num", "high", "low"), groups.select("high", "low", "n", "first"), ["high", "low"], "n")
     extra = own.filter("num <> first").select("num")
     return marked.join(extra, "num", "left_anti").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
