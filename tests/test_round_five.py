@@ -55,3 +55,28 @@ def test_pipeline_stage_leaves_no_files_of_its_exchanges(spark, small):
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), small)
     left = held() - before
     assert len(left) < 15 and spark.conf.get(name) == own and kept.count() == 20
+
+
+def test_encoder_learns_less_and_gives_the_same_ids(monkeypatch):
+    """op8: words after a line feed and words with any marks share what is learnt, and words that go on to occur are not learnt again."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+    from tickspark.llm.queries import byte_bpe
+    from tickspark.llm.text_ids import TextEncoder, load_tokenizer
+
+    library, encoder, asked = load_tokenizer(byte_bpe()), TextEncoder(load_tokenizer(byte_bpe()), max_bytes=200 * 4), []
+    whole = TextEncoder._whole
+    monkeypatch.setattr(TextEncoder, "_whole", lambda self, texts: asked.extend(texts) or whole(self, texts))
+    of = lambda texts: [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_rows(pa.array(texts))]
+    truth = lambda texts: [library.encode(x, add_special_tokens=False).ids for x in texts]
+    first = ["x alpha beta$$$ gamma.\nDelta", "x epsilon&&& zeta.\nEta"]
+    assert of(first) == truth(first)
+    asked.clear()
+    second = ["x alpha beta&&& gamma.\nEta", "x zeta.\nDelta epsilon$$$"]
+    assert of(second) == truth(second) and not any("alpha" in x or "gamma" in x or "Delta" in x for x in asked)
+    pieces = ["a", "Ab", "é", "\n", "\n\n", " ", "  ", ".", "'s", "'", "$$", "<|endoftext|>", "7", "\t", "\r\n", "\x00", "\x00\n", "-"]
+    draw = random.Random(3)
+    odd = ["".join(draw.choices(pieces, k=draw.randint(0, 12))) for _ in range(3000)]
+    assert of(odd) == truth(odd)
