@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from inspect import signature
 
 import numpy as np
 import pandas as pd
@@ -64,56 +65,123 @@ def pairs_positions(df: DataFrame, entry: float = 2.0, leave: float = 0.5, z: st
     return ordered_fold(df, [by], ["ts"], lambda: 0, step, [z], "position int")
 
 
-Strategy = Callable[[pd.DataFrame, dict], pd.Series]
+#: Positions from one key's bars in time order and the parameters; one that takes a third argument is given bars of many keys and each row's key number.
+Strategy = Callable[..., pd.Series]
 
+#: Bars that a task holds at once at least, whole keys; a longer key is held whole.
+BARS_AT_ONCE = 100_000
 
-def threshold_strategy(bars: pd.DataFrame, params: dict) -> pd.Series:
+
+def threshold_strategy(bars: pd.DataFrame, params: dict, keys: np.ndarray | None = None) -> pd.Series:
     """Long below, short above a number of deviations from the mean of the bars before (built-in example)."""
     n = int(params["lookback"])
-    past = bars["close"].shift(1).rolling(n)
-    z = (bars["close"] - past.mean()) / past.std().replace(0, np.nan)
-    return pd.Series(np.where(z > params["entry"], -1, np.where(z < -params["entry"], 1, 0)), index=bars.index)
+    if keys is None:
+        past = bars["close"].shift(1).rolling(n)
+    else:
+        past = bars["close"].groupby(keys).shift(1).groupby(keys).rolling(n)
+    mean, std = past.mean().to_numpy(), past.std().replace(0, np.nan).to_numpy()
+    with np.errstate(invalid="ignore"):
+        z = (bars["close"].to_numpy() - mean) / std
+        return pd.Series(np.where(z > params["entry"], -1, np.where(z < -params["entry"], 1, 0)), index=bars.index)
+
 
+def simulate(bars: pd.DataFrame, target: np.ndarray, cash: float, size: float, commission: float, slippage_bps: float, starts: np.ndarray | None = None) -> pd.DataFrame:
+    """Cash, position and equity per bar: buys at the ask, sells at the bid, each moved by the slippage; cost in shares of notional.
 
-def simulate(bars: pd.DataFrame, target: np.ndarray, cash: float, size: float, commission: float, slippage_bps: float) -> pd.DataFrame:
-    """Cash, position and equity per bar: buys at the ask, sells at the bid, each moved by the slippage; cost in shares of notional."""
+    With starts, the bars are those of several keys, which begin there.
+    """
+    starts = np.zeros(min(1, len(bars)), int) if starts is None else starts
     want = target * size
-    trade = np.diff(np.concatenate([[0.0], want]))
+    held = np.concatenate([[0.0], want[:-1]])[: len(want)]
+    held[starts] = 0.0
+    trade = want - held
     slip = slippage_bps / 1e4
     price = np.where(trade > 0, bars["ask"].to_numpy() * (1 + slip), bars["bid"].to_numpy() * (1 - slip))
     flow = -trade * price - np.abs(trade) * price * commission
-    money = cash + np.cumsum(flow)
+    money = np.empty(len(flow))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(flow)]):
+        np.cumsum(flow[a:b], out=money[a:b])
+    money += cash
     mark = (bars["bid"].to_numpy() + bars["ask"].to_numpy()) / 2
     return bars[["ts"]].assign(position=want, cash=money, equity=money + want * mark, traded=np.abs(trade) > 0)
 
 
-def backtest(bars: DataFrame, grid: DataFrame, strategy: Strategy = threshold_strategy, cash: float = 1e6, size: float = 100.0, commission: float = 0.0005, slippage_bps: float = 1.0, by: str = "symbol") -> DataFrame:
-    """(run, symbol, ts, position, cash, equity, traded) of every parameter set (run, params map) on every symbol.
+def _whole_keys(batches: Iterator[pd.DataFrame], by: str) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """(rows, key number of each, where each key begins) of batches sorted by key: whole keys, about BARS_AT_ONCE rows."""
+
+    def numbered(parts: list[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        rows = pd.concat(parts, ignore_index=True)
+        keys = pd.factorize(rows[by], use_na_sentinel=False)[0]
+        return rows, keys, np.flatnonzero(np.diff(keys, prepend=-1))
+
+    held, n, most = [], 0, BARS_AT_ONCE
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            n += len(batch)
+        if n >= most:
+            rows, keys, starts = numbered(held)
+            cut = int(starts[-1])
+            if cut:
+                yield rows.iloc[:cut], keys[:cut], starts[:-1]
+            held, n = [rows.iloc[cut:]], len(rows) - cut
+            most = max(BARS_AT_ONCE, 2 * n)  # a long key is not put together again for each batch
+    if n:
+        yield numbered(held)
+
 
-    Bars are narrowed to (ts, close, bid, ask) before they meet the grid, and each (run, symbol) is one task group.
+def _curves(bars: DataFrame, grid: DataFrame, strategy: Strategy, cash: float, size: float, commission: float, slippage_bps: float, by: str, fields: str, finish: Callable[[pd.DataFrame, pd.Series, np.ndarray], pd.DataFrame]) -> DataFrame:
+    """finish(curve, keys' values, starts) of every parameter set on every key, as (run, `fields`).
+
+    Bars are dealt by key once for all parameter sets and read as one sorted stream, so that many short keys cost no call each.
     """
-    narrow = bars.select(by, "ts", "close", "bid", "ask").crossJoin(F.broadcast(grid))  # the grid is a small, given list
+    runs = [(r["run"], dict(r["params"])) for r in grid.collect()]  # a small, given list
+    many = len(signature(strategy).parameters) > 2
+
+    def positions(t: pd.DataFrame, params: dict, keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        if many:
+            return np.asarray(strategy(t, params, keys), float)
+        ends = [*starts[1:].tolist(), len(t)]
+        return np.concatenate([np.asarray(strategy(t.iloc[a:b].reset_index(drop=True), params), float) for a, b in zip(starts.tolist(), ends)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t, keys, starts in _whole_keys(batches, by):
+            for number, params in runs:
+                curve = simulate(t, positions(t, params, keys, starts), cash, size, commission, slippage_bps, starts)
+                out = finish(curve, t[by], starts)
+                out.insert(0, "run", number)
+                yield out
+
+    narrow = bars.select(by, "ts", "close", "bid", "ask").repartition(by).sortWithinPartitions(by, "ts")
+    return narrow.mapInPandas(run, f"run long, {fields}")
+
+
+def backtest(bars: DataFrame, grid: DataFrame, strategy: Strategy = threshold_strategy, cash: float = 1e6, size: float = 100.0, commission: float = 0.0005, slippage_bps: float = 1.0, by: str = "symbol") -> DataFrame:
+    """(run, symbol, ts, position, cash, equity, traded) of every parameter set (run, params map) on every symbol."""
     kind = dict(bars.dtypes)[by], dict(bars.dtypes)["ts"]
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("ts").reset_index(drop=True)
-        params = dict(t["params"].iloc[0])
-        out = simulate(t, np.asarray(strategy(t, params), float), cash, size, commission, slippage_bps)
-        return out.assign(run=t["run"].iloc[0], **{by: t[by].iloc[0]})[["run", by, "ts", "position", "cash", "equity", "traded"]]
+    def finish(curve: pd.DataFrame, keys: pd.Series, starts: np.ndarray) -> pd.DataFrame:
+        return curve.assign(**{by: keys})[[by, "ts", "position", "cash", "equity", "traded"]]
 
-    schema = f"run long, `{by}` {kind[0]}, ts {kind[1]}, position double, cash double, equity double, traded boolean"
-    return narrow.groupBy("run", by).applyInPandas(run, schema)
+    fields = f"`{by}` {kind[0]}, ts {kind[1]}, position double, cash double, equity double, traded boolean"
+    return _curves(bars, grid, strategy, cash, size, commission, slippage_bps, by, fields, finish)
 
 
-def sweep(bars: DataFrame, grid: DataFrame, strategy: Strategy = threshold_strategy, by: str = "symbol", **options) -> DataFrame:
+def sweep(bars: DataFrame, grid: DataFrame, strategy: Strategy = threshold_strategy, by: str = "symbol", cash: float = 1e6, size: float = 100.0, commission: float = 0.0005, slippage_bps: float = 1.0) -> DataFrame:
     """Each run's result over all symbols, best Sharpe first (see aggregate_sweep, rank_runs)."""
     from .portfolio import aggregate_sweep, rank_runs
 
-    curve = backtest(bars, grid, strategy, by=by, **options)
-    w = Window.partitionBy("run", by).orderBy("ts")
-    before = F.lag("equity").over(w)
-    parts = curve.select("run", "ts", (F.col("equity") - F.coalesce(before, F.first("cash").over(w))).alias("pnl"), F.coalesce(ratio(F.col("equity"), before) - 1, F.lit(0.0)).alias("ret"), F.col("traded").cast("long").alias("trades"))
-    return rank_runs(aggregate_sweep(parts))
+    def finish(curve: pd.DataFrame, keys: pd.Series, starts: np.ndarray) -> pd.DataFrame:
+        equity, money = curve["equity"].to_numpy(), curve["cash"].to_numpy()
+        before = np.concatenate([[np.nan], equity[:-1]])
+        before[starts] = np.nan
+        first = np.repeat(money[starts], np.diff([*starts, len(curve)]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ret = np.where(before != 0, equity / before - 1, 0.0)
+        return pd.DataFrame({"ts": curve["ts"], "pnl": equity - np.where(np.isnan(before), first, before), "ret": np.where(np.isnan(ret), 0.0, ret), "trades": curve["traded"].astype("int64")})
+
+    fields = f"ts {dict(bars.dtypes)['ts']}, pnl double, ret double, trades long"
+    return rank_runs(aggregate_sweep(_curves(bars, grid, strategy, cash, size, commission, slippage_bps, by, fields, finish)))
 
 
 def param_grid(spark: SparkSession, params: dict[str, list[float]]) -> DataFrame:
