@@ -82,6 +82,26 @@ def test_boosted_trees_and_their_search(spark):
     assert [r.feature for r in ml.top_features(table, 1).collect()] == ["a"]
 
 
+def counted(df, seen):
+    """The rows, which are counted each time they are made."""
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(count, df.schema)
+
+
+def test_training_reads_its_input_once_in_parts_of_bounded_rows(spark, monkeypatch):
+    df = spark.range(2000, numPartitions=1).selectExpr("cast(id % 7 as double) a", "cast(id % 3 as double) b", "cast(id % 7 as double) y", "id other")
+    seen, sizes, keep = spark.sparkContext.accumulator(0), [], type(df).repartition
+    monkeypatch.setattr(ml, "TASK_ROWS", 100)
+    monkeypatch.setattr(type(df), "repartition", lambda self, n, *c: sizes.append(n) or keep(self, n, *c))
+    _, r2, weight = ml.fit_gbt(counted(df, seen), ["a", "b"], "y", maxIter=2, maxDepth=3)
+    assert seen.value == 2000 and sizes == [20] and r2 > 0.9 and weight["a"] > 0.9
+
+
 def test_clusters_are_found(spark):
     rng = np.random.default_rng(4)
     centre = np.repeat([[0, 0], [10, 0], [0, 10]], 30, axis=0)

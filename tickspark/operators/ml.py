@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import stored
 from ..functions.windows import BY, correlation, ordered
 
+#: Rows that a task of a model's training holds at most.
+TASK_ROWS = 1_000_000
+
 
 def time_split(df: DataFrame, train: float = 0.7, valid: float = 0.15, by=BY, order=("ts",)) -> DataFrame:
     """part: train, valid or test by position in each symbol's time order."""
@@ -33,14 +37,19 @@ def sequences(df: DataFrame, cols: list[str], length: int, target: str, horizon:
 
 
 def fit_gbt(df: DataFrame, features: list[str], label: str, folds: int = 0, grid: dict[str, list] | None = None, seed: int = 7, **params):
-    """(model, R2 of the fitted rows, importance by feature); folds > 1 searches the grid by cross-validation."""
+    """(model, R2 of the fitted rows, importance by feature); folds > 1 searches the grid by cross-validation.
+
+    Training reads its rows many times: they are stored once, and dealt into parts of at most TASK_ROWS rows.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    rows = df.dropna(subset=[*features, label])
+    rows = stored(df.select(*dict.fromkeys([*features, label])).dropna(), "fit")
+    # the trainer keeps its points in memory by partition, and reads one in a task
+    rows = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS)))
     gbt = GBTRegressor(featuresCol="_x", labelCol=label, seed=seed, **params)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), gbt])
     score = RegressionEvaluator(labelCol=label, metricName="r2")
