@@ -102,6 +102,12 @@ def test_training_reads_its_input_once_in_parts_of_bounded_rows(spark, monkeypat
     assert seen.value == 2000 and sizes == [20] and r2 > 0.9 and weight["a"] > 0.9
 
 
+def test_clusters_read_their_input_once(spark):
+    df = spark.range(900, numPartitions=1).selectExpr("cast(id % 3 as double) u", "cast(id % 2 as double) v")
+    seen = spark.sparkContext.accumulator(0)
+    assert ml.kmeans_regimes(counted(df, seen), ["u", "v"], 3).count() == 900 and seen.value == 900
+
+
 def test_clusters_are_found(spark):
     rng = np.random.default_rng(4)
     centre = np.repeat([[0, 0], [10, 0], [0, 10]], 30, axis=0)

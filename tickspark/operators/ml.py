@@ -90,12 +90,12 @@ def information_coefficient(preds: DataFrame, pred: str, target: str, by: list[s
 
 
 def kmeans_regimes(df: DataFrame, features: list[str], k: int = 3, seed: int = 7) -> DataFrame:
-    """regime: the k-means cluster of the standardised features (rows with nulls go)."""
+    """regime: the k-means cluster of the standardised features (rows with nulls go); the rows, read by each step of the fit, are stored once."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    rows = df.dropna(subset=features)
+    rows = stored(df.dropna(subset=features), "clusters")
     pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_v"), StandardScaler(inputCol="_v", outputCol="_s", withMean=True), KMeans(featuresCol="_s", predictionCol="regime", k=k, seed=seed)])
     return pipe.fit(rows).transform(rows).drop("_v", "_s")
 
