@@ -90,3 +90,25 @@ def test_too_few_rows(spark):
     df = spark.createDataFrame([(1, t, float(t), 1.0) for t in range(4)], "symbol int, t int, y double, x double").withColumn("ts", F.timestamp_seconds("t"))
     assert [r.p for r in P.granger(df, "y", ["x"], 2).collect()] == [None]
     assert P.granger(df.limit(0), "y", ["x"], 2).collect() == []
+
+
+def test_factors_of_runs_are_exchanged_and_no_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 3)) + 1e5
+    df = spark.createDataFrame([(None if k < 1000 else k // 1000, list(map(float, v))) for k, v in enumerate(x)], "k int, v array<double>").coalesce(1)
+    made = M.triangular_factors(df, ["k"], 3, block_rows=500)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "FlatMapGroups" not in plan
+    got = {r.k: r for r in made.collect()}
+    assert set(got) == {None, 1, 2}
+    for k, r in got.items():
+        own, f = x[1000 * (k or 0) :][:1000], np.array(r.r).reshape(3, 3)
+        assert r.n == 1000 and np.allclose(f.T @ f, own.T @ own, rtol=1e-12)
+
+
+def test_a_lag_is_not_taken_over_nan_as_null(spark):
+    rows = [(1, t, float(t * t % 11), float(t * 7 % 5)) for t in range(40)]
+    df = spark.createDataFrame(rows, "symbol int, t int, y double, x double").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    holes = df.withColumn("x", F.when(F.col("ts") != F.timestamp_seconds(F.lit(9)), F.col("x")))
+    assert {(r.lag, r.n) for r in M.lag_tests(df, "y", ["x"], 2).collect()} == {(1, 39), (2, 38)}
+    assert {(r.lag, r.n) for r in M.lag_tests(holes, "y", ["x"], 2, block_rows=7).collect()} == {(1, 38), (2, 36)}

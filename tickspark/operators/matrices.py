@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.blocks import in_blocks, largest_key
+from ..functions.blocks import in_blocks
+from ..functions.fold import same_key
+from ..functions.scratch import stored
 
 #: Bytes of tile sums that a task keeps at most in one pass.
 PASS_BYTES = 256 << 20
@@ -97,67 +99,149 @@ def _tile_pass(rows: DataFrame, cols: list[str], mean: np.ndarray, tile: int, pa
     return tiles.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(merged, "feat_a string, feat_b string, corr double, n long")
 
 
+def _runs(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Where runs of equal keys begin in a batch, and its length; nulls are equal."""
+    fresh = np.zeros(batch.num_rows, bool)
+    fresh[:1] = True
+    for k in keys:
+        fresh[1:] |= np.diff(batch.column(k).dictionary_encode("encode").indices.to_numpy()) != 0
+    return np.append(np.flatnonzero(fresh), batch.num_rows)
+
+
+def _factor(rows: np.ndarray) -> np.ndarray:
+    """The upper triangular factor, of as many rows as the matrix has at most; few rows stand for themselves."""
+    return np.linalg.qr(rows, mode="r") if len(rows) > rows.shape[1] else rows
+
+
+def _stacked(parts: DataFrame, keys: list[str], shape: dict[str, int] | int) -> DataFrame:
+    """(keys, n, r) of each key's factors (keys, n, r), read as one sorted stream that holds one key's factor.
+
+    A factor's width is the number given, or that of the value which its last key has there.
+    """
+    kinds = dict(parts.dtypes)
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, held = None, 0, None
+
+        def whole(key: tuple) -> tuple:
+            width = held.shape[1]
+            r = np.zeros((width, width))
+            own = np.linalg.qr(held, mode="r")
+            r[: len(own)] = own
+            return (*key, n, r.ravel())
+
+        def table(out: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+            columns = [pa.array([o[i] for o in out], like.schema.field(k).type) for i, k in enumerate(keys)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([o[-2] for o in out], pa.int64()), pa.array([o[-1] for o in out], pa.list_(pa.float64()))], names=[*keys, "n", "r"])
+
+        batch = None
+        for batch in batches:
+            out = []
+            lists, ends = batch.column("r"), batch.column("r").offsets.to_numpy()
+            values, counts = lists.values.to_numpy(zero_copy_only=False), batch.column("n").to_numpy()
+            at = _runs(batch, keys)
+            names = list(zip(*(batch.column(k).take(pa.array(at[:-1])).to_pylist() for k in keys)))
+            for key, a, b in zip(names, at[:-1], at[1:]):
+                width = shape if isinstance(shape, int) else shape[key[-1]]
+                own = values[ends[a] : ends[b]].reshape(-1, width)
+                if last is not None and same_key(key, last):
+                    n, held = n + int(counts[a:b].sum()), _factor(np.concatenate([held, own]))
+                    continue
+                if last is not None:
+                    out.append(whole(last))
+                last, n, held = key, int(counts[a:b].sum()), _factor(own)
+            if out:
+                yield table(out, batch)
+        if last is not None:
+            yield table([whole(last)], batch)
+
+    dealt = parts.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(merged, head + ", n long, r array<double>")
+
+
 def triangular_factors(rows: DataFrame, keys: list[str], width: int, block_rows: int = 100_000) -> DataFrame:
     """(keys, n, r) of rows (keys, v): the upper triangular factor of each key's matrix whose rows are the arrays v of `width` doubles.
 
-    Rows of a key are dealt into blocks, each block is factored, and the factors of a key's blocks, width rows each, are stacked and
-    factored again; no cross-products are formed, so nothing is lost to large means.
+    Runs of a key's rows, at most `block_rows` long, are factored where they are, and only factors are exchanged, stacked and factored
+    again; no cross-products are formed, so nothing is lost to large means.
     """
     kinds = dict(rows.dtypes)
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    parts = max(1, -(-largest_key(rows, keys) // block_rows))
-    salted = rows.withColumn("_part", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int")).select(*keys, "_part", "v")
 
-    def factor(t: pd.DataFrame) -> pd.DataFrame:
-        r = np.linalg.qr(np.array(t["v"].to_list(), float).reshape(len(t), width), mode="r")
-        return t[[*keys]].head(1).assign(n=len(t), r=[r.ravel().tolist()])
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, block_rows) for b in batches for k in range(0, b.num_rows, block_rows)):
+            at = _runs(batch, keys)
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            first = pa.array(at[:-1])
+            r = [_factor(v[a:b]).ravel() for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(first) for k in keys), pa.array(np.diff(at)), pa.array(r, pa.list_(pa.float64()))], names=[*keys, "n", "r"])
 
-    def stack(t: pd.DataFrame) -> pd.DataFrame:
-        whole = np.concatenate([np.array(x, float).reshape(-1, width) for x in t["r"]])
-        r = np.linalg.qr(whole, mode="r")
-        full = np.zeros((width, width))
-        full[: len(r)] = r
-        return t[[*keys]].head(1).assign(n=int(t["n"].sum()), r=[full.ravel().tolist()])
-
-    schema = head + ", n long, r array<double>"
-    local = salted.groupBy(*keys, "_part").applyInPandas(factor, schema)
-    return local.groupBy(*keys).applyInPandas(stack, schema)
+    return _stacked(rows.select(*keys, "v").mapInArrow(local, head + ", n long, r array<double>"), keys, width)
 
 
 def lag_tests(df: DataFrame, target: str, cols: list[str], max_lag: int = 3, by: str = "symbol", order=("ts",), block_rows: int = 100_000) -> DataFrame:
     """(by, feature, lag, n, f): the F statistic of adding `lag` lags of a feature to as many of the target, over rows that have them all.
 
     Both fits are read from one triangular factor of (1, target's lags, feature's lags, target).  f is null without a free
-    degree or if nothing is left to explain.
+    degree or if nothing is left to explain.  The rows are stored once, as blocks read them several times; the sorted rows of a
+    window give the factors of all lags and features in one stream, and only those are exchanged.
     """
     w = lambda keys: Window.partitionBy(*keys).orderBy(*order)
     kind = dict(df.dtypes)[by]
+    names = list(dict.fromkeys([target, *cols]))
+    span = max_lag + 1
 
     def lagged(d: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-        return d.withColumns({f"_{c}_{k}": F.lag(F.col(c).cast("double"), k).over(w(keys)) for c in {target, *cols} for k in range(1, max_lag + 1)})
+        # each column's value and lags, side by side
+        past = [F.col(f"`{c}`").cast("double") if k == 0 else F.lag(F.col(f"`{c}`").cast("double"), k).over(w(keys)) for c in names for k in range(span)]
+        return d.withColumn("_v", F.array(*past))
 
-    rows = in_blocks(df.select(by, *order, *dict.fromkeys([target, *cols])), lagged, [by], list(order), max_lag, block_rows=max(block_rows, max_lag))
-    out = None
-    for lag in range(1, max_lag + 1):
-        past = lambda c: [F.col(f"_{c}_{k}") for k in range(1, lag + 1)]  # noqa: B023, E731
-        each = F.array(*(F.struct(F.lit(c).alias("feature"), F.array(F.lit(1.0), *past(target), *past(c), F.col(target).cast("double")).alias("v")) for c in cols))
-        long = rows.select(by, F.explode(each).alias("e")).select(by, "e.feature", "e.v").filter(F.forall("v", lambda x: x.isNotNull()))
-        width = 2 * lag + 2
-        factors = triangular_factors(long, [by, "feature"], width, block_rows)
-
-        def solve(batches: Iterator[pd.DataFrame], lag: int = lag, width: int = width) -> Iterator[pd.DataFrame]:
-            for t in batches:
-                f = []
-                for n, r in zip(t["n"], t["r"]):
-                    r = np.array(r).reshape(width, width)
-                    left = []
-                    for k in (lag + 1, 2 * lag + 1):
-                        beta = np.linalg.lstsq(r[:, :k], r[:, -1], rcond=None)[0]
-                        left.append(float(((r[:, :k] @ beta - r[:, -1]) ** 2).sum()))
-                    free = n - 2 * lag - 1
-                    f.append((left[0] - left[1]) / lag / (left[1] / free) if free > 0 and left[1] > 1e-12 else None)
-                yield pd.DataFrame({by: t[by], "feature": t["feature"], "lag": lag, "n": t["n"], "f": pd.Series(f, t.index, dtype=float)})
-
-        one = factors.mapInPandas(solve, f"`{by}` {kind}, feature string, lag int, n long, f double")
-        out = one if out is None else out.unionByName(one)
-    return out
+    base = stored(df.select(by, *order, *names), "lags")
+    rows = in_blocks(base, lagged, [by], list(order), max_lag, block_rows=max(block_rows, max_lag))
+    tests = [(c, lag) for c in cols for lag in range(1, span)]
+    of = {c: k * span for k, c in enumerate(names)}
+    use = [[*range(of[target] + 1, of[target] + 1 + lag), *range(of[c] + 1, of[c] + 1 + lag), of[target]] for c, lag in tests]
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = _runs(batch, [by])
+            x = batch.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(names) * span)
+            # a null is NaN here, a NaN is a value
+            known = batch.column("_v").flatten().is_valid().to_numpy(zero_copy_only=False).reshape(x.shape)
+            run, feature, lags, n, r = [], [], [], [], []
+            for (c, lag), columns in zip(tests, use):
+                whole = known[:, columns].all(1)
+                m = np.ones((len(x), len(columns) + 1))
+                m[:, 1:] = x[:, columns]
+                for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
+                    own = m[a:b][whole[a:b]]
+                    if len(own):
+                        run.append(at[i])
+                        feature.append(c)
+                        lags.append(lag)
+                        n.append(len(own))
+                        r.append(_factor(own).ravel())
+            columns = [batch.column(by).take(pa.array(run, pa.int64())), pa.array(feature, pa.string()), pa.array(lags, pa.int32()), pa.array(n, pa.int64()), pa.array(r, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[by, "feature", "lag", "n", "r"])
+
+    parts = rows.select(by, "_v").mapInArrow(local, f"`{by}` {kind}, feature string, lag int, n long, r array<double>")
+    factors = _stacked(parts, [by, "feature", "lag"], {lag: 2 * lag + 2 for lag in range(1, span)})
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            f = []
+            for lag, n, r in zip(t["lag"], t["n"], t["r"]):
+                width = 2 * lag + 2
+                r = np.array(r).reshape(width, width)
+                left = []
+                for k in (lag + 1, 2 * lag + 1):
+                    beta = np.linalg.lstsq(r[:, :k], r[:, -1], rcond=None)[0]
+                    left.append(float(((r[:, :k] @ beta - r[:, -1]) ** 2).sum()))
+                free = n - 2 * lag - 1
+                f.append((left[0] - left[1]) / lag / (left[1] / free) if free > 0 and left[1] > 1e-12 else None)
+            yield t[[by, "feature", "lag", "n"]].assign(f=pd.Series(f, t.index, dtype=float))
+
+    return factors.mapInPandas(solve, f"`{by}` {kind}, feature string, lag int, n long, f double")
