@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickspark.sources import records as R
 
@@ -61,6 +62,17 @@ def test_maps_compose_to_the_starts():
     assert found == want
 
 
+def test_messages_are_cut_in_as_many_tasks_as_asked_for(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.bin").write_bytes(b"\0\2xy" * 5000)
+    got = R.read_frames(spark, str(tmp_path), max_length=40, range_bytes=100)
+    most = 2 * spark.sparkContext.defaultParallelism
+    # few bytes a range, whose rows Spark would put into one task; 200 ranges are not as many tasks
+    assert got.rdd.getNumPartitions() == most and got.count() == 5000
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > most // 2
+    monkeypatch.setattr(R, "TASK_BYTES", 500)
+    assert R.read_frames(spark, str(tmp_path), max_length=40, range_bytes=100).rdd.getNumPartitions() == 40
+
+
 def test_too_long_messages_raise(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes((50).to_bytes(2, "big") + b"x" * 50 + b"\0\1y" * 100)
     with pytest.raises(Exception, match="longer than 40"):

@@ -21,6 +21,8 @@ from pyspark.sql.datasource import (
 
 #: Fixed value: the 41-byte record, little-endian.
 TICK = np.dtype([("ts_ns", "<u8"), ("price", "<f8"), ("bid", "<f8"), ("ask", "<f8"), ("volume", "<u8"), ("side", "S1")])
+#: Bytes of message files that a task reads.
+TASK_BYTES = 16 << 20
 TICK_SCHEMA = "ts_ns long, price double, bid double, ask double, volume long, side string"
 
 
@@ -225,53 +227,37 @@ def write_fixed_ticks(df: DataFrame, path: str, mode: str = "append") -> None:
 # ---- length-prefixed messages
 
 
-def jumps(raw: np.ndarray, size: int, most: int, left: int) -> np.ndarray:
-    """For each of the first `size` places: where a message that begins there ends, if it is no longer than `most`; else -1.
-
-    `left` bytes are in the file from the range's begin on; what would end beyond them is broken off there.
-    """
-    length = (raw[:size].astype(np.int64) << 8) | raw[1 : size + 1]
-    to = np.arange(size) + 2 + length
-    return np.where(to > left, left, np.where(length <= most, to, -1))
-
-
 def exits(raw: np.ndarray, size: int, most: int, left: int) -> np.ndarray:
     """For each entry (a message begins so many bytes into the range): how far beyond the range the first message after it begins, -1 if none can.
 
-    Jumps are squared until all have left the range, so the work is the range's size times the logarithm of its messages.
+    The ways from all entries are followed until they leave the range, break off or meet a place that was passed before: most
+    entries end or meet soon, and no place is passed twice.
     """
-    to = jumps(raw, size, most, left)
-    while True:
-        inside = np.flatnonzero((to >= 0) & (to < size))
-        if not len(inside):
-            break
-        to[inside] = to[to[inside]]
-    out = np.where(to >= 0, to - size, -1)
+    data, ends = raw.tobytes(), {}
+    for entry in range(min(most + 2, size)):
+        at, way = entry, []
+        while 0 <= at < size and at not in ends:
+            way.append(at)
+            length = (data[at] << 8) | data[at + 1]
+            to = at + 2 + length
+            at = left if to > left else to if length <= most else -1
+        end = ends[at] if at in ends else at - size if at >= 0 else -1
+        ends.update(dict.fromkeys(way, end))
     # an entry may lie beyond a short last range
-    entries = np.arange(most + 2)
-    return np.where(entries < size, out[np.minimum(entries, size - 1)], entries - size)
+    return np.array([ends[e] if e < size else e - size for e in range(most + 2)])
 
 
 def starts_from(raw: np.ndarray, size: int, most: int, left: int, entry: int) -> np.ndarray:
     """The places of all messages that begin in the range, from the one at `entry` on."""
-    if entry >= size:
-        return np.zeros(0, np.int64)
-    to, found = jumps(raw, size, most, left), np.array([entry])
-    while True:
-        new = to[found]
-        if (new < 0).any():
-            raise ValueError(f"a message is longer than {most} bytes")
-        found = np.concatenate([found, new[new < size]])
-        if len(new[new < size]) == 0:
-            break
-        # twice as far
-        inside = (to >= 0) & (to < size)
-        ahead = np.where(inside, to[np.where(inside, to, 0)], to)
-        broken = inside & (ahead < 0)
-        if broken[found].any():
+    data, found, at = raw.tobytes(), [], entry
+    while at < size:
+        found.append(at)
+        length = (data[at] << 8) | data[at + 1]
+        to = at + 2 + length
+        if to <= left and length > most:
             raise ValueError(f"a message is longer than {most} bytes")
-        to = ahead
-    return np.unique(found)
+        at = min(to, left)
+    return np.array(found, np.int64)
 
 
 def read_frames(spark: SparkSession, path: str, max_length: int = 1024, range_bytes: int = 4_000_000) -> DataFrame:
@@ -284,8 +270,11 @@ def read_frames(spark: SparkSession, path: str, max_length: int = 1024, range_by
     if range_bytes < max_length + 2:
         raise ValueError("a range must have room for a message")
     ranges = [(file, k, at, size) for file, size in files_below(path) for k, at in enumerate(range(0, size, range_bytes))]
+    # the number of tasks is set, as rows so small would all be put into a few; a task has many ranges of a large input
+    least, total = 2 * spark.sparkContext.defaultParallelism, sum(min(range_bytes, size - at) for _, _, at, size in ranges)
+    parts = max(1, min(len(ranges), max(least, total // TASK_BYTES)))
     table = spark.createDataFrame(ranges or [("", 0, 0, 0)], "file string, number int, begin long, size long").filter("size > 0")
-    table = table.repartition(max(1, min(len(ranges), 10_000)), "file", "number")
+    table = table.repartition(parts, "file", "number")
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,7 +309,7 @@ def read_frames(spark: SparkSession, path: str, max_length: int = 1024, range_by
                 messages = pa.array([data[a : a + k] for a, k in zip((begin + 2).tolist(), length.tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([row["file"]] * len(begin), pa.string()), pa.array(row["begin"] + begin), messages], names=["file", "place", "data"])
 
-    return table.join(entries, ["file", "number"]).mapInArrow(cut, "file string, place long, data binary")
+    return table.join(entries, ["file", "number"]).repartition(parts, "file", "number").mapInArrow(cut, "file string, place long, data binary")
 
 
 def write_frames(df: DataFrame, path: str, col: str = "data", mode: str = "append") -> None:
