@@ -132,23 +132,66 @@ def drawdown(df: DataFrame, equity: str = "equity", by=BY, order=DAY, from_retur
     return out.withColumn("drawdown", ratio(F.col("_e"), F.col("peak")) - 1).drop("_e")
 
 
-def regime_features(df: DataFrame, n: int = 20, ret: str = "ret", by=BY, order=DAY) -> DataFrame:
-    """Rolling deviation, mean, bias-corrected skew and excess kurtosis, lag-1 correlation and slope over full windows."""
-    w = rows(n, by, order)
-    df = df.withColumns({"_x": F.col(ret), "_p": F.lag(ret).over(ordered(by, order)), "_t": F.row_number().over(ordered(by, order)).cast("double")})
-    full_ = lambda c: F.when(F.count("_x").over(w) == n, c)
-    s1, s2, s3, s4 = (F.sum(F.pow("_x", k)).over(w) for k in (1, 2, 3, 4))
-    df = df.withColumns({"_m": s1 / n, "_2": s2, "_3": s3, "_4": s4})
-    m = F.col("_m")
-    c2 = F.col("_2") / n - m * m
-    c3 = F.col("_3") / n - 3 * m * F.col("_2") / n + 2 * m**3
-    c4 = F.col("_4") / n - 4 * m * F.col("_3") / n + 6 * m**2 * F.col("_2") / n - 3 * m**4
-    g1, g2 = c3 / F.pow(F.nullif(c2, F.lit(0.0)), F.lit(1.5)), c4 / F.nullif(c2 * c2, F.lit(0.0)) - 3
-    out = {
-        "roll_std": full_(F.stddev_samp("_x").over(w)), "roll_mean": full_(m), "roll_skew": full_(g1 * float(np.sqrt(n * (n - 1)) / (n - 2))),
-        "roll_kurt": full_(((n + 1) * g2 + 6) * ((n - 1) / ((n - 2) * (n - 3)))), "autocorr": full_(correlation("_x", "_p", w)), "slope": full_(F.regr_slope("_x", "_t").over(w)),
-    }
-    return df.withColumns(out).drop("_x", "_p", "_t", "_m", "_2", "_3", "_4")
+def regime_features(df: DataFrame, n: int = 20, ret: str = "ret", by=BY, order=DAY, block_rows: int = 4096) -> DataFrame:
+    """Rolling deviation, mean, bias-corrected skew and excess kurtosis, lag-1 correlation and slope over full windows.
+
+    A frame is not gone through again for each row and each moment: the sorted rows are read as one stream of at most `block_rows` at a
+    time, with the last n - 1 before them, and the moments of all their frames are made at once.
+    """
+    names = ["roll_std", "roll_mean", "roll_skew", "roll_kurt", "autocorr", "slope"]
+    by, keep = list(by), [c for c in df.columns if c not in names]
+    schema = StructType([*(df.schema[c] for c in keep), *(StructField(c, DoubleType()) for c in names)])
+    value = F.col(ret).cast("double")
+    rows_ = df.withColumns({"_x": value, "_p": F.lag(value).over(ordered(by, order))}).sortWithinPartitions(*by, *order)
+    lag = np.arange(n)[:, None] - (n - 1) / 2
+
+    def plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        known = column.is_valid().to_numpy(zero_copy_only=False)
+        return np.where(known, column.to_numpy(zero_copy_only=False), 0.0), known
+
+    def frames(x: np.ndarray, p: np.ndarray, pair: np.ndarray) -> list[tuple[np.ndarray, np.ndarray | bool]]:
+        """Each feature of all frames, and where it is null though its frame is full."""
+        m = len(x) - n + 1
+        # less each frame's first value, so that nothing is left of values that do not vary
+        d = np.array([x[k : k + m] - x[:m] for k in range(n)])
+        mean = sum(x[k : k + m] for k in range(n)) / n
+        c = d - d.mean(0)
+        square = c * c
+        c2, c3, c4 = square.mean(0), (square * c).mean(0), (square * square).mean(0)
+        still = c2 == 0
+        g1, g2 = c3 / c2**1.5, c4 / (c2 * c2) - 3
+        # the value before the frame's first one may be missing
+        e = np.concatenate([np.where(pair[:m], p[:m] - x[:m], 0.0)[None], d[:-1]])
+        pairs = n - 1 + pair[:m]
+        a, b = d - d.sum(0) / pairs, e - e.sum(0) / pairs
+        a[0], b[0] = np.where(pair[:m], a[0], 0.0), np.where(pair[:m], b[0], 0.0)
+        both = np.sqrt((a * a).sum(0) / pairs) * np.sqrt((b * b).sum(0) / pairs)
+        return [
+            (np.sqrt(c2 * n / (n - 1)), False), (mean, False), (g1 * (np.sqrt(n * (n - 1)) / (n - 2)), still), (((n + 1) * g2 + 6) * ((n - 1) / ((n - 2) * (n - 3))), still),
+            ((a * b).sum(0) / pairs / both, both == 0), ((lag * c).sum(0) / (lag * lag).sum(), False),
+        ]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, series = None, np.full(n - 1, -1)
+        x, p, known, pair = np.zeros(n - 1), np.zeros(n - 1), np.zeros(n - 1, bool), np.zeros(n - 1, bool)
+        for batch in (b.slice(k, block_rows) for b in batches for k in range(0, b.num_rows, block_rows)):
+            fresh = np.zeros(batch.num_rows, bool)
+            for c in by:
+                fresh[1:] |= np.diff(batch.column(c).dictionary_encode("encode").indices.to_numpy()) != 0
+            ends = [tuple(batch.column(c)[k].as_py() for c in by) for k in (0, -1)]
+            fresh[0], key = not same_key(ends[0], key), ends[1]
+            (x1, known1), (p1, pair1) = (plain(batch.column(c)) for c in ("_x", "_p"))
+            x, p, known, pair = (np.concatenate(two) for two in ((x, x1), (p, p1), (known, known1), (pair, pair1)))
+            series = np.concatenate([series, series[-1] + np.cumsum(fresh)])
+            m = batch.num_rows
+            counts = np.concatenate([[0], np.cumsum(known)])
+            whole = (series[:m] == series[n - 1 :]) & (counts[n:] - counts[:m] == n)
+            with np.errstate(all="ignore"):
+                found = [pa.array(v, pa.float64(), mask=~whole | null) for v, null in frames(x, p, pair)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], [f.name for f in schema])
+            x, p, known, pair, series = (v[m:] for v in (x, p, known, pair, series))
+
+    return rows_.mapInArrow(run, schema)
 
 
 def create_lags(df: DataFrame, cols: list[str], lags: Iterable[int], by=BY, order=DAY) -> DataFrame:
