@@ -7,6 +7,8 @@ short transforms by columns and by rows with twiddle factors between them, so th
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -237,32 +239,36 @@ DB4 = (0.23037781330885523, 0.7148465705525415, 0.6308807679295904, -0.027983769
 HIGH = tuple(x * (-1.0) ** k for k, x in enumerate(reversed(DB4)))
 
 
-def _taps(rows: DataFrame, by: str, step: int, filters: dict[str, tuple[float, ...]], block_rows: int) -> DataFrame:
-    """Adds sum of filter[m] a[(i + step m) mod n] for each filter; a row's later ones stand in its window, the first ones of a series once more behind its end."""
-    reach = step * (len(DB4) - 1)
+def _dealt(rows: DataFrame, reach: int, block_rows: int) -> DataFrame:
+    """Rows in blocks (_block, _at), each with the `reach` rows behind its end; the first rows of a series stand once more behind its end. _own marks the others."""
     # a series shorter than the reach goes round several times
     turns = F.sequence(F.lit(0).cast("long"), F.ceil(F.lit(reach) / F.col("n")).cast("long"))
     wrapped = rows.withColumn("_q", F.explode(turns)).withColumn("_at", F.col("i") + F.col("_q") * F.col("n")).filter(F.col("_at") < F.col("n") + reach)
     block = F.floor(F.col("_at") / block_rows).cast("long")
     begins = F.sequence(F.greatest(F.floor((F.col("_at") - reach) / block_rows).cast("long"), F.lit(0).cast("long")), block)
     dealt = wrapped.withColumn("_block", F.explode(begins))
+    return dealt.withColumn("_own", (F.col("_q") == 0) & (block == F.col("_block"))).drop("_q")
+
+
+def _taps(dealt: DataFrame, by: str, step: int, filters: dict[str, tuple[float, ...]]) -> DataFrame:
+    """Adds sum of filter[m] a[at + step m] for each filter; null where a block ends before."""
     w = Window.partitionBy(by, "_block").orderBy("_at")
-    ahead = F.array(*(F.lead("a", step * m).over(w) for m in range(len(DB4))))
-    own = dealt.withColumn("_v", ahead).filter((F.col("_q") == 0) & (block == F.col("_block"))).drop("_q", "_at", "_block")
+    ahead = dealt.withColumns({f"_v{m}": F.lead("a", step * m).over(w) for m in range(len(DB4))})
 
     def fold(weights: tuple[float, ...]) -> Column:
-        scaled = F.array(*(F.lit(x / float(np.sqrt(2))) for x in weights))
-        return F.aggregate(F.zip_with("_v", scaled, lambda v, c: v * c), F.lit(0.0), lambda s, x: s + x)
+        return reduce(lambda s, m: s + F.col(f"_v{m}") * F.lit(weights[m] / float(np.sqrt(2))), range(len(DB4)), F.lit(0.0))
 
-    return own.withColumns({name: fold(weights) for name, weights in filters.items()}).drop("_v")
+    return ahead.withColumns({name: fold(weights) for name, weights in filters.items()}).drop(*(f"_v{m}" for m in range(len(DB4))))
 
 
 def wavelet_bank(df: DataFrame, levels: int = 3, col: str = "close", by: str = "symbol", order: str = "ts", block_rows: int = 100_000) -> DataFrame:
     """(by, order, detail_1, ..., approximation): undecimated db4 details and the last approximation, periodic ends, any length.
 
-    Each level filters the approximation before it at twice the distance; blocks of a series overlap by a filter's reach.
+    Each level filters the approximation before it at twice the distance; blocks of a series overlap by the reach of all levels'
+    filters, so that rows are dealt and sorted once for all of them.
     """
     rows = positions(df, col, by, order).withColumnRenamed("x", "a")
+    rows = _dealt(rows, ((1 << levels) - 1) * (len(DB4) - 1), block_rows)
     for k in range(1, levels + 1):
-        rows = _taps(rows, by, 1 << (k - 1), {f"detail_{k}": HIGH, "_next": DB4}, block_rows).drop("a").withColumnRenamed("_next", "a")
-    return rows.select(by, order, *(f"detail_{k}" for k in range(1, levels + 1)), F.col("a").alias("approximation"))
+        rows = _taps(rows, by, 1 << (k - 1), {f"detail_{k}": HIGH, "_next": DB4}).drop("a").withColumnRenamed("_next", "a")
+    return rows.filter("_own").select(by, order, *(f"detail_{k}" for k in range(1, levels + 1)), F.col("a").alias("approximation"))
